@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, urls
+from . import quality, sharding, urls
 from .common import table
 
 
@@ -10,10 +10,14 @@ def op4_virtual_slots(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_distribution_divergence(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_redirect_equivalence(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_virtual_slots, op9_redirect_equivalence)}
+QUERIES = {f.__name__: f for f in (op4_virtual_slots, op5_distribution_divergence, op9_redirect_equivalence)}
 
 ORACLES: dict[str, str] = {}
