@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, urls
+from . import pii, quality, secrets, sharding, urls
 from .common import table
 
 
+def op1_candidate_boosting(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_virtual_slots(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -14,10 +18,23 @@ def op5_distribution_divergence(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_entropy_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_redirect_equivalence(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_virtual_slots, op5_distribution_divergence, op9_redirect_equivalence)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_candidate_boosting,
+        op4_virtual_slots,
+        op5_distribution_divergence,
+        op6_entropy_secrets,
+        op9_redirect_equivalence,
+    )
+}
 
 ORACLES: dict[str, str] = {}
