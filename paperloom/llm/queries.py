@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import pii, quality, secrets, sharding, urls
+import public_tokenizers
+
+from . import pii, quality, secrets, sharding, token_counts, urls
 from .common import table
 
 
@@ -22,6 +24,10 @@ def op6_entropy_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_overlap_resync(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_redirect_equivalence(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -33,6 +39,7 @@ QUERIES = {
         op4_virtual_slots,
         op5_distribution_divergence,
         op6_entropy_secrets,
+        op7_overlap_resync,
         op9_redirect_equivalence,
     )
 }
