@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import pii, quality, secrets, sharding, token_counts, urls
+from . import pii, quality, secrets, sharding, token_counts, token_store, urls
 from .common import table
 
 
@@ -12,6 +12,13 @@ def op1_candidate_boosting(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_content_addressed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    token_store.verify(spark, path)
+    return token_store.digests(spark, path)
+
+
 def op4_virtual_slots(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_candidate_boosting,
+        op2_content_addressed,
         op4_virtual_slots,
         op5_distribution_divergence,
         op6_entropy_secrets,
