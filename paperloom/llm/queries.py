@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import pii, quality, secrets, sharding, token_counts, token_store, urls
+from . import pii, quality, secrets, sharding, token_counts, token_store, unigram, urls
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_overlap_resync(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_unigram_viterbi(spark, sf_dir):
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_redirect_equivalence(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES = {
         op5_distribution_divergence,
         op6_entropy_secrets,
         op7_overlap_resync,
+        op8_unigram_viterbi,
         op9_redirect_equivalence,
     )
 }
