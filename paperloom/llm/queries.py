@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import pii, quality, secrets, sharding, token_counts, token_store, unigram, urls
+from . import ngram_join, pii, quality, secrets, sharding, token_counts, token_store, unigram, urls
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op9_redirect_equivalence(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_jaccard(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -54,6 +58,7 @@ QUERIES = {
         op7_overlap_resync,
         op8_unigram_viterbi,
         op9_redirect_equivalence,
+        op10_ngram_jaccard,
     )
 }
 
