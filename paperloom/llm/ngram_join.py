@@ -492,3 +492,40 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return job.members.join(of_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
     )
+
+
+def _split(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = table.value
+        for batch in batches:
+            hit = np.ones(len(batch), bool)
+            for k in range(3):
+                p = batch.column(k).to_numpy()
+                hit &= (words[p >> 6] >> (p & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(hit)], [*batch.schema.names[3:], "_hit"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """The documents, with all their columns, without those linked to one of a smaller id.
+
+    Documents without words, and rows with a null id, stay; of rows with equal id and text one stays.
+    A filter of fixed size over the ids that go lets most documents pass without a shuffle; only those
+    that it names are joined with the exact list.
+    """
+    spark = docs.sparkSession
+    gone = materialize(join(docs, size).where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    table = spark.sparkContext.broadcast(_bloom(gone))  # BLOOM_BITS, whatever the input
+    tests = [F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(BLOOM_BITS)), F.lit(0)).alias(f"_p{s}") for s in (1, 2, 3)]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    counts = docs.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if counts["n"] != counts["d"]:
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    first = docs.select(*tests, *columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _hit boolean"
+    tested = first.mapInArrow(_split(table), schema)
+    # the test is cheap, the texts are not: two narrow passes instead of one shuffle of all
+    passed = tested.where("not _hit or doc_id is null").drop("_hit")
+    checked = tested.where("_hit and doc_id is not null").drop("_hit").join(gone, "doc_id", "left_anti")
+    return passed.unionByName(checked.select(*columns))

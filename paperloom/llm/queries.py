@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ngram_join, pii, quality, secrets, sharding, token_counts, token_store, unigram, urls
+from . import decontaminate, ngram_join, pii, quality, secrets, sharding, token_counts, token_store, unigram, urls
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_content_addressed(spark, sf_dir):
     return token_store.digests(spark, path)
 
 
+def op3_seed_and_align(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_virtual_slots(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     for f in (
         op1_candidate_boosting,
         op2_content_addressed,
+        op3_seed_and_align,
         op4_virtual_slots,
         op5_distribution_divergence,
         op6_entropy_secrets,
