@@ -183,6 +183,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. References first, then one narrow pass: no shuffle."""
+    """The documents that pass, with all their columns. References first, then one narrow pass: no shuffle.
+
+    The row number keeps the filter above the projections: pushed down, it would repeat them.
+    """
     refs = references(measured(docs.select("text", "lang"), repeats=False))
-    return distances(measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")), refs).where(verdict()).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
+    judged = distances(measured(rows), refs).select("_row", verdict().alias("_kept"), F.monotonically_increasing_id().alias("_at"))
+    return judged.where("_kept and _at >= 0").select("_row.*")
