@@ -527,3 +527,54 @@ def value_functions(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("n")).distinct()
     colour = fn.hex_colour(n % 256, F.floor(n / 2) % 256, F.floor(n / 3) % 256)
     return rows.select("n", fn.measure(text).alias("twips"), fn.on_off(flag).alias("flag"), colour.alias("colour"), fn.civil_date(n).cast("string").alias("day"))
+
+
+# Documents ----------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT doc_id, md5(text || chr(10)) AS text_digest, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents"
+)
+def docx_roundtrip(spark, sf_dir):
+    """Every document written as a DOCX file, and its text read back."""
+    from . import documents as d
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = d.parse(d.to_files(docs), "doc_id", outputs=("text",))
+    return back.select("doc_id", F.md5("text").alias("text_digest"), (F.size(F.split("text", "\n", -1)) - 1).cast("long").alias("n_lines"))
+
+
+@query(
+    f"WITH {LINES} SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM lines GROUP BY doc_id"
+)
+def docx_blocks(spark, sf_dir):
+    """The block view of every document after a round trip through DOCX."""
+    from . import documents as d
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = d.block_view(d.parse(d.to_files(docs), "doc_id", outputs=()), "doc_id")
+    return blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query()
+def markdown_to_html(spark, sf_dir):
+    """Documents read as Markdown, written as DOCX, read back and given as Markdown and HTML digests."""
+    from . import documents as d
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = d.parse(d.to_files(docs, markdown=True), "doc_id", outputs=("markdown", "html"))
+    return back.select("doc_id", F.md5("markdown").alias("markdown_digest"), F.md5("html").alias("html_digest"), F.size("blocks").alias("n_blocks"), "error")
+
+
+@query()
+def html_to_blocks(spark, sf_dir):
+    """Headings, paragraphs and list items of the pages' HTML, scripts and styles left out. No UDF."""
+    pages = table(spark, sf_dir, "pages")
+    clean = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    tags = F.regexp_extract_all(clean, F.lit(r"(?is)<(h[1-6]|p|li)\b[^>]*>((?:(?!</?(?:h[1-6]|p|li|ul|ol|div|article|nav|footer)\b).)*+)"), F.lit(0))
+    rows = pages.select("page_id", F.posexplode(tags).alias("ord", "raw"))
+    kind = F.lower(F.regexp_extract("raw", r"^<(\w+)", 1))
+    text = F.btrim(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), r"\s+", " "))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return rows.select("page_id", "ord", kind.alias("kind"), text.alias("text")).where("text <> ''")
