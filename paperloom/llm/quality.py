@@ -149,7 +149,7 @@ def distance(bins: Column, reference: list[float]) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
     def of(total):
-        pairs = F.zip_with(bins, F.array(*(F.lit(float(x)) for x in reference)), lambda a, q: F.struct((a / total).alias("p"), q.alias("q")))
+        pairs = F.zip_with(bins, F.array(*(F.lit(float(x)) for x in reference)), lambda a, q: F.struct((a / F.greatest(total, F.lit(1.0))).alias("p"), q.alias("q")))
         sums = F.aggregate(
             pairs, F.lit(0.0), lambda acc, x: acc + (term(x["p"], (x["p"] + x["q"]) / 2) + term(x["q"], (x["p"] + x["q"]) / 2)) / 2
         )
@@ -167,7 +167,7 @@ def distances(df: DataFrame, refs: dict) -> DataFrame:
 
 
 def verdict(limit: float = LIMIT, slack: float = SLACK) -> Column:
-    far = F.col("char_distance") + F.col("word_distance") > limit + slack / F.col("n_words")
+    far = F.col("char_distance") + F.col("word_distance") > limit + slack / F.greatest(F.col("n_words"), F.lit(1))
     odd = (F.col("n_words") >= MIN_HISTOGRAM_WORDS) & far
     return ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
 
