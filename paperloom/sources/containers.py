@@ -110,7 +110,8 @@ def _wide(extra: bytes, values: list[int]) -> list[int]:
     return values
 
 
-def _directory(data: bytes) -> list[Entry]:
+def _directory(data: bytes, base: int = 0) -> list[Entry]:
+    """The entries listed at the end of ``data``, which is the file from offset ``base`` on."""
     end = data.rfind(b"PK\x05\x06", max(0, len(data) - 65_557))
     if end < 0 or end + 22 > len(data):
         return []
@@ -118,11 +119,11 @@ def _directory(data: bytes) -> list[Entry]:
     if start == 0xFFFFFFFF or count == 0xFFFF:
         locator = end - 20
         if locator >= 0 and data[locator : locator + 4] == b"PK\x06\x07":
-            wide = struct.unpack_from("<Q", data, locator + 8)[0]
-            if data[wide : wide + 4] == b"PK\x06\x06" and wide + 56 <= len(data):
+            wide = struct.unpack_from("<Q", data, locator + 8)[0] - base
+            if wide >= 0 and data[wide : wide + 4] == b"PK\x06\x06" and wide + 56 <= len(data):
                 count, _, start = struct.unpack_from("<QQQ", data, wide + 32)
-    out, at = [], start
-    while len(out) < count and data[at : at + 4] == b"PK\x01\x02" and at + 46 <= len(data):
+    out, at = [], start - base
+    while at >= 0 and len(out) < count and data[at : at + 4] == b"PK\x01\x02" and at + 46 <= len(data):
         flags, method = struct.unpack_from("<HH", data, at + 8)
         crc, stored, size, n, m, k = struct.unpack_from("<IIIHHH", data, at + 16)
         offset = struct.unpack_from("<I", data, at + 42)[0]
