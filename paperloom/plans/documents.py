@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.containers import NotAContainer, detect
+from ..sources.crypt import decrypt
 from ..sources.doc import read_doc
 from ..sources.docx import Encrypted, read_docx
 
@@ -22,9 +23,11 @@ SCHEMA = (
 OUTPUTS = ("text", "markdown", "html")
 
 
-def read_document(data: bytes):
+def read_document(data: bytes, password: str | None = None):
     """The model of a file's bytes; raises ValueError for what can't be read."""
     kind = detect(data)
+    if kind == "encrypted_docx" and password is not None:
+        return read_docx(decrypt(data, password))
     if kind == "docx":
         return read_docx(data)
     if kind == "doc":
@@ -34,13 +37,13 @@ def read_document(data: bytes):
     raise NotAContainer(f"{kind} files are not read")
 
 
-def parse_one(data: bytes | None, wanted: tuple[str, ...]) -> dict:
+def parse_one(data: bytes | None, wanted: tuple[str, ...], password: str | None = None) -> dict:
     """A row of ``SCHEMA``; failures become ``error``."""
     from ..outputs import blocks_view, to_html, to_markdown, to_text
 
     row: dict = {"format": detect(data or b""), "error": None, "text": None, "markdown": None, "html": None, "blocks": [], "styles": [], "media": [], "metadata": [], "diagnostics": []}
     try:
-        doc = read_document(data or b"")
+        doc = read_document(data or b"", password)
         if "text" in wanted:
             row["text"] = to_text(doc)
         if "markdown" in wanted:
@@ -57,7 +60,7 @@ def parse_one(data: bytes | None, wanted: tuple[str, ...]) -> dict:
     return row
 
 
-def parse(files: DataFrame, key: str = "path", content: str = "content", outputs: tuple[str, ...] = OUTPUTS) -> DataFrame:
+def parse(files: DataFrame, key: str = "path", content: str = "content", outputs: tuple[str, ...] = OUTPUTS, password: str | None = None) -> DataFrame:
     """(key, content) rows -> one row a file with ``SCHEMA``. A file that fails has its ``error`` and no more.
 
     Rows go out a few at a time, so a task holds little beside the file it reads.
@@ -70,7 +73,7 @@ def parse(files: DataFrame, key: str = "path", content: str = "content", outputs
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
-                row = parse_one(batch.column(1)[at].as_py(), outputs)
+                row = parse_one(batch.column(1)[at].as_py(), outputs, password)
                 yield pa.RecordBatch.from_pylist([{"key": batch.column(0)[at].as_py()} | row], schema=arrow)
 
     return own.mapInArrow(run, schema).withColumnRenamed("key", key)
@@ -82,10 +85,10 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.{docx,doc}", outputs: tuple[str, ...] = OUTPUTS) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, glob: str = "*.{docx,doc}", outputs: tuple[str, ...] = OUTPUTS, password: str | None = None) -> DataFrame:
     """Files under a path, parsed. Files are spread by count, since one large file is one row anyway."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return parse(files.select("path", "content"), outputs=outputs)
+    return parse(files.select("path", "content"), outputs=outputs, password=password)
 
 
 def extract_texts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
