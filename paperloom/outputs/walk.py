@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from ..functions.labels import HUNDREDS, ONES, TENS
 from ..model import Document, Level, Paragraph, Piece, RunFormat, Style
@@ -12,6 +12,20 @@ from ..model import Document, Level, Paragraph, Piece, RunFormat, Style
 CODE_STYLES = {"code", "sourcecode", "htmlpreformatted", "preformattedtext", "codeblock", "verbatim", "plaintext"}
 MONOSPACE = ("courier", "consolas", "mono", "menlo", "monaco", "lucida console", "fixed", "terminal", "typewriter", "source code", "inconsolata", "code")
 DEPTH = 32
+# The letters of the Symbol font, and some pictures of Wingdings by their codes.
+SYMBOL = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβχδεφγηιϕκλμνοπθρστυϖωξψζΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ")
+WINGDINGS = {0x6C: "●", 0x6E: "■", 0x6F: "□", 0x71: "❑", 0x75: "◆", 0x76: "❖", 0x9F: "•", 0xA7: "▪", 0xA8: "◻", 0xD8: "➢", 0xE0: "→", 0xFB: "✗", 0xFC: "✓", 0xFE: "☑"}
+
+
+def symbol_text(text: str, font: str) -> str:
+    """Text of a symbol font as Unicode; private-use codes stand for their low byte, unknown ones for a bullet."""
+    name = font.lower()
+    if name not in ("symbol", "wingdings"):
+        return "".join("•" if "\uf000" <= c <= "\uf0ff" else c for c in text)
+    low = "".join(chr(ord(c) - 0xF000) if "\uf000" <= c <= "\uf0ff" else c for c in text)
+    if name == "symbol":
+        return low.translate(SYMBOL).replace("\xb7", "•").replace("\xa3", "≤").replace("\xb3", "≥").replace("\xb1", "±")
+    return "".join(c if c.isspace() else WINGDINGS.get(ord(c), "•") for c in low)
 
 
 @dataclass(frozen=True)
@@ -149,8 +163,12 @@ class Resolver:
         out = []
         for piece in p.pieces:
             fmt, hidden = self.run(p.style, piece.format)
-            if not hidden:
-                out.append((piece, fmt))
+            if hidden:
+                continue
+            font = piece.format.font or self.base[p.style, piece.format.style]["font"] or ""
+            if piece.kind == "text" and (font.lower() in ("symbol", "wingdings") or any("\uf000" <= c <= "\uf0ff" for c in piece.text)):
+                piece = replace(piece, text=symbol_text(piece.text, font))
+            out.append((piece, fmt))
         return out
 
 

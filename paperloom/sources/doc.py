@@ -9,6 +9,7 @@ import struct
 
 from ..model import Cell, Document, Note, Paragraph, Piece, Row, Table
 from .containers import SIGNATURE, CompoundFile, NotAContainer, open_compound
+from .properties import metadata
 
 #: Places in the file information block.
 COUNTS, CLX, FOOTNOTE_REFS, FOOTNOTE_TEXT = 0x4C, 0x1A2, 0xAA, 0xB2
@@ -152,5 +153,6 @@ def read_doc(data: bytes) -> Document:
     for n, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
         if n in refs:
             doc.footnotes[n] = Note(n, "footnote", _story(body[a:b].rstrip("\r"), []))
+    doc.metadata = metadata(box)
     doc.note("approximated", "document", "formatting, pictures and styles of binary files are not read")
     return doc

@@ -7,6 +7,7 @@ import re
 from urllib.parse import unquote
 
 from ..model import Cell, Document, Level, Media, Note, Paragraph, Piece, Row, RunFormat, Style, Table
+from ..outputs.walk import symbol_text
 from .containers import SIGNATURE, Archive, NotAContainer, open_zip
 from .xmltree import Node, parse
 
@@ -325,13 +326,7 @@ def number_of_hex(text: str | None) -> int | None:
 
 
 def symbol(code: int, font: str) -> str:
-    char = chr(code)
-    if char in BULLETS:
-        return BULLETS[char]
-    if 0xF000 <= code <= 0xF0FF:
-        low = chr(code - 0xF000)
-        return low if font.lower() not in ("wingdings", "webdings", "symbol") and low.isprintable() else "•"
-    return char
+    return symbol_text(chr(code if code >= 0xF000 or font.lower() not in ("symbol", "wingdings") else 0xF000 + (code & 0xFF)), font)
 
 
 def plain_text(block) -> str:

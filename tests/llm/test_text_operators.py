@@ -157,4 +157,4 @@ def test_distance_is_jensen_shannon(spark):
     p, q = [0.25, 0.75, 0.0], [0.5, 0.25, 0.25]
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
     kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
-    assert df.select(quality.distance(F.col("b"), q)).first()[0] == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
+    assert df.select(quality.nearest(F.col("b"), [[1.0, 0.0, 0.0], q])).first()[0] == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))

@@ -109,6 +109,12 @@ def test_code_escapes_and_breaks():
         assert to_text(d) == "a b\n"
 
 
+def test_symbol_fonts():
+    doc = document(para(run("abg", font="Symbol"), run(" "), run("\uf0fc\uf0a7", font="Wingdings"), run(" \uf0b7x")))
+    for d in both(doc):
+        assert to_text(d) == "αβγ ✓▪ •x\n"
+
+
 def test_images_and_titles():
     doc = document(para(Piece("image", "A chart", ref=0)), para(), para(run("  ")))
     doc.media = [Media("word/media/image1.png", bytes.fromhex("89504E470D0A1A0A"), "image/png")]
