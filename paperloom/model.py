@@ -24,7 +24,7 @@ class RunFormat:
 
 @dataclass
 class Piece:
-    """One step of a paragraph in reading order: text, tab, line, page, column, footnote, endnote, comment, image."""
+    """One step of a paragraph in reading order: text, tab, line, page, column, footnote, endnote, comment, image, math."""
 
     kind: str
     text: str = ""
@@ -32,6 +32,7 @@ class Piece:
     link: tuple[str | None, str | None] | None = None
     link_id: int = 0
     ref: int | None = None
+    latex: str = ""
 
 
 @dataclass

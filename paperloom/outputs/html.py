@@ -69,6 +69,8 @@ class HtmlWriter:
                 case "footnote" | "endnote" if self.with_notes:
                     label = note_label(piece.kind, self.notes.number(piece.kind, piece.ref))
                     out.append(f'<sup><a href="#fn-{label}" id="fnref-{label}">{label}</a></sup>')
+                case "math":
+                    out.append(f'<span class="math">{escape(piece.text)}</span>')
                 case "image":
                     out.append(self.image(piece))
         flush()

@@ -136,6 +136,8 @@ class MarkdownWriter:
                     if piece.ref not in self.comment_order:
                         self.comment_order.append(piece.ref)
                     out.append(f"[^c{self.comment_order.index(piece.ref) + 1}]")
+                case "math":
+                    out.append(f"${piece.latex}$")
                 case "image":
                     out.append(self.image(piece, table))
         flush()

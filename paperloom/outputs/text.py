@@ -18,7 +18,7 @@ class TextWriter:
         out = []
         for piece, _ in self.resolver.pieces(p):
             match piece.kind:
-                case "text":
+                case "text" | "math":
                     out.append(piece.text)
                 case "tab":
                     out.append("\t")

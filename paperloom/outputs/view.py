@@ -19,7 +19,7 @@ def blocks_view(doc: Document) -> list[dict]:
                 ref, heading, _ = w.resolver.paragraph(b)
                 item = w.lists.next(*ref) if ref else None
                 plain = [(p, f) for p, f in w.resolver.pieces(b) if p.kind not in ("page", "column")]
-                text = "".join(p.text if p.kind == "text" else "\t" if p.kind == "tab" else "\n" if p.kind == "line" else "" for p, _ in plain)
+                text = "".join(p.text if p.kind in ("text", "math") else "\t" if p.kind == "tab" else "\n" if p.kind == "line" else "" for p, _ in plain)
                 row |= {"style": b.style, "kind": "list_item" if item else "heading" if heading is not None else "paragraph"}
                 if item:
                     row |= {"list_level": item.level, "list_label": item.label}

@@ -194,7 +194,7 @@ def note_label(kind: str, n: int) -> str:
 def all_monospace(pieces: list[tuple[Piece, Format]]) -> bool:
     seen = False
     for piece, fmt in pieces:
-        if piece.kind in ("image", "footnote", "endnote", "comment") or piece.link:
+        if piece.kind in ("image", "math", "footnote", "endnote", "comment") or piece.link:
             return False
         if piece.kind == "text" and piece.text.strip():
             if not fmt.mono:

@@ -7,6 +7,7 @@ import re
 from urllib.parse import unquote
 
 from ..model import Cell, Document, Level, Media, Note, Paragraph, Piece, Row, RunFormat, Style, Table
+from ..outputs.math import read_math, to_latex, to_linear
 from ..outputs.walk import symbol_text
 from .containers import SIGNATURE, Archive, NotAContainer, open_zip
 from .xmltree import Node, parse
@@ -222,9 +223,10 @@ class Story:
                 for c in self.choice(node):
                     self.inline(c, out, link, link_id)
             case "m:oMath" | "m:oMathPara":
-                text = "".join(n.text for n in node.walk() if n.tag == "m:t")
+                formula = read_math(node)
+                text = to_linear(formula)
                 if text:
-                    out.append(Piece("text", text, RunFormat(), link, link_id))
+                    out.append(Piece("math", text, RunFormat(), link, link_id, latex=to_latex(formula).strip()))
 
     def field_link(self, instruction: str, link, link_id: int):
         m = re.match(r"\s*HYPERLINK\b(.*)", instruction, re.S)
