@@ -578,3 +578,108 @@ def html_to_blocks(spark, sf_dir):
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return rows.select("page_id", "ord", kind.alias("kind"), text.alias("text")).where("text <> ''")
+
+
+# Sections, parts, fonts and charts ----------------------------------------------------------
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, coalesce(sum(CAST(event_type = 'login' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section FROM events) "
+    "SELECT user_id, event_id, CAST(section AS BIGINT) AS section, row_number() OVER (PARTITION BY user_id, section ORDER BY event_id) AS number FROM e"
+)
+def page_numbers(spark, sf_dir):
+    """Sections end at a mark; numbering starts anew in each."""
+    over = W.partitionBy("user_id").orderBy("event_id")
+    ends = F.sum((F.col("event_type") == "login").cast("long")).over(over.rowsBetween(W.unboundedPreceding, -1))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(ends, F.lit(0)).alias("section"))
+    return rows.withColumn("number", F.row_number().over(W.partitionBy("user_id", "section").orderBy("event_id")).cast("long"))
+
+
+@query(
+    "WITH p AS (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z]+)([?#]|$)', 1)) AS ext FROM pages), o(page_id, kind) AS (SELECT page_id, 'text/override' FROM pages WHERE page_id % 10 = 0), "
+    "d(ext, kind) AS (VALUES ('html', 'text/html'), ('com', 'application/x-host'), ('org', 'application/x-host')) "
+    "SELECT p.page_id, coalesce(o.kind, d.kind) AS kind FROM p LEFT JOIN o USING (page_id) LEFT JOIN d ON p.ext = d.ext"
+)
+def content_types(spark, sf_dir):
+    """An override by part, else the default of its extension, else none."""
+    pages = table(spark, sf_dir, "pages")
+    parts = pages.select("page_id", F.lower(F.regexp_extract("url", r"\.([A-Za-z]+)([?#]|$)", 1)).alias("ext"))
+    overrides = pages.where("page_id % 10 = 0").select("page_id", F.lit("text/override").alias("own"))
+    defaults = spark.createDataFrame([("html", "text/html"), ("com", "application/x-host"), ("org", "application/x-host")], "ext string, usual string")
+    joined = parts.join(overrides, "page_id", "left").join(F.broadcast(defaults), "ext", "left")  # three rows
+    return joined.select("page_id", F.coalesce("own", "usual").alias("kind"))
+
+
+@query(
+    "WITH c AS (SELECT o_orderkey, p_partkey, CASE WHEN p_size = o_custkey % 50 + 1 THEN 0 WHEN p_size % 10 = o_custkey % 10 THEN 1 ELSE 2 END AS rank FROM orders JOIN part ON p_brand = 'Brand#' || (o_custkey % 25 + 1)) "
+    "SELECT o_orderkey, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rank, p_partkey) AS k FROM c) WHERE k = 1"
+)
+def font_choice(spark, sf_dir):
+    """Requests and faces of one family; the exact face, else one of its class, else any: the best candidate."""
+    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    asked = orders.select("o_orderkey", "o_custkey", F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("p_brand"))
+    exact, kin = F.col("p_size") == F.col("o_custkey") % 50 + 1, F.col("p_size") % 10 == F.col("o_custkey") % 10
+    ranked = asked.join(part, "p_brand").withColumn("rank", F.when(exact, 0).when(kin, 1).otherwise(2))
+    best = ranked.groupBy("o_orderkey").agg(F.min(F.struct("rank", "p_partkey")).alias("b"))
+    return best.select("o_orderkey", "b.p_partkey", "b.rank")
+
+
+@query(
+    "WITH s AS (SELECT user_id AS category, event_type, sum(value) AS v FROM events GROUP BY ALL), r AS (SELECT DISTINCT category FROM s ORDER BY category LIMIT 50) "
+    "SELECT category, CAST(round(max(v) FILTER (event_type = 'click'), 6) AS DOUBLE) AS click, CAST(round(max(v) FILTER (event_type = 'login'), 6) AS DOUBLE) AS login FROM s JOIN r USING (category) GROUP BY category"
+)
+def chart_table(spark, sf_dir):
+    """A chart's cached values as a table: at most 50 categories, a column a series."""
+    cells = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("category"), "event_type").agg(F.sum("value").alias("v"))
+    first = cells.select("category").distinct().orderBy("category").limit(50)
+    rows = cells.join(first, "category", "left_semi").groupBy("category").pivot("event_type", ["click", "login"]).agg(F.max("v"))
+    return rows.select("category", F.round("click", 6).alias("click"), F.round("login", 6).alias("login"))
+
+
+STEP = "CASE WHEN m <= 1 THEN 1 WHEN m <= 2 THEN 2 WHEN m <= 5 THEN 5 ELSE 10 END"
+
+
+@query(
+    f"WITH r AS (SELECT event_type, min(value) AS low, max(value) AS high FROM events GROUP BY event_type), s AS (SELECT *, power(10, floor(log10((high - low) / 5))) AS p FROM r), t AS (SELECT *, (high - low) / 5 / p AS m FROM s) "
+    f"SELECT event_type, low, high, round({STEP} * p, 9) AS step, CAST(floor(low / ({STEP} * p)) AS BIGINT) AS first FROM t"
+)
+def axis_steps(spark, sf_dir):
+    """Value ranges with steps of 1, 2 or 5 times a power of ten."""
+    spans = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    raw = (F.col("high") - F.col("low")) / 5
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    m = raw / power
+    step = F.when(m <= 1, 1).when(m <= 2, 2).when(m <= 5, 5).otherwise(10) * power
+    return spans.select("event_type", "low", "high", F.round(step, 9).alias("step"), F.floor(F.col("low") / step).cast("long").alias("first"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, lower(replace(p_name, ' ', '/')) AS name FROM part), w AS (SELECT p_partkey, upper(replace(p_name, ' ', '/')) AS wanted FROM part) "
+    "SELECT w.p_partkey, min(p.p_partkey) AS found FROM w JOIN p ON lower(ltrim(replace(w.wanted, chr(92), '/'), '/')) = p.name GROUP BY w.p_partkey"
+)
+def part_lookup(spark, sf_dir):
+    """Parts by name without regard to case or the kind of slash; of equal names the first."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.lower(F.translate("p_name", " ", "/")).alias("name"), "p_partkey")
+    first = names.groupBy("name").agg(F.min("p_partkey").alias("found"))
+    wanted = part.select("p_partkey", F.lower(F.translate(F.upper(F.translate("p_name", " ", "/")), "\\", "/")).alias("name"))
+    return wanted.join(first, "name").select("p_partkey", "found")
+
+
+@query("SELECT n_regionkey, string_agg(part, '/' ORDER BY i) AS path FROM (SELECT n_regionkey, 1 AS i, 'word' AS part FROM (SELECT DISTINCT n_regionkey FROM nation) UNION ALL SELECT n_regionkey, 2, 'media' FROM (SELECT DISTINCT n_regionkey FROM nation) UNION ALL SELECT DISTINCT n_regionkey, 3, 'image' || n_regionkey || '.png' FROM nation) GROUP BY n_regionkey")
+def target_paths(spark, sf_dir):
+    """Relationship targets against their folder: ``.`` and ``..`` resolved by a fold over the segments."""
+    raw = F.concat(F.lit("word/theme/../././media/x/../image"), F.col("n_regionkey").cast("string"), F.lit(".png"))
+    parts = F.split(raw, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, p: F.when((p == ".") | (p == ""), acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
+    )
+    return table(spark, sf_dir, "nation").select("n_regionkey", F.array_join(kept, "/").alias("path")).distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(least(255, greatest(0, round(l_partkey % 256 * 0.5))) AS INT) AS shaded, CAST(least(255, greatest(0, round(l_partkey % 256 * 0.25 + 0.75 * 255))) AS INT) AS tinted FROM lineitem")
+def colour_transforms(spark, sf_dir):
+    channel = (F.col("l_partkey") % 256).cast("double")
+    shaded, tinted = fn.scale_channel(channel, shade=F.lit(0.5)), fn.scale_channel(channel, tint=F.lit(0.25))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shaded.alias("shaded"), tinted.alias("tinted"))
