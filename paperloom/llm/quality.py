@@ -15,6 +15,8 @@ out of the result of ``judge`` and are kept by ``keep``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,13 +124,14 @@ def references(bins: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """
 
     def shares(name: str, n: int) -> list[Column]:
-        total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
-        return [F.sum(F.when(total > 0, F.get(F.col(name), F.lit(i)) / total)).alias(f"{name}_{i}") for i in range(n)]
+        return [F.sum(F.get(F.col(name), F.lit(i)) / F.col(f"_{name}")).alias(f"{name}_{i}") for i in range(n)]
 
+    # each total once a document, not once a bin
+    totals = {f"_{name}": F.greatest(F.aggregate(name, F.lit(0.0), lambda a, x: a + x), F.lit(1.0)) for name in ("char_bins", "word_bins")}
+    bins = bins.where(F.col("n_words") >= MIN_HISTOGRAM_WORDS).select("lang", "char_bins", "word_bins").withColumns(totals)
     n_words, n_chars = len(WORDS) + 1, 7
     rows = (
-        bins.where(F.col("n_words") >= MIN_HISTOGRAM_WORDS)
-        .groupBy(_language(F.col("lang")).alias("language"))
+        bins.groupBy(_language(F.col("lang")).alias("language"))
         .agg(*shares("char_bins", n_chars), *shares("word_bins", n_words))
         .collect()
     )
@@ -142,27 +145,34 @@ def references(bins: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
-def distance(bins: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram of counts from reference shares."""
+def xlog(x: Column) -> Column:
+    return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
-    def term(p, m):
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    def of(total):
-        pairs = F.zip_with(bins, F.array(*(F.lit(float(x)) for x in reference)), lambda a, q: F.struct((a / F.greatest(total, F.lit(1.0))).alias("p"), q.alias("q")))
-        sums = F.aggregate(
-            pairs, F.lit(0.0), lambda acc, x: acc + (term(x["p"], (x["p"] + x["q"]) / 2) + term(x["q"], (x["p"] + x["q"]) / 2)) / 2
-        )
-        return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sums)))
+def nearest(bins: Column, references: list[list[float]]) -> Column:
+    """Jensen-Shannon distance of a histogram of counts from the nearest of the references' shares.
+
+    With m the mean of p and q the divergence is (sum p log p + sum q log q) / 2 - sum m log m: the first
+    sum is the same for all references and the second a constant.
+    """
+    def of(shares: Column) -> Column:
+        own = F.aggregate(shares, F.lit(0.0), lambda a, p: a + xlog(p))
+
+        def divergence(q: list[float], own: Column) -> Column:
+            fixed = sum(x * math.log2(x) for x in q if x > 0)
+            means = F.zip_with(shares, F.array(*(F.lit(float(x)) for x in q)), lambda p, x: (p + x) / 2)
+            return (own + fixed) / 2 - F.aggregate(means, F.lit(0.0), lambda a, m: a + xlog(m))
+
+        return let(own, lambda h: F.array_min(F.array(*(divergence(q, h) for q in references))))
 
-    return let(F.aggregate(bins, F.lit(0.0), lambda a, x: a + x), of)
+    total = F.greatest(F.aggregate(bins, F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+    return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(let(total, lambda t: F.transform(bins, lambda b: b / t)), of))))
 
 
 def distances(df: DataFrame, refs: dict) -> DataFrame:
     """Adds the distances to the nearest reference: ``char_distance`` and ``word_distance``."""
     for name, at in (("char", 0), ("word", 1)):
-        each = [distance(F.col(f"{name}_bins"), ref[at]) for ref in refs.values()]
-        df = df.withColumn(f"{name}_distance", F.array_min(F.array(*each)) if each else F.lit(0.0))
+        df = df.withColumn(f"{name}_distance", nearest(F.col(f"{name}_bins"), [ref[at] for ref in refs.values()]) if refs else F.lit(0.0))
     return df
 
 
