@@ -101,8 +101,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
 class Memo:
     """Piece hash -> a list of ids, in arrays; emptied when it is full."""
 
-    def __init__(self, encode_many, bits: int = 21):
-        self.encode_many, self.bits = encode_many, bits
+    def __init__(self, bits: int = 21):
+        self.bits = bits
         self.clear()
 
     def clear(self) -> None:
@@ -144,8 +144,9 @@ class Memo:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def places(self, h: np.ndarray, piece_of) -> np.ndarray:
-        """The pieces' places, valid until the next call. ``piece_of(i)`` gives the piece of hash i."""
+    def places(self, h: np.ndarray, encode) -> np.ndarray:
+        """The pieces' places, valid until the next call. ``encode(which)`` gives the ids of the pieces with
+        these numbers one after the other, and how many each has."""
         out = self._find(h)
         missing = np.flatnonzero(out < 0)
         if len(missing):
@@ -155,8 +156,8 @@ class Memo:
                     while len(new) > 1 << (self.bits - 1):
                         self.bits += 1
                 self.clear()
-                return self.places(h, piece_of)
-            ids, sizes = self.encode_many([piece_of(int(i)) for i in missing[first]])
+                return self.places(h, encode)
+            ids, sizes = encode(missing[first])
             n, k = len(new), self.count
             self._room("start", k + n)
             self._room("size", k + n)
@@ -179,6 +180,20 @@ class Memo:
         return self.ids[np.repeat(self.start[places] - ends + sizes, sizes) + np.arange(total)]
 
 
+def gather_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, tail: int | None = None) -> np.ndarray:
+    """The bytes of the ranges one after the other, each followed by the byte ``tail`` if there is one."""
+    sizes = ends - starts + (tail is not None)
+    stop = np.cumsum(sizes)
+    total = int(stop[-1]) if len(stop) else 0
+    at = np.repeat(starts - stop + sizes, sizes) + np.arange(total)
+    if tail is None:
+        return buf[at]
+    at[stop - 1] = 0
+    out = buf[at]
+    out[stop - 1] = tail
+    return out
+
+
 def parts(offsets: np.ndarray, size: int = 1 << 21):
     """(first, last) of runs of texts that hold about so many bytes."""
     first, n = 0, len(offsets) - 1

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from .flat import U64, flat, mix, parts
 from .tokens import BpeEncoder
 
 END_ID = 2
-WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
+WINDOW, MEAN, LEAST, MOST = 8, 512, 128, 4096
 ADDRESS = 16
 _BASE = 0x9E3779B97F4A7C15
 _encoders: dict[str, BpeEncoder] = {}
@@ -65,7 +66,7 @@ def boundaries(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for k in range(1, min(WINDOW, n)):
             factor = U64((int(factor) * _BASE) & (2**64 - 1))
             h[k:] += value[:-k] * factor
-    marks = np.flatnonzero(mix(h) >> U64(56) == 0) + 1  # one in MEAN places
+    marks = np.flatnonzero(mix(h) >> U64(55) == 0) + 1  # one in MEAN places
     begin = offsets[np.searchsorted(offsets, marks - 1, side="right") - 1]
     marks = marks[marks - begin >= WINDOW]  # windows that stay in the stream
     out, at, last, k = [], marks.tolist(), 0, 0
@@ -140,14 +141,15 @@ def _cut(path: str, end_id: int, seen_limit: int = 500_000):
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by kind and name: drops a chunk whose name is that of the row before."""
-    last = None
+    last = np.zeros(ADDRESS, np.uint8)
     for batch in batches:
-        kinds, names = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        keep = np.ones(len(names), bool)
-        for i, (kind, name) in enumerate(zip(kinds, names, strict=True)):
-            if kind == "chunk":
-                keep[i] = name != last
-                last = name
+        if not len(batch):
+            continue
+        buf, _ = flat(batch.column(2))
+        names = buf.reshape(-1, ADDRESS)
+        same = (names == np.concatenate([last[None], names[:-1]])).all(axis=1)
+        keep = ~(same & np.asarray(pc.equal(batch.column(0), "chunk")))
+        last = names[-1].copy()
         yield batch.filter(pa.array(keep))
 
 
@@ -194,7 +196,8 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows").where("kind = 'chunk'").select("name", F.col("body").alias("chunk"))
+    stored = spark.read.schema("kind string, name binary, body binary").parquet(f"{path}/rows")
+    return stored.where("kind = 'chunk'").select("name", F.col("body").alias("chunk"))
 
 
 # CRC-32 of a concatenation from the parts' CRCs: polynomials over GF(2) modulo the CRC's, as arrays.

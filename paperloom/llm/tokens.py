@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .flat import SPACE, Hasher, Memo
+from .flat import SPACE, Hasher, Memo, gather_ranges
 
 #: First bytes of white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000.., U+3000), and controls
 #: that some libraries take for white space: next to them no cut is made.
@@ -67,48 +67,66 @@ class BpeEncoder:
         feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
         self.hasher = Hasher()
-        self.memo = Memo(self._encode, bits)
-
-    def _each(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, texts: list[str]) -> list[np.ndarray]:
-        """Texts without white space but for one leading space: one call, split at the line feeds."""
-        if len(texts) > 1000:
-            return [ids for i in range(0, len(texts), 1000) for ids in self._joined(texts[i : i + 1000])]
-        if len(texts) > 1:
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
-            seam = np.flatnonzero(ids == self.feed)
-            if len(seam) == len(texts) - 1:
-                ends = np.append(seam, len(ids))
-                starts = np.append(0, seam + 1)
-                return [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return self._each(texts)
-
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        spaced, bare, fed, other = [], [], [], []
-        for i, t in enumerate(texts):
-            body = t[1:] if t[:1] in (" ", "\n") else t
-            if not body or self.feed is None or body.split() != [body]:
-                other.append(i)
+        self.memo = Memo(bits)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces without white space but for a leading space, many a call: the ids between line feeds."""
+        ids, sizes = [], []
+        texts = []
+        for i in range(0, len(starts), 1000):
+            texts.append(gather_ranges(buf, starts[i : i + 1000], ends[i : i + 1000], 0x0A).tobytes().decode("utf-8", "replace"))
+        for i, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            got = np.array(e.ids, np.uint32)
+            seam = np.flatnonzero(got == self.feed)
+            n = min(1000, len(starts) - 1000 * i)
+            if len(seam) != n:  # a line feed met its neighbours in one id
+                got, own = self._each(texts[i].split("\n")[:-1])
             else:
-                (spaced if t[0] == " " else fed if t[0] == "\n" else bare).append(i)
-        for group, cut, head in ((spaced, 0, None), (bare, 0, None), (fed, 1, self.feed)):
-            for i, ids in zip(group, self._joined([texts[i][cut:] for i in group]) if group else [], strict=True):
-                out[i] = ids if head is None else np.concatenate((np.array([head], np.uint32), ids))
-        for i, ids in zip(other, self._each([texts[i] for i in other]) if other else [], strict=True):
-            out[i] = ids
-        sizes = np.fromiter((len(x) for x in out), np.int64, len(out))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), sizes
+                own = np.diff(seam, prepend=-1) - 1
+                got = got[got != self.feed]
+            ids.append(got)
+            sizes.append(own)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids one after the other, and how many each has."""
+        doubt = np.concatenate(([0], np.cumsum(_DOUBTFUL[buf])))
+        head = buf[starts]
+        plain = (doubt[ends] - doubt[starts + 1] == 0) & (ends > starts + 1) & (self.feed is not None)
+        fed = plain & (head == 0x0A)
+        clean = plain & ~fed & ((head == 0x20) | ~_DOUBTFUL[head])
+        sizes = np.zeros(len(starts), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for which, skip in ((np.flatnonzero(clean), 0), (np.flatnonzero(fed), 1)):
+            if len(which):
+                found.append((which, *self._joined(buf, starts[which] + skip, ends[which])))
+        rest = np.flatnonzero(~clean & ~fed)
+        if len(rest):
+            texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            found.append((rest, *self._each(texts)))
+        for which, _, own in found:
+            sizes[which] = own
+        sizes[fed] += 1
+        stop = np.cumsum(sizes)
+        out = np.full(int(stop[-1]) if len(stop) else 0, self.feed or 0, np.uint32)
+        for which, ids, own in found:
+            # behind the line feed of those that start with one
+            at = (stop - sizes)[which] + fed[which]
+            last = np.cumsum(own)
+            out[np.repeat(at - last + own, own) + np.arange(len(ids))] = ids
+        return out, sizes
 
     def _places(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' places, and how many pieces begin before each text (and after all)."""
         starts = cuts(buf, offsets) if self.by_pieces else np.unique(offsets[:-1][np.diff(offsets) > 0])
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         hashes = self.hasher.ranges(buf, starts, ends)
-        places = self.memo.places(hashes, lambda i: buf[starts[i] : ends[i]].tobytes())
+        places = self.memo.places(hashes, lambda which: self._encode(buf, starts[which], ends[which]))
         return places, np.searchsorted(starts, offsets)
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -114,7 +114,7 @@ class Unigram:
         sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.out_size, self.out_start = sizes, np.cumsum(sizes) - sizes
         self.out_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.hasher, self.memo = Hasher(), Memo(self._encode_parts, bits)
+        self.hasher, self.memo = Hasher(), Memo(bits)
 
     def viterbi(self, s: str) -> list[int]:
         """The ids of a text that holds marks for spaces."""
@@ -188,7 +188,8 @@ class Unigram:
         if self.prefix:
             first[np.searchsorted(starts, offsets[:-1][np.diff(offsets) > 0])] = True
         hashes = mix(self.hasher.ranges(buf, starts, ends) + first.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-        places = self.memo.places(hashes, lambda i: (buf[starts[i] : ends[i]].tobytes(), bool(first[i])))
+        pieces = lambda which: [(buf[starts[i] : ends[i]].tobytes(), bool(first[i])) for i in which.tolist()]
+        places = self.memo.places(hashes, lambda which: self._encode_parts(pieces(which)))
         sums = np.concatenate(([0], np.cumsum(self.memo.size[places])))
         return self.memo.gather(places), np.diff(sums[np.searchsorted(starts, offsets)])
 
