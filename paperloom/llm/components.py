@@ -1,16 +1,69 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table.
 
-Each step is one grouped minimum (combined before the shuffle) and one equi-join back, so a node
-that holds a large share of all edges never meets in one task. Lineage is cut by a written table.
+Every task first replaces its edges by stars of its own components, without a shuffle. If what is left
+is at most ``ONE_TASK`` edges, one task finishes. Else alternating large-star and small-star steps do:
+each is one grouped minimum (combined before the shuffle) and one equi-join back, so a node that holds
+a large share of all edges never meets in one task. Lineage is cut by a written table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+ONE_TASK = 1_000_000
+_PART = 500_000
+
+
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node reachable from each of the nodes 0..n-1, by hooking and pointer jumping."""
+    parent = np.arange(n)
+    while len(u):
+        pu, pv = parent[u], parent[v]
+        on = pu != pv
+        u, v, pu, pv = u[on], v[on], pu[on], pv[on]
+        np.minimum.at(parent, np.maximum(pu, pv), np.minimum(pu, pv))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+    return parent
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) -> (node, root of the task's edges) for nodes that aren't roots; a bounded part at a time."""
+
+    def solve(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(tables).combine_chunks()
+        both = pa.concat_arrays([t.column(0).combine_chunks(), t.column(1).combine_chunks()])
+        nodes = pc.unique(both)
+        nodes = nodes.take(pc.array_sort_indices(nodes))
+        at = pc.index_in(both, nodes).to_numpy().astype(np.int64)
+        root = roots(at[: len(t)], at[len(t) :], len(nodes))
+        low = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(low)), nodes.take(pa.array(root[low]))], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n > ONE_TASK:
+            held = [solve(held)]
+            n = len(held[0])
+            if n >= _PART:  # mostly stars already
+                yield held[0]
+                held, n = [], 0
+    if n:
+        yield solve(held)
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,16 +84,28 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Null ends and loops are dropped; nodes without an edge are not returned. An empty table gives an
     empty one. Raises if ``rounds`` do not suffice (they grow with the logarithm of the diameter).
     """
-    pairs = edges.where("u is not null and v is not null and u <> v")
-    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+    pairs = edges.where("u is not null and v is not null and u <> v").select("u", "v")
+    schema = pairs.schema
+    pairs = materialize(pairs.mapInArrow(_stars, schema).distinct(), "cc-edges")
+    n = pairs.count()
+    if 0 < n <= ONE_TASK:
+        pairs = materialize(pairs.repartition(1).mapInArrow(_stars_once, schema), "cc-stars")
+        n = 0
     seen = None
     for _ in range(rounds):
         # a forest of stars is stable: every node has one parent and no parent has one
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+        state = None if n == 0 else pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if n == 0 or state == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
         seen = state
         pairs = materialize(_star(materialize(_star(pairs, True), "cc-large"), False), "cc-small")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _stars_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``ONE_TASK`` edges, all together."""
+    held = list(batches)
+    if held:
+        yield from _stars(iter([pa.Table.from_batches(held).combine_chunks().to_batches()[0]])) if sum(map(len, held)) else []

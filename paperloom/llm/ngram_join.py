@@ -37,8 +37,12 @@ from .shingles import SIZE, bitmap, fold_bits, set_id, sets, signed
 
 #: The ratio as a fraction: 3/4.
 UP, DOWN = 3, 4
-SLOT_BITS, RUN, PER_BUCKET, TILE = 22, 1 << 17, 200_000, 128
+SLOT_BITS, RUN, PER_BUCKET, TILE, GROUP = 22, 1 << 17, 200_000, 128, 1000
 BLOOM_BITS = 1 << 24
+#: How many of a class's runs are listed, and what fills shorter lists.
+LOW, NO_RUN = 8, (1 << 63) - 1
+#: Rows of (class, id) that are broadcast at most: 16 bytes each.
+SMALL = 500_000
 
 
 def least_overlap(a, b):
@@ -263,13 +267,26 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (run, n, class, component, bits) sorted by run and size -> pairs of different components whose
-    bound reaches the ratio, tile by tile. One run is held at a time; a run has at most about RUN rows."""
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of the narrowest one's width."""
+    width = min(map(len, blobs))
+    same = [b if len(b) == width else fold_bits(np.frombuffer(b, np.uint64)[None], 8 * width).tobytes() for b in blobs]
+    return np.frombuffer(b"".join(same), np.uint64).reshape(len(blobs), -1)
 
-    def compare(rows):
+
+def _tiled(forest: bool):
+    """Rows (run, n, class, component, bits, low) sorted by run and size -> pairs of different components
+    whose bound reaches the ratio, tile by tile. One run is held at a time; a run has at most about RUN rows.
+    ``low`` has a class's smallest runs: a pair is given by the smallest run that both lists name, or by
+    every run where they name none in common. With ``forest`` a run gives only pairs that connect what
+    its earlier pairs don't."""
+
+    def compare(run, rows):
         n, cls, comp = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 2))
         blobs = [x for r in rows for x in r[3]]
+        bits = [_matrix(blobs[i : i + TILE]) for i in range(0, len(n), TILE)]
+        low = np.concatenate([r[4] for r in rows])
+        _, comp = np.unique(comp, return_inverse=True)
         out_a, out_b = [], []
         for i in range(0, len(n), TILE):
             x = slice(i, i + TILE)
@@ -277,52 +294,93 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 y = slice(j, j + TILE)
                 if DOWN * n[x][-1] < UP * n[y][0]:
                     break  # sizes ascend: later tiles are larger still
-                width = 8 * min(map(len, blobs[x] + blobs[y]))
-                bx, by = (np.concatenate([fold_bits(np.frombuffer(b, np.uint64)[None], width) for b in blobs[s]]) for s in (x, y))
+                cross = comp[x][:, None] != comp[y][None, :]
+                if not cross.any():
+                    continue
+                bx, by = bits[i // TILE], bits[j // TILE]
+                width = 64 * min(bx.shape[1], by.shape[1])
+                bx, by = fold_bits(bx, width), fold_bits(by, width)
                 differ = np.zeros((len(bx), len(by)), np.int64)
                 for w in range(bx.shape[1]):
                     differ += np.bitwise_count(bx[:, w, None] ^ by[None, :, w])
-                ok = may_link(n[x][:, None], n[y][None, :], differ) & (comp[x][:, None] != comp[y][None, :])
+                ok = may_link(n[x][:, None], n[y][None, :], differ) & cross
                 if i == j:
                     ok = np.triu(ok, 1)
                 p, r = np.nonzero(ok)
+                if len(p):
+                    mine = low[x][p]
+                    shared = (mine[:, :, None] == low[y][r][:, None, :]).any(axis=2) & (mine != NO_RUN)
+                    first = np.where(shared, mine, NO_RUN).min(axis=1)
+                    here = (first == NO_RUN) | (first == run)
+                    p, r = p[here], r[here]
+                if forest and len(p):
+                    keep = []
+                    for k, (s, t) in enumerate(zip((p + i).tolist(), (r + j).tolist(), strict=True)):
+                        if comp[s] != comp[t]:
+                            keep.append(k)
+                            comp[comp == comp[t]] = comp[s]
+                    p, r = p[keep], r[keep]
                 out_a.append(cls[x][p])
                 out_b.append(cls[y][r])
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+        return out_a, out_b
+
+    def paired(out: list) -> pa.RecordBatch:
+        a, b = (np.concatenate([x for o in out for x in o[k]] or [np.zeros(0, np.int64)]) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    now, rows = None, []
-    for batch in batches:
-        run = batch.column(0).to_numpy()
-        if not len(run):
-            continue
-        cut = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)])).tolist()
-        n, cls, comp, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            if run[x] != now and rows:
-                yield compare(rows)
-                rows = []
-            now = run[x]
-            rows.append((n[x:y], cls[x:y], comp[x:y], bits[x:y].to_pylist()))
-    if rows:
-        yield compare(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            if not len(key):
+                continue
+            cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
+            n, cls, comp, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            low = np.frombuffer(flat(batch.column(5))[0].tobytes(), ">i8").astype(np.int64).reshape(-1, LOW)
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                if key[x] != now and rows:
+                    out.append(compare(now, rows))
+                    rows = []
+                now = key[x]
+                rows.append((n[x:y], cls[x:y], comp[x:y], bits[x:y], low[x:y]))
+            yield paired(out)
+            out = []
+        if rows:
+            yield paired([compare(now, rows)])
+
+    return run
 
 
 def _verify(size: int):
-    """(a, b, text_a, text_b) -> the pairs that reach the ratio, by exact intersection."""
+    """Rows (tile, class, text, a, b) sorted by tile, texts first -> the pairs (a, b) that reach the ratio, by
+    exact intersection. The sets of one tile are held; a tile has at most 2 * GROUP classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            (buf_a, offs_a), (buf_b, offs_b) = flat(batch.column(2)), flat(batch.column(3))
-            sizes = np.maximum(np.diff(offs_a), np.diff(offs_b))
-            for x, y in parts(np.concatenate(([0], np.cumsum(sizes)))):
-                left = sets(buf_a[offs_a[x] : offs_a[y]], offs_a[x : y + 1] - offs_a[x], size)
-                right = sets(buf_b[offs_b[x] : offs_b[y]], offs_b[x : y + 1] - offs_b[x], size)
-                for i, (p, q) in enumerate(zip(left, right, strict=True)):
-                    overlap = len(np.intersect1d(p, q, assume_unique=True))
-                    keep[x + i] = overlap >= least_overlap(len(p), len(q))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            tile, cls = batch.column(0).to_numpy(), batch.column(1)
+            is_text = np.asarray(cls.is_valid())
+            names = cls.to_pylist()
+            buf, offs = flat(batch.column(2))
+            left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            found: dict[int, np.ndarray] = {}
+            for x, y in parts(offs):
+                if is_text[x:y].any():
+                    found |= dict(zip(range(x, y), sets(buf[offs[x] : offs[y]], offs[x : y + 1] - offs[x], size), strict=True))
+            keep_a, keep_b = [], []
+            for i, t in enumerate(tile.tolist()):
+                if t != now:
+                    now, held = t, {}
+                if is_text[i]:
+                    # of rows with one id only that with the class's text counts
+                    if set_id(found[i]) == names[i]:
+                        held[names[i]] = found[i]
+                    continue
+                p, q = held[left[i]], held[right[i]]
+                if len(np.intersect1d(p, q, assume_unique=True)) >= least_overlap(len(p), len(q)):
+                    keep_a.append(left[i])
+                    keep_b.append(right[i])
+            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -357,14 +415,17 @@ def _in_bloom(table):
     return run
 
 
-def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(class, text) for the (class, doc_id) rows of ``needed``. The filter keeps other texts out of the shuffle."""
+def _texts_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """(tile, class, text) for the (tile, class, doc_id) rows of ``needed``, of which there are ``n``: a broadcast
+    up to SMALL rows; beyond, a filter of fixed size keeps most other texts out of the shuffle."""
+    if n <= SMALL:
+        return docs.join(F.broadcast(needed), "doc_id").select("tile", "class", "text")
     spark = docs.sparkSession
     bloom = spark.sparkContext.broadcast(_bloom(needed))  # BLOOM_BITS, whatever the input
     kind = docs.schema["doc_id"].dataType.simpleString()
     tests = [F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(BLOOM_BITS)).alias(f"p{s}") for s in (1, 2, 3)]
     some = docs.select("doc_id", "text", *tests).mapInArrow(_in_bloom(bloom), f"doc_id {kind}, text string")
-    return some.join(needed, "doc_id").select("class", "text")
+    return some.join(needed, "doc_id").select("tile", "class", "text")
 
 
 class _Join:
@@ -394,23 +455,29 @@ class _Join:
         return materialize(found.groupBy("run").agg(F.first("classes").alias("classes"), F.sum("weight").alias("weight")), "join-runs")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of classes (a < b) that pass the bound are compared exactly; returns the links."""
-        pairs = materialize(pairs, "join-pairs")
-        self.tested.append(pairs.select("a", "b"))
-        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        """Pairs of classes (a < b) that pass the bound are compared exactly; returns the links.
+
+        Pairs that hang together go to one tile, so a text travels once; a set of pairs with more than
+        GROUP classes is dealt into tiles of two parts each.
+        """
+        pairs = materialize(pairs.select("a", "b"), "join-pairs")
+        self.tested.append(pairs)
+        groups = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        cuts = groups.groupBy("label").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
+        member = groups.join(cuts, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("part"))
+        left, right = (member.select(F.col("node").alias(k), "label", F.col("part").alias(f"part_{k}")) for k in "ab")
+        tile = F.xxhash64("label", F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("tile")
+        tiles = materialize(pairs.join(left, "a").join(right.drop("label"), "b").select(tile, "a", "b"), "join-tiles")
+        ends = tiles.select("tile", F.explode(F.array("a", "b")).alias("class")).distinct()
         needed = materialize(ends.join(self.classes.select("class", "doc_id"), "class"), "join-needed")
-        texts = _texts_of(self.docs, needed).dropDuplicates(["class"]) if self.repeated() else _texts_of(self.docs, needed)
-        left, right = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        links = materialize(both.mapInArrow(_verify(self.size), "a long, b long").distinct(), "join-links")
-        return links
-
-    def repeated(self) -> bool:
-        """Whether a ``doc_id`` stands in several rows; then texts are looked up by class and id."""
-        if not hasattr(self, "_repeated"):
-            counts = self.members.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-            self._repeated = counts["n"] != counts["d"]
-        return self._repeated
+        texts = _texts_of(self.docs, needed, needed.count())
+        none = F.lit(None).cast("long")
+        rows = texts.select("tile", "class", "text", none.alias("a"), none.alias("b")).unionByName(
+            tiles.select("tile", none.alias("class"), F.lit(None).cast("string").alias("text"), "a", "b")
+        )
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        sorted_rows = rows.repartition(n, "tile").sortWithinPartitions("tile", F.col("class").isNull())
+        return materialize(sorted_rows.mapInArrow(_verify(self.size), "a long, b long"), "join-links")
 
     def link(self, links: DataFrame) -> int:
         n = links.count()
@@ -445,39 +512,39 @@ class _Join:
         # 1. neighbours in runs: for each class its most frequent one
         chain = runs.select("classes", "weight").mapInArrow(_neighbours, "a long, b long, weight long")
         chain = chain.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-        best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("weight"), "a"))
-        first = chain.withColumn("k", best).where("k = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        best = chain.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a"))
+        first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         self.link(self.compare(self.bounded(first)))
-        # 2. neighbours of different components, until that finds nothing more
-        for _ in range(4):
-            rows = self.mixed(runs)
-            before = W.partitionBy("run").orderBy("n", "class")
-            near = rows.select("component", F.col("class").alias("y"), F.lag("class").over(before).alias("x"), F.lag("component").over(before).alias("c"))
-            near = near.where("x is not null and c <> component").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            if self.link(self.compare(self.bounded(self.untested(near)))) == 0:
-                break
-        # 3. all pairs of different components in runs
-        rows = self.mixed(runs).join(self.classes.select("class", "bits"), "class").select("run", "n", "class", "component", "bits")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        tiles = rows.repartition(n, "run").sortWithinPartitions("run", "n", "class").mapInArrow(_tiled, "a long, b long")
-        left = materialize(self.untested(tiles.distinct()), "join-left")
-        # of the pairs that join the same two components a few at a time: one link makes the rest idle
-        for take in (1, 4, 64, None):
+        # 2. pairs that would connect the components of a run
+        self.link(self.compare(self.untested(self.tiles(runs, True))))
+        # 3. all pairs of different components in runs; of those between the same two components a few
+        # at a time, as one link makes the others idle
+        left = materialize(self.untested(self.tiles(runs, False)), "join-left")
+        if left.isEmpty():
+            return
+        for take in (4, None):
             pairs = self.with_component(self.with_component(self.untested(left), "a", "ca"), "b", "cb").where("ca <> cb")
             if take is not None:
                 order = W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b")
                 pairs = pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= take)
             pairs = materialize(pairs.select("a", "b"), "join-rest")
             if pairs.isEmpty():
-                break
+                return
             self.link(self.compare(pairs))
 
-    def mixed(self, runs: DataFrame) -> DataFrame:
-        """(run, class, n, component) of the runs that hold several components."""
+    def tiles(self, runs: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of different components that pass the bound, from the runs that hold several components."""
         rows = self.with_component(runs.select("run", F.explode("classes").alias("class")), "class", "component")
-        rows = materialize(rows, "join-rows")
-        several = rows.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
-        return rows.join(several, "run").join(self.classes.select("class", "n"), "class")
+        over = W.partitionBy("run")
+        mixed = rows.withColumn("x", F.min("component").over(over)).withColumn("y", F.max("component").over(over)).where("x <> y")
+        mixed = materialize(mixed.select("run", "class", "component"), "join-mixed")
+        listed = F.concat(F.slice(F.array_sort(F.collect_list("run")), F.lit(1), F.lit(LOW)), F.array_repeat(F.lit(NO_RUN), LOW))
+        low = mixed.groupBy("class").agg(F.slice(listed, 1, LOW).alias("low"))
+        packed = F.unhex(F.array_join(F.transform("low", lambda v: F.lpad(F.hex(v), 16, "0")), ""))
+        side = low.select("class", packed.alias("low")).join(self.classes.select("class", "n", "bits"), "class")
+        rows = mixed.join(side, "class").select("run", "n", "class", "component", "bits", "low")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, "run").sortWithinPartitions("run", "n", "class").mapInArrow(_tiled(forest), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:

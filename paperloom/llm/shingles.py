@@ -66,8 +66,8 @@ def set_id(h: np.ndarray) -> int:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit per shingle in a map of a power of two of bits, about two a shingle (64 to 16,384)."""
-    width = min(1 << 14, max(64, 1 << (2 * len(h) - 1).bit_length()))
+    """A bit per shingle in a map of a power of two of bits, two to four a shingle (64 to 8,192)."""
+    width = min(1 << 13, max(64, 1 << (2 * len(h) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(h & U64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
