@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits, lower-cased (ASCII and Latin-1). A seed is a 3-word window of a
-test item. A first pass counts in how many documents each seed occurs; an item's seeds that occur far
-more often than its rarer ones are common phrases and are left out. In a second pass every place where
-a remaining seed occurs in a document gives a window of the document's words as long as the item and a
-margin; the window is aligned with the item (match 2, mismatch -1, gap -1). A document leaks an item
-if the best alignment reaches a share of the item's own score.
+test item. Every place where a seed occurs in a document, however common it is, gives a window of the
+document's words as long as the item and a margin; the window is aligned with the item (match 2,
+mismatch -1, gap -1). A document leaks an item if the best alignment reaches a share of the item's own
+score. Windows that hold too few of the item's words to reach it are not aligned: no alignment matches
+more words than are there, so this loses nothing.
 
 Test items are a stated query set: they are read in blocks of bounded size, each against all documents.
 
@@ -29,9 +29,9 @@ from .flat import U64, flat, parts
 from .shingles import LOWER, windows, word_hashes
 
 SEED, SHARE, MATCH = 3, 0.5, 2
-#: A seed is common beyond COMMON times the lower quartile of its item's counts, plus a few.
-COMMON, FEW = 4, 4
 BLOCK_WORDS = 1_000_000
+#: Words of windows that are bounded at a time, and one window.
+WINDOW_WORDS = 2_000_000
 _FILTER_BITS = 20
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -62,25 +62,14 @@ class Items:
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.item = np.array([r[1] for r in rows], np.int64)
         self.place = np.array([r[2] for r in rows], np.int64)
-        self._index()
-
-    def _index(self) -> None:
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
         self.seeds = np.unique(self.hash)
         self.table = np.zeros(1 << _FILTER_BITS, bool)
         self.table[(self.seeds & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-
-    def rare(self, counts: dict[int, int]) -> None:
-        """Drop the seeds that are common by these document counts."""
-        n = np.array([counts.get(h, 0) for h in self.hash.tolist()], np.int64)
-        keep = np.zeros(len(n), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                keep[own] = n[own] <= COMMON * np.quantile(n[own], 0.25, method="lower") + FEW
-        self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
-        self._index()
+        # how often each word of the block is in an item, by item * (number of words) + word
+        self.known, own = np.unique(words, return_inverse=True)
+        self.held, self.times = np.unique(np.repeat(np.arange(len(ids)), np.diff(before)) * len(self.known) + own, return_counts=True)
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Places of windows that are seeds."""
@@ -91,6 +80,27 @@ class Items:
         return at[self.seeds[k] == grams[at]]
 
 
+def most_matches(words: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """For windows of a part's words, how many of the item's words are in the window: no alignment matches more."""
+    out = np.zeros(len(begin), np.int64)
+    at = np.minimum(np.searchsorted(items.known, words), len(items.known) - 1)
+    at[items.known[at] != words] = -1
+    chunk = np.cumsum(end - begin) // WINDOW_WORDS
+    cut = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(begin)]
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        low, n = begin[x:y], (end - begin)[x:y]
+        window = np.repeat(np.arange(len(n)), n)
+        word = at[low[window] + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)]
+        window, word = window[word >= 0], word[word >= 0]
+        once = np.unique(window * len(items.known) + word)
+        window, word = once // len(items.known), once % len(items.known)
+        key = item[x:y][window] * len(items.known) + word
+        k = np.minimum(np.searchsorted(items.held, key), len(items.held) - 1)
+        times = np.where(items.held[k] == key, items.times[k], 0)
+        out[x:y] = np.bincount(window, times, minlength=len(n)).astype(np.int64)
+    return out
+
+
 def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of text i with item i, and where in the text the best alignment ends.
 
@@ -145,13 +155,12 @@ def found_in(words: np.ndarray, before: np.ndarray, items: Items, share: float)
     new = np.ones(len(shift), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > margin[1:])
     begin = np.flatnonzero(new)
-    stop = np.append(begin[1:], len(new))
-    pairs = []
-    for x, y in zip(begin.tolist(), stop.tolist(), strict=True):
-        d, i = int(doc[x]), int(item[x])
-        a = max(int(before[d]), int(shift[x] - margin[x]))
-        b = min(int(before[d + 1]), int(shift[y - 1] + size[x] + margin[x]))
-        pairs.append((d, i, a, b, y - x))
+    stop = np.append(begin[1:], len(new)) - 1
+    d, i = doc[begin], item[begin]
+    a = np.maximum(before[d], shift[begin] - margin[begin])
+    b = np.minimum(before[d + 1], shift[stop] + size[begin] + margin[begin])
+    ok = most_matches(words, a, b, i, items) / size[begin] >= share
+    pairs = list(zip(*(x[ok].tolist() for x in (d, i, a, b, stop - begin + 1)), strict=True))
     score, end = align([words[a:b] for _, _, a, b, _ in pairs], [items.words[i] for _, i, *_ in pairs])
     out: dict[tuple[int, int], tuple] = {}
     for (d, i, a, _, seeds), s, e in zip(pairs, score.tolist(), end.tolist(), strict=True):
@@ -161,27 +170,6 @@ def found_in(words: np.ndarray, before: np.ndarray, items: Items, share: float)
     return list(out.values())
 
 
-def _count(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = table.value
-        total = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            buf, offs = flat(batch.column(0))
-            for a, b in parts(offs):
-                words, before = text_words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                grams = windows(words, SEED)
-                at = items.hits(grams)
-                doc = np.searchsorted(before, at, side="right") - 1
-                ok = at + SEED <= before[doc + 1]
-                pairs = np.unique(doc[ok] * len(total) + np.searchsorted(items.seeds, grams[at[ok]]))
-                if len(pairs):
-                    total += np.bincount(pairs % len(total), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(items.seeds[some].view(np.int64)), pa.array(total[some])], ["seed", "n"])
-
-    return run
-
-
 def _find(table, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = table.value
@@ -222,9 +210,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     schema = f"doc_id {kind}, item_id long, score double, n_seeds long, end_word long"
     out = []
     for items in blocks(benchmark):
-        counts = texts.select("text").mapInArrow(_count(spark.sparkContext.broadcast(items)), "seed long, n long")
-        got = counts.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row a seed of the block
-        items.rare(dict(zip(got["seed"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist(), strict=True)))
         out.append(texts.mapInArrow(_find(spark.sparkContext.broadcast(items), share), schema))
     if not out:
         return spark.createDataFrame([], schema)
@@ -250,11 +235,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     """The documents that hold no item, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    texts = read_text(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"))
     for items in blocks(benchmark):
-        counts = texts.select("text").mapInArrow(_count(spark.sparkContext.broadcast(items)), "seed long, n long")
-        got = counts.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        items.rare(dict(zip(got["seed"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist(), strict=True)))
         first = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *columns)
         docs = first.mapInArrow(_drop(spark.sparkContext.broadcast(items), share), first.schema).drop("_text")
     return docs

@@ -185,6 +185,40 @@ def test_leaks(spark):
     assert decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("copies", [5, 50, 1000])
+def test_popular_leaks(spark, copies):
+    """An edited and a partial form stay leaks however many documents hold them, also beside a whole copy."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(4)]
+    edited = [t.split() for _, t in items]
+    for i in (0, 2):
+        for k in (3, 11, 17, 25):
+            edited[i][k] = word()
+    for i in (1, 3):
+        edited[i] = edited[i][:18]
+    docs = [(k, " ".join([word() for _ in range(9)] + edited[k % 4] + [word() for _ in range(9)])) for k in range(4 * copies)]
+    docs += [(-1, items[2][1]), (-2, items[3][1]), (-3, " ".join(word() for _ in range(60)))]
+    d, b = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect())
+    assert got == sorted([(k, k % 4) for k in range(4 * copies)] + [(-1, 2), (-2, 3)])
+    assert [r["doc_id"] for r in decontaminate.clean(d, b).collect()] == [-3]
+
+
+def test_windows_left_out_hold_no_leak(monkeypatch):
+    """Leaving out windows by their words changes no result, over few words that repeat and in small chunks."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefghijkl") for _ in range(n))
+    items = decontaminate.Items(list(range(30)), [text(rng.randint(3, 25)) for _ in range(30)])
+    buf, offsets = decontaminate.flat(pa.array([text(rng.randint(0, 90)) for _ in range(60)]))
+    words, before = decontaminate.text_words(buf, offsets)
+    everything = decontaminate.found_in(words, before, items, 0.0)
+    monkeypatch.setattr(decontaminate, "WINDOW_WORDS", 50)
+    for share in (0.3, 0.5, 0.7, 1.0):
+        got = decontaminate.found_in(words, before, items, share)
+        assert got and got == [r for r in everything if r[2] >= share]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (3,))
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(5)]
