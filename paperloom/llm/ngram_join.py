@@ -56,7 +56,7 @@ def prefix_size(n: int) -> int:
 
 # First pass: classes, and shingles that stand out -------------------------------------------
 
-_SCAN = "kind string, doc_id {id}, n long, class long, bits binary, slot int, hits long"
+_SCAN = "kind string, doc_id {id}, key long, n long, class long, bits binary, slot int, hits long"
 
 
 def _scan(size: int):
@@ -66,7 +66,7 @@ def _scan(size: int):
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            names = ["kind", "doc_id", "n", "class", "bits", "slot", "hits"]
+            names = ["kind", "doc_id", "key", "n", "class", "bits", "slot", "hits"]
             buf, offs = flat(batch.column(1))
             for a, b in parts(offs):
                 found = sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
@@ -89,7 +89,7 @@ def _scan(size: int):
                 k = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(["doc"] * k), batch.column(0)[a:b], pa.array([len(h) for h in found], pa.int64()), pa.array(ids, pa.int64()),
+                        pa.array(["doc"] * k), batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(h) for h in found], pa.int64()), pa.array(ids, pa.int64()),
                         pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
                     ],
                     names,
@@ -99,7 +99,7 @@ def _scan(size: int):
             k = len(high)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(["slot"] * k, pa.string()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                    pa.array(["slot"] * k, pa.string()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
                     pa.nulls(k, pa.binary()), pa.array(high, pa.int32()), pa.array(counts[high], pa.int64()),
                 ],
                 names,
@@ -372,7 +372,7 @@ def _verify(size: int):
                 if t != now:
                     now, held = t, {}
                 if is_text[i]:
-                    # of rows with one id only that with the class's text counts
+                    # of rows with one key only that with the class's text counts
                     if set_id(found[i]) == names[i]:
                         held[names[i]] = found[i]
                     continue
@@ -388,9 +388,9 @@ def _verify(size: int):
 # A filter of fixed size for the texts that a round needs ------------------------------------
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bit set of BLOOM_BITS for the values of ``doc_id``, built in the executors word by word."""
-    places = F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(BLOOM_BITS)) for s in (1, 2, 3))))
+def _bloom(ids: DataFrame, col: str) -> np.ndarray:
+    """A bit set of BLOOM_BITS for the values of a column, built in the executors word by word."""
+    places = F.explode(F.array(*(F.pmod(F.xxhash64(col, F.lit(s)), F.lit(BLOOM_BITS)) for s in (1, 2, 3))))
     got = (
         ids.select(places.alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
@@ -415,31 +415,36 @@ def _in_bloom(table):
     return run
 
 
+def _row_key(text: str):
+    """Rows of equal id and text share it; rows without an id are told apart by their texts."""
+    return F.xxhash64("doc_id", text)
+
+
 def _texts_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """(tile, class, text) for the (tile, class, doc_id) rows of ``needed``, of which there are ``n``: a broadcast
+    """(tile, class, text) for the (tile, class, key) rows of ``needed``, of which there are ``n``: a broadcast
     up to SMALL rows; beyond, a filter of fixed size keeps most other texts out of the shuffle."""
     if n <= SMALL:
-        return docs.join(F.broadcast(needed), "doc_id").select("tile", "class", "text")
+        return docs.join(F.broadcast(needed), "key").select("tile", "class", "text")
     spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(_bloom(needed))  # BLOOM_BITS, whatever the input
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    tests = [F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(BLOOM_BITS)).alias(f"p{s}") for s in (1, 2, 3)]
-    some = docs.select("doc_id", "text", *tests).mapInArrow(_in_bloom(bloom), f"doc_id {kind}, text string")
-    return some.join(needed, "doc_id").select("tile", "class", "text")
+    bloom = spark.sparkContext.broadcast(_bloom(needed, "key"))  # BLOOM_BITS, whatever the input
+    tests = [F.pmod(F.xxhash64("key", F.lit(s)), F.lit(BLOOM_BITS)).alias(f"p{s}") for s in (1, 2, 3)]
+    some = docs.select("key", "text", *tests).mapInArrow(_in_bloom(bloom), "key long, text string")
+    return some.join(needed, "key").select("tile", "class", "text")
 
 
 class _Join:
     def __init__(self, docs: DataFrame, size: int):
         self.spark: SparkSession = docs.sparkSession
         self.size = size
-        self.docs = docs
+        self.docs = docs = docs.select("doc_id", "text", _row_key("text").alias("key"))
         kind = docs.schema["doc_id"].dataType.simpleString()
         scan = materialize(docs.mapInArrow(_scan(size), _SCAN.format(id=kind)), "join-scan", ["kind"])
         self.members = scan.where("kind = 'doc'").select("doc_id", "n", "class")
         self.slots = frequent(scan)
-        # a class's representative; of the bitmaps of several tasks, any
+        # a class's representative, a row with an id where there is one; of the bitmaps of several tasks, any
+        row = F.min(F.struct(F.col("doc_id").isNull().alias("alone"), "key")).alias("row")
         self.classes = materialize(
-            scan.where("kind = 'doc' and class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")),
+            scan.where("kind = 'doc' and class is not null").groupBy("class").agg(row, F.max("n").alias("n"), F.max("bits").alias("bits")).select("class", "row.*", "n", "bits"),
             "join-classes",
         )
         self.labels: DataFrame | None = None
@@ -469,8 +474,12 @@ class _Join:
         tile = F.xxhash64("label", F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("tile")
         tiles = materialize(pairs.join(left, "a").join(right.drop("label"), "b").select(tile, "a", "b"), "join-tiles")
         ends = tiles.select("tile", F.explode(F.array("a", "b")).alias("class")).distinct()
-        needed = materialize(ends.join(self.classes.select("class", "doc_id"), "class"), "join-needed")
-        texts = _texts_of(self.docs, needed, needed.count())
+        needed = materialize(ends.join(self.classes.select("class", "alone", "key"), "class"), "join-needed")
+        n = {r["alone"]: r["n"] for r in needed.groupBy("alone").agg(F.count("*").alias("n")).collect()}  # two rows at most
+        texts = _texts_of(self.docs.where("doc_id is not null"), needed.where("not alone"), n.get(False, 0))
+        if n.get(True):
+            # copies without an id share a key: one of them travels on
+            texts = texts.unionByName(_texts_of(self.docs.where("doc_id is null"), needed.where("alone"), n[True]).distinct())
         none = F.lit(None).cast("long")
         rows = texts.select("tile", "class", "text", none.alias("a"), none.alias("b")).unionByName(
             tiles.select("tile", none.alias("class"), F.lit(None).cast("string").alias("text"), "a", "b")
@@ -583,7 +592,7 @@ def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     spark = docs.sparkSession
     gone = materialize(join(docs, size).where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    table = spark.sparkContext.broadcast(_bloom(gone))  # BLOOM_BITS, whatever the input
+    table = spark.sparkContext.broadcast(_bloom(gone, "doc_id"))  # BLOOM_BITS, whatever the input
     tests = [F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(BLOOM_BITS)), F.lit(0)).alias(f"_p{s}") for s in (1, 2, 3)]
     columns = [F.col(f"`{c}`") for c in docs.columns]
     counts = docs.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()

@@ -87,6 +87,22 @@ def test_filter_path_beyond_a_broadcast(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("small", [ngram_join.SMALL, 0])
+def test_near_copies_without_ids(spark, monkeypatch, small):
+    """Linked texts of which some, or all, stand under null ids only; ids that repeat with other texts."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    texts = near_copies(random.Random(14), 120)
+    rows = [(None if i % 3 else i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts[:30]] * 3
+    rows += [(7, t) for t in near_copies(random.Random(15), 40)]
+    lone = " ".join(f"n{i}" for i in range(40))
+    rows += [(None, lone), (None, lone + " more"), (None, lone + " more"), (500, "and " + lone + " more")]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted((tuple(r)[:3] for r in ngram_join.join(frame(spark, rows)).collect()), key=key)
+    assert got == sorted(brute_components(rows), key=key)
+    none = [(None, t) for _, t in rows]
+    assert sorted(((r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, none)).collect()), key=key) == sorted(((len(shingles(t)), None) for _, t in none), key=key)
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f"), (1, "A B C D E F"), (2, "other text of six words here"), (2, "other text of six words here"), (None, "a b c d e f"), (9, None), (8, "")]
     kept = ngram_join.one_of_each(frame(spark, rows))
