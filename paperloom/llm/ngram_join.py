@@ -415,7 +415,7 @@ def _in_bloom(table):
     return run
 
 
-def _row_key(text: str):
+def _row_key(text):
     """Rows of equal id and text share it; rows without an id are told apart by their texts."""
     return F.xxhash64("doc_id", text)
 
@@ -439,7 +439,7 @@ class _Join:
         self.docs = docs = docs.select("doc_id", "text", _row_key("text").alias("key"))
         kind = docs.schema["doc_id"].dataType.simpleString()
         scan = materialize(docs.mapInArrow(_scan(size), _SCAN.format(id=kind)), "join-scan", ["kind"])
-        self.members = scan.where("kind = 'doc'").select("doc_id", "n", "class")
+        self.members = scan.where("kind = 'doc'").select("doc_id", "key", "n", "class")
         self.slots = frequent(scan)
         # a class's representative, a row with an id where there is one; of the bitmaps of several tasks, any
         row = F.min(F.struct(F.col("doc_id").isNull().alias("alone"), "key")).alias("row")
@@ -558,6 +558,11 @@ class _Join:
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest linked id) and n_copies for every row."""
+    return _labelled(docs, size).drop("key")
+
+
+def _labelled(docs: DataFrame, size: int) -> DataFrame:
+    """The rows of ``join`` with their row keys."""
     texts = read_text(docs)
     job = _Join(texts, size)
     job.components()
@@ -566,7 +571,7 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     low = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = labelled.join(low, "component").select("class", "component_id", "n_copies")
     return job.members.join(of_class, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
     )
 
 
@@ -587,21 +592,24 @@ def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents, with all their columns, without those linked to one of a smaller id.
 
     Documents without words, and rows with a null id, stay; of rows with equal id and text one stays.
-    A filter of fixed size over the ids that go lets most documents pass without a shuffle; only those
+    Where an id repeats with different texts, each row is judged by its own text: one that is linked
+    to a smaller id goes, the others stay, also those linked only to rows of their own id.
+    A filter of fixed size over the rows that go lets most documents pass without a shuffle; only those
     that it names are joined with the exact list.
     """
     spark = docs.sparkSession
-    gone = materialize(join(docs, size).where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    table = spark.sparkContext.broadcast(_bloom(gone, "doc_id"))  # BLOOM_BITS, whatever the input
-    tests = [F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(BLOOM_BITS)), F.lit(0)).alias(f"_p{s}") for s in (1, 2, 3)]
+    gone = materialize(_labelled(docs, size).where("doc_id <> component_id").select("doc_id", F.col("key").alias("_key")).distinct(), "join-gone")
+    table = spark.sparkContext.broadcast(_bloom(gone, "_key"))  # BLOOM_BITS, whatever the input
     columns = [F.col(f"`{c}`") for c in docs.columns]
     counts = docs.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if counts["n"] != counts["d"]:
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
-    first = docs.select(*tests, *columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _hit boolean"
+    keyed = docs.select(_row_key(F.coalesce("text", F.lit(""))).alias("_key"), *columns)
+    tests = [F.pmod(F.xxhash64("_key", F.lit(s)), F.lit(BLOOM_BITS)).alias(f"_p{s}") for s in (1, 2, 3)]
+    first = keyed.select(*tests, "_key", *columns)
+    schema = "_key long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _hit boolean"
     tested = first.mapInArrow(_split(table), schema)
     # the test is cheap, the texts are not: two narrow passes instead of one shuffle of all
-    passed = tested.where("not _hit or doc_id is null").drop("_hit")
-    checked = tested.where("_hit and doc_id is not null").drop("_hit").join(gone, "doc_id", "left_anti")
-    return passed.unionByName(checked.select(*columns))
+    passed = tested.where("not _hit or doc_id is null")
+    checked = tested.where("_hit and doc_id is not null").join(gone, ["doc_id", "_key"], "left_anti")
+    return passed.select(*columns).unionByName(checked.select(*columns))

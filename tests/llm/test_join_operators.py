@@ -112,6 +112,16 @@ def test_one_of_each(spark):
     assert ngram_join.join(empty).count() == ngram_join.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    """A row goes by its own text, not by its id's other rows."""
+    a, near, other = "a b c d e f g h i j k l", "a b c d e f g h i j k l m", "clean other text of seven words here"
+    rows = [(1, a), (5, a), (5, other), (5, None), (6, near), (6, "six " * 2 + other), (6, "six " * 2 + other), (7, other), (8, "p q r s t u"), (8, "P Q R S T U"), (None, a), (None, a)]
+    kept = ngram_join.one_of_each(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted(
+        [("1", a), ("5", other), ("5", ""), ("6", "six " * 2 + other), ("8", "p q r s t u"), ("8", "P Q R S T U"), ("None", a), ("None", a)]
+    )
+
+
 def test_bound_never_rejects_a_link():
     from paperloom.llm.shingles import bitmap, fold_bits
 
