@@ -11,6 +11,8 @@ arrays.
 The result needs links between different texts only as far as they connect: pairs inside one known
 component are skipped. So a large group of near copies costs about one comparison a member: first
 neighbours in runs are linked, then whatever runs still join different components is compared in full.
+``links`` skips nothing: it gives every link between different texts, and ``link_counts`` their number
+for each document; both grow with the square of a group of near copies.
 
 A shingle held by more than ``RUN`` prefixes is dealt into tiles of classes (every pair of parts meets
 in one), so no run outgrows a task.
@@ -541,6 +543,11 @@ class _Join:
                 return
             self.link(self.compare(pairs))
 
+    def all_links(self) -> DataFrame:
+        """Every linked pair of classes. Without labels each class is its own component, so no pair is skipped."""
+        assert self.labels is None
+        return self.compare(self.tiles(self.runs(), False))
+
     def tiles(self, runs: DataFrame, forest: bool) -> DataFrame:
         """Pairs of different components that pass the bound, from the runs that hold several components."""
         rows = self.with_component(runs.select("run", F.explode("classes").alias("class")), "class", "component")
@@ -575,6 +582,28 @@ def _labelled(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
+def links(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(class_a, class_b, doc_a, doc_b) for every two linked classes, each pair once.
+
+    A class is named by the hash of its set and by its smallest id, which is null where no row has one.
+    """
+    job = _Join(read_text(docs), size)
+    return _named(job, job.all_links())
+
+
+def link_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, class and n_links for every row: to how many other classes its class is linked."""
+    job = _Join(read_text(docs), size)
+    per_class = job.all_links().select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    return job.members.join(per_class, "class", "left").select("doc_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _named(job: _Join, found: DataFrame) -> DataFrame:
+    low = job.members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"))
+    left, right = (low.select(F.col("class").alias(k), F.col("doc").alias(f"doc_{k}")) for k in "ab")
+    return found.join(left, "a").join(right, "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "doc_a", "doc_b")
+
+
 def _split(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table.value

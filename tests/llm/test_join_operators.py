@@ -103,6 +103,31 @@ def test_near_copies_without_ids(spark, monkeypatch, small):
     assert sorted(((r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, none)).collect()), key=key) == sorted(((len(shingles(t)), None) for _, t in none), key=key)
 
 
+def test_all_links_by_brute_force(spark, monkeypatch):
+    """Links inside components too, over tiles, crowded shingles and null ids."""
+    rng = random.Random(16)
+    rows = [(None if i % 9 == 4 else i, t) for i, t in enumerate(near_copies(rng, 120))]
+    base = [f"v{i}" for i in range(80)]
+    for i in range(25):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"x{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    rows += [(2000, rows[-1][1]), (2001, None)]
+    classes = {frozenset(shingles(t)) for _, t in rows} - {frozenset()}
+    linked = {a: [b for b in classes if a != b and 4 * len(a & b) >= 3 * len(a | b)] for a in classes}
+    low = {c: min((d for d, t in rows if d is not None and shingles(t) == c), default=None) for c in classes}
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    pairs = sorted((tuple(sorted((low[a], low[b]), key=lambda x: (x is None, x or 0))) for a in classes for b in linked[a]), key=key)[::2]
+    assert len(pairs) > 300
+    for run in (ngram_join.RUN, 4):
+        monkeypatch.setattr(ngram_join, "RUN", run)
+        got = ngram_join.links(frame(spark, rows)).collect()
+        assert len({(r["class_a"], r["class_b"]) for r in got}) == len(got)
+        assert sorted((tuple(sorted((r["doc_a"], r["doc_b"]), key=lambda x: (x is None, x or 0))) for r in got), key=key) == pairs
+    counts = ngram_join.link_counts(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in counts), key=key) == sorted(((d, len(linked.get(frozenset(shingles(t)), []))) for d, t in rows), key=key)
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f"), (1, "A B C D E F"), (2, "other text of six words here"), (2, "other text of six words here"), (None, "a b c d e f"), (9, None), (8, "")]
     kept = ngram_join.one_of_each(frame(spark, rows))
