@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_text
-from .flat import U64, flat, parts
+from .flat import U64, flat, parts, tidy
 from .shingles import LOWER, windows, word_hashes
 
 SEED, SHARE, MATCH = 3, 0.5, 2
@@ -210,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     schema = f"doc_id {kind}, item_id long, score double, n_seeds long, end_word long"
     out = []
     for items in blocks(benchmark):
-        out.append(texts.mapInArrow(_find(spark.sparkContext.broadcast(items), share), schema))
+        out.append(texts.mapInArrow(tidy(_find(spark.sparkContext.broadcast(items), share)), schema))
     if not out:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, out)
@@ -237,5 +237,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     columns = [F.col(f"`{c}`") for c in docs.columns]
     for items in blocks(benchmark):
         first = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *columns)
-        docs = first.mapInArrow(_drop(spark.sparkContext.broadcast(items), share), first.schema).drop("_text")
+        docs = first.mapInArrow(tidy(_drop(spark.sparkContext.broadcast(items), share)), first.schema).drop("_text")
     return docs

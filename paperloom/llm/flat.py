@@ -1,19 +1,62 @@
-"""Arrays over the bytes of a whole Arrow batch: cut it into pieces, hash the pieces, look them up.
+"""Arrays over the bytes of a whole Arrow batch: cut it into pieces, name the pieces, look them up.
 
-Everything works in blocks of bounded size, so a batch or a text of any length needs a few MB beside
-itself. Hashes are 64-bit; two different pieces of one job collide with negligible probability.
+A piece's name has 128 bits. Up to 15 bytes it is the piece itself with its length, so short pieces never
+share a name; a longer one is named by XXH3-128. Work is done on parts of bounded size (``parts``).
 """
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-BLOCK = 1 << 19
-LONG = 1 << 16
+SHORT = 15
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+#: The first n bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+# What a worker keeps ------------------------------------------------------------------------
+
+_kept: dict[tuple, object] = {}
+try:
+    _trim: Callable | None = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, kept by the Python process until it asks for something else: a reused worker
+    holds the tables of one operator at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches whose free memory goes back to the system when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+# Names of pieces ----------------------------------------------------------------------------
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,45 +80,24 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-class Hasher:
-    """Polynomial hashes of byte ranges from running sums; ``fold`` maps each byte first."""
-
-    def __init__(self, fold: np.ndarray | None = None):
-        rng = np.random.default_rng(0x5EED)
-        values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.fold = fold
-        self.values = values if fold is None else values[fold]
-        base = 0x9E3779B97F4A7C15
-        self.power = np.cumprod(np.full(BLOCK + LONG, base, np.uint64)) * U64(pow(base, -1, 1 << 64))
-        inverse = pow(base, -1, 1 << 64)
-        self.inverse = np.cumprod(np.full(BLOCK + LONG, inverse, np.uint64)) * U64(base)
-
-    def _one(self, piece: np.ndarray) -> int:
-        data = piece if self.fold is None else self.fold[piece]
-        return xxhash.xxh3_64_intdigest(data.tobytes(), seed=7)
-
-    def ranges(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of ascending, disjoint, non-empty ranges."""
-        out = np.empty(len(starts), np.uint64)
-        sizes = ends - starts
-        big = sizes > LONG
-        i = 0
-        while i < len(starts):
-            if big[i]:
-                out[i] = self._one(buf[starts[i] : ends[i]])
-                i += 1
-                continue
-            j = int(np.searchsorted(starts, starts[i] + BLOCK, side="left"))
-            over = np.flatnonzero(big[i:j])
-            if len(over):
-                j = i + int(over[0])
-            a, b = int(starts[i]), int(ends[j - 1])
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(self.values[buf[a:b]] * self.power[: b - a], out=sums[1:])
-            s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = (sums[e] - sums[s]) * self.inverse[s] + sizes[i:j].astype(np.uint64)
-            i = j
-        return mix(out)
+def names(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names of byte ranges, as two words each."""
+    size = ends - starts
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 9,), "<u8", padded, strides=(1,))
+    low = lanes[starts] & _FIRST[np.minimum(size, 8)]
+    high = lanes[starts + 8] & _FIRST[np.clip(size - 8, 0, 7)]
+    high |= size.astype(np.uint64) << U64(56)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h = xxhash.xxh3_128_intdigest(buf[starts[i] : ends[i]].data)
+        low[i], high[i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 0xFF << 56
+    return low, high
+
+
+def hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64 bits of each name."""
+    return mix(mix(low + U64(0x9E3779B97F4A7C15)) ^ (high * U64(0xC2B2AE3D27D4EB4F)))
 
 
 SPACE = np.zeros(256, bool)
@@ -98,41 +120,54 @@ def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def distinct(low: np.ndarray, high: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct name, which of those each row is); ``h`` are the names' hashes."""
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    if np.array_equal(low[first][back], low) and np.array_equal(high[first][back], high):
+        return first, back
+    order = np.lexsort((low, high))  # two names share a hash
+    new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
+    back = np.empty(len(low), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 class Memo:
-    """Piece hash -> a list of ids, in arrays; emptied when it is full."""
+    """Piece name -> a list of ids, in arrays; emptied when it is full."""
 
     def __init__(self, bits: int = 21):
         self.bits = bits
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.full(1 << self.bits, -1, np.int32)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
         self.count = self.used = 0
+        self.low = np.empty(1 << 12, np.uint64)
+        self.high = np.empty(1 << 12, np.uint64)
         self.start = np.empty(1 << 12, np.int64)
-        self.size = np.empty(1 << 12, np.int64)
+        self.size = np.empty(1 << 12, np.int32)
         self.ids = np.empty(1 << 14, np.uint32)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
         todo, mask = np.arange(len(h)), (1 << self.bits) - 1
         slot = (h >> U64(64 - self.bits)).astype(np.int64)
         while len(todo):
-            value = self.values[slot]
-            hit = self.keys[slot] == h[todo]
-            hit &= value >= 0
+            value = self.slots[slot]
+            some = value >= 0
+            hit = some & (self.low[value] == low[todo]) & (self.high[value] == high[todo])
             out[todo[hit]] = value[hit]
-            on = np.flatnonzero((value >= 0) & ~hit)
+            on = np.flatnonzero(some & ~hit)
             todo, slot = todo[on], (slot[on] + 1) & mask
         return out
 
     def _insert(self, h: np.ndarray, values: np.ndarray) -> None:
         slot, mask = (h >> U64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
         while len(h):
-            free = self.values[slot] < 0
+            free = self.slots[slot] < 0
             _, pick = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
             pick = pick[free[pick]]
-            self.keys[slot[pick]], self.values[slot[pick]] = h[pick], values[pick]
+            self.slots[slot[pick]] = values[pick]
             rest = np.ones(len(h), bool)
             rest[pick] = False
             h, values, slot = h[rest], values[rest], (slot[rest] + 1) & mask
@@ -144,38 +179,41 @@ class Memo:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def places(self, h: np.ndarray, encode) -> np.ndarray:
+    def places(self, low: np.ndarray, high: np.ndarray, encode) -> np.ndarray:
         """The pieces' places, valid until the next call. ``encode(which)`` gives the ids of the pieces with
         these numbers one after the other, and how many each has."""
-        out = self._find(h)
+        h = hashes(low, high)
+        out = self._find(low, high, h)
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            if self.count + len(new) > 1 << (self.bits - 1):
+            first, back = distinct(low[missing], high[missing], h[missing])
+            which = missing[first]
+            n = len(which)
+            if self.count + n > 1 << (self.bits - 1):
                 if self.count == 0:
-                    while len(new) > 1 << (self.bits - 1):
+                    while n > 1 << (self.bits - 1):
                         self.bits += 1
                 self.clear()
-                return self.places(h, encode)
-            ids, sizes = encode(missing[first])
-            n, k = len(new), self.count
-            self._room("start", k + n)
-            self._room("size", k + n)
+                return self.places(low, high, encode)
+            ids, sizes = encode(which)
+            k = self.count
+            for name in ("low", "high", "start", "size"):
+                self._room(name, k + n)
             self._room("ids", self.used + len(ids))
-            ends = np.cumsum(sizes)
-            self.start[k : k + n] = self.used + ends - sizes
+            self.low[k : k + n], self.high[k : k + n] = low[which], high[which]
+            self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
             self.size[k : k + n] = sizes
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
             self.count += n
             fresh = np.arange(k, k + n, dtype=np.int32)
-            self._insert(new, fresh)
+            self._insert(h[which], fresh)
             out[missing] = fresh[back]
         return out
 
     def gather(self, places: np.ndarray) -> np.ndarray:
         sizes = self.size[places]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.start[places] - ends + sizes, sizes) + np.arange(total)]
 

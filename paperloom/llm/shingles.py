@@ -5,39 +5,35 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .flat import SPACE, U64, Hasher, mix, words
+from .flat import SPACE, U64, hashes, mix, names, words
 
 SIZE = 5
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _WEIGHTS = [U64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_hashers: dict[str, Hasher] = {}
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = LOWER, inside: np.ndarray | None = None):
     """(hashes of the words, words before each text)."""
-    key = "same" if fold is None else fold.tobytes().hex()
-    if key not in _hashers:
-        _hashers[key] = Hasher(fold)
     starts, ends, before = words(buf, offsets, ~SPACE if inside is None else inside)
-    return _hashers[key].ranges(buf, starts, ends), before
+    return hashes(*names(buf if fold is None else fold[buf], starts, ends)), before
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each window of ``size`` words; windows may cross texts."""
-    n = len(hashes) - size + 1
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window of ``size`` words, given by their hashes; windows may cross texts."""
+    n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = hashes[:n] * _WEIGHTS[0]
+    h = words[:n] * _WEIGHTS[0]
     for k in range(1, size):
-        h = h + hashes[k : n + k] * _WEIGHTS[k]
+        h += words[k : n + k] * _WEIGHTS[k]
     return mix(h)
 
 
 def sets(buf: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
     """Each text's sorted distinct shingles; fewer words than ``size`` are one shingle, none an empty set."""
-    hashes, before = word_hashes(buf, offsets)
-    all_windows = windows(hashes, size)
+    own, before = word_hashes(buf, offsets)
+    all_windows = windows(own, size)
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         if b - a >= size:
@@ -50,32 +46,21 @@ def sets(buf: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np.ndar
                 h = h[fresh]
             out.append(h)
         elif b > a:
-            out.append(np.array([xxhash.xxh3_64_intdigest(hashes[a:b].tobytes(), seed=b - a)], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(own[a:b].tobytes(), seed=b - a)], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def set_id(h: np.ndarray) -> bytes:
+    """128 bits of a set's content."""
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def set_id(h: np.ndarray) -> int:
-    """A signed 64-bit id of a set's content."""
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
-
-
-def bitmap(h: np.ndarray) -> bytes:
-    """A bit per shingle in a map of a power of two of bits, two to four a shingle (64 to 8,192)."""
-    width = min(1 << 13, max(64, 1 << (2 * len(h) - 1).bit_length()))
-    bits = np.zeros(width, bool)
-    bits[(h & U64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def fold_bits(rows: np.ndarray, width: int) -> np.ndarray:
-    """Bitmaps (uint64 words) of a narrower width: the halves are joined by OR."""
-    while rows.shape[1] * 64 > width:
-        half = rows.shape[1] // 2
-        rows = rows[:, :half] | rows[:, half:]
-    return rows
+def bitmaps(found: list[np.ndarray], most: int) -> np.ndarray:
+    """A row of bits for each set, as words: 8 to 16 bits for each of ``most`` shingles (64 to 16,384)."""
+    width = min(1 << 14, max(64, 1 << (8 * most - 1).bit_length()))
+    bits = np.zeros((len(found), width), bool)
+    row = np.repeat(np.arange(len(found)), [len(h) for h in found])
+    bits[row, (np.concatenate(found) & U64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)

@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_text
-from .flat import flat, parts
+from .flat import flat, kept, parts, tidy
 from .tokens import BpeEncoder
 
 HUGE, CHUNK, OVERLAP, LIMIT = 32_768, 16_384, 256, 1024
-_encoders: dict[str, ChunkCounter] = {}
 
 
 class ChunkCounter(BpeEncoder):
@@ -94,9 +93,7 @@ class ChunkCounter(BpeEncoder):
 
 
 def counter(path: str) -> ChunkCounter:
-    if path not in _encoders:
-        _encoders[path] = ChunkCounter(path)
-    return _encoders[path]
+    return kept(("counter", path), lambda: ChunkCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, huge: int = HUGE) -> DataFrame:
@@ -111,4 +108,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, huge: int = HUG
 
     df = read_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return df.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

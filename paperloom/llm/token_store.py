@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, read_text
-from .flat import U64, flat, mix, parts
+from .flat import U64, flat, kept, mix, parts, tidy
 from .tokens import BpeEncoder
 
 END_ID = 2
 WINDOW, MEAN, LEAST, MOST = 8, 512, 128, 4096
 ADDRESS = 16
 _BASE = 0x9E3779B97F4A7C15
-_encoders: dict[str, BpeEncoder] = {}
 
 
 def address(data: bytes) -> bytes:
@@ -88,13 +87,11 @@ def boundaries(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _cut(path: str, end_id: int, seen_limit: int = 500_000):
+def _cut(path: str, end_id: int, seen_limit: int = 200_000):
     """Documents -> a recipe row each, and a chunk row for each address that is new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = BpeEncoder(path)
-        enc = _encoders[path]
+        enc = kept(("bpe", path), lambda: BpeEncoder(path))
         seen: set[bytes] = set()
         for batch in batches:
             buf, offs = flat(batch.column(1))
@@ -160,7 +157,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     texts = read_text(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"kind string, doc_id {kind}, name binary, body binary, n_tokens long"
-    rows = texts.mapInArrow(_cut(tokenizer, end_id), schema)
+    rows = texts.mapInArrow(tidy(_cut(tokenizer, end_id)), schema)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a recipe's name is no address: spread it by its document
     dealt = rows.repartition(n, F.when(F.col("kind") == "chunk", F.xxhash64("name")).otherwise(F.xxhash64("doc_id", "name")))

@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .flat import SPACE, Hasher, Memo, gather_ranges
+from .flat import SPACE, Memo, gather_ranges, names
 
 #: First bytes of white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000.., U+3000), and controls
 #: that some libraries take for white space: next to them no cut is made.
@@ -55,7 +55,7 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class BpeEncoder:
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 21):
         self.tok = load(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,7 +66,6 @@ class BpeEncoder:
         )
         feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
-        self.hasher = Hasher()
         self.memo = Memo(bits)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +124,7 @@ class BpeEncoder:
         """The pieces' places, and how many pieces begin before each text (and after all)."""
         starts = cuts(buf, offsets) if self.by_pieces else np.unique(offsets[:-1][np.diff(offsets) > 0])
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-        hashes = self.hasher.ranges(buf, starts, ends)
-        places = self.memo.places(hashes, lambda which: self._encode(buf, starts[which], ends[which]))
+        places = self.memo.places(*names(buf, starts, ends), lambda which: self._encode(buf, starts[which], ends[which]))
         return places, np.searchsorted(starts, offsets)
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

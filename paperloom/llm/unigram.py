@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_text
-from .flat import U64, Hasher, Memo, flat, mix, parts
+from .flat import U64, Memo, flat, kept, names, parts, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_models: dict[str, Unigram] = {}
 
 
 class DoubleArray:
@@ -77,7 +76,7 @@ class DoubleArray:
 
 
 class Unigram:
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 21):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -114,7 +113,7 @@ class Unigram:
         sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.out_size, self.out_start = sizes, np.cumsum(sizes) - sizes
         self.out_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.hasher, self.memo = Hasher(), Memo(bits)
+        self.memo = Memo(bits)
 
     def viterbi(self, s: str) -> list[int]:
         """The ids of a text that holds marks for spaces."""
@@ -187,9 +186,10 @@ class Unigram:
         first = np.zeros(len(starts), bool)
         if self.prefix:
             first[np.searchsorted(starts, offsets[:-1][np.diff(offsets) > 0])] = True
-        hashes = mix(self.hasher.ranges(buf, starts, ends) + first.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        low, high = names(buf, starts, ends)
+        high ^= first.astype(np.uint64) << U64(62)  # a length is at most SHORT, or 255
         pieces = lambda which: [(buf[starts[i] : ends[i]].tobytes(), bool(first[i])) for i in which.tolist()]
-        places = self.memo.places(hashes, lambda which: self._encode_parts(pieces(which)))
+        places = self.memo.places(low, high, lambda which: self._encode_parts(pieces(which)))
         sums = np.concatenate(([0], np.cumsum(self.memo.size[places])))
         return self.memo.gather(places), np.diff(sums[np.searchsorted(starts, offsets)])
 
@@ -216,9 +216,7 @@ class Unigram:
 
 
 def unigram(path: str) -> Unigram:
-    if path not in _models:
-        _models[path] = Unigram(path)
-    return _models[path]
+    return kept(("unigram", path), lambda: Unigram(path))
 
 
 def same_texts(buf: np.ndarray, offsets: np.ndarray, data: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -258,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     df = read_text(docs)
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return df.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def to_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -277,4 +275,4 @@ def to_ids(docs: DataFrame, path: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
     df = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in others])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(run, f"{schema}, n_tokens long, token_ids array<int>" if schema else "n_tokens long, token_ids array<int>")
+    return df.mapInArrow(tidy(run), f"{schema}, n_tokens long, token_ids array<int>" if schema else "n_tokens long, token_ids array<int>")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from paperloom.llm import token_counts, token_store, unigram
-from paperloom.llm.flat import flat
+from paperloom.llm.flat import distinct, flat, names
 from paperloom.llm.tokens import load
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -52,6 +52,41 @@ def test_spliced_counts(chunk, overlap):
     assert own.widened
 
 
+def thue_morse(n):
+    """A word and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [16, 1024, 8192, 65536])
+def test_words_that_collide_in_polynomial_hashes(spark, model, n):
+    words = thue_morse(n)
+    lib = load(BPE)
+    rows = frame(spark, [(i, w, "x") for i, w in enumerate(words)])
+    want = [lib.encode(w, add_special_tokens=False).ids for w in words]
+    own = token_counts.ChunkCounter(BPE)
+    assert own.counts(*flat(pa.array(words))).tolist() == [len(w) for w in want]
+    assert own.encode(*flat(pa.array(words)))[0].tolist() == want[0] + want[1]
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(rows, BPE).collect()}
+    assert [counted[0], counted[1]] == [len(w) for w in want]
+    for w in words if n <= 8192 else []:
+        assert model.decode(model.encode(*flat(pa.array([words[0], w])))[0].tolist()).endswith(w)
+    assert all(r["round_trip"] for r in unigram.encode_documents(rows, PIECES).collect())
+
+
+def test_names_of_pieces():
+    """Up to 15 bytes a name is the piece: zero bytes and lengths count."""
+    pieces = [b"a", b"a\0", b"\0", b"\0\0", b"x" * 15, b"x" * 16, b"x" * 255, b"y" * 300, b"12345678", b"12345678\0", b"a"]
+    ends = np.cumsum([len(p) for p in pieces])
+    low, high = names(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+    assert len(set(zip(low.tolist(), high.tolist(), strict=True))) == len(set(pieces))
+    assert (low[0], high[0]) == (low[-1], high[-1])
+    same = np.zeros(len(pieces), np.uint64)  # hashes that all collide
+    first, back = distinct(low, high, same)
+    assert sorted(pieces[i] for i in first.tolist()) == sorted(set(pieces))
+    assert [pieces[first[k]] for k in back.tolist()] == pieces
+
+
 def test_count_tokens(spark):
     many = [None, "", "word " * 9000, "z" * 40000, "<|endoftext|>", *texts(30, 4)]
     rows = token_counts.count_tokens(frame(spark, [(i, t, "x") for i, t in enumerate(many)]), BPE).collect()
