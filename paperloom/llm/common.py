@@ -33,13 +33,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return _written(df, new_path(df.sparkSession, name), partition_by)
+
+
+def _written(df: DataFrame, path: str, partition_by: list[str] | None) -> DataFrame:
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -49,6 +51,27 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """The intermediate tables of one job, removed as soon as they have been read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        return _written(df, path, partition_by)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(self.spark, path)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also when ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,8 +2,10 @@
 
 Every task first replaces its edges by stars of its own components, without a shuffle. If what is left
 is at most ``ONE_TASK`` edges, one task finishes. Else alternating large-star and small-star steps do:
-each is one grouped minimum (combined before the shuffle) and one equi-join back, so a node that holds
-a large share of all edges never meets in one task. Lineage is cut by a written table.
+each is one grouped minimum (combined before the shuffle) and one equi-join back. Nodes with more edges
+than ``HUB`` and than a thousandth of all edges, of which there can be fewer than 4,000, get their minimum
+by a broadcast, so their edges stay where they are. Lineage is cut by written tables; a table is removed
+once the next one is written.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
+from .flat import tidy
 
 ONE_TASK = 1_000_000
 _PART = 500_000
+HUB = 100_000
 
 
 def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -65,34 +69,40 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int, scratch: Scratch) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if large:
         near, emit = both, F.col("v") > F.col("u")
     else:
         near, emit = both.where("v < u"), F.lit(True)
-    low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = near.join(low, "u").where(emit).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = scratch.write(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "cc-low")
+    # the degrees add up to at most 2 * n, so fewer than 2,000 nodes pass, and twice that where n has shrunk
+    hubs = low.where(F.col("n") > max(HUB, n // 1000)).select("u", "m")
+    rest = near.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.select("u", "m"), "u")
+    out = near.join(F.broadcast(hubs), "u").unionByName(rest).where(emit).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.unionByName(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(u, v) edges of any orderable type -> (node, label): the smallest node that is reachable.
 
     Null ends and loops are dropped; nodes without an edge are not returned. An empty table gives an
     empty one. Raises if ``rounds`` do not suffice (they grow with the logarithm of the diameter).
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     pairs = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     schema = pairs.schema
-    pairs = materialize(pairs.mapInArrow(_stars, schema).distinct(), "cc-edges")
+    held = "cc-edges"
+    pairs = scratch.write(pairs.mapInArrow(tidy(_stars), schema).distinct(), held)
     n = pairs.count()
     if 0 < n <= ONE_TASK:
-        pairs = materialize(pairs.repartition(1).mapInArrow(_stars_once, schema), "cc-stars")
+        pairs = scratch.write(pairs.repartition(1).mapInArrow(tidy(_stars_once), schema), "cc-stars")
+        scratch.drop(held)
         n = 0
     seen = None
-    for _ in range(rounds):
+    for k in range(rounds):
         # a forest of stars is stable: every node has one parent and no parent has one
         state = None if n == 0 else pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if n == 0 or state == seen:
@@ -100,7 +110,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
         seen = state
-        pairs = materialize(_star(materialize(_star(pairs, True), "cc-large"), False), "cc-small")
+        middle = scratch.write(_star(pairs, True, state[0], scratch), "cc-large")
+        pairs = scratch.write(_star(middle, False, state[0], scratch), f"cc-{k}")
+        scratch.drop(held, "cc-large", "cc-low")
+        held = f"cc-{k}"
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

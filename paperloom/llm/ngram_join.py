@@ -1,25 +1,25 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a ratio or more.
 
-Documents with equal sets are one class. A pair of classes that reaches the ratio shares at least one
-of each side's first shingles in a fixed total order (prefix filter), so classes meet in runs: lists of
-the classes that hold a shingle in their prefix, in order of size, cut where the next is too large for
-the ratio (size bands). The order puts shingles that counts show to be frequent last; the counts only
-decide the order, so they can't lose a pair. Pairs of a run are compared in tiles by hashed bitmaps:
-distinct bits that differ bound the overlap from above. What passes is compared exactly, as sorted
-arrays.
-
-The result needs links between different texts only as far as they connect: pairs inside one known
-component are skipped. So a large group of near copies costs about one comparison a member: first
-neighbours in runs are linked, then whatever runs still join different components is compared in full.
+Documents with equal sets are one class. Candidates come from prefixes, twice. First each class deals its
+lowest shingles in a fixed order (``ext_size``; shingles that counts show to be frequent last) into buckets,
+where their exact number of classes is counted. Linked classes share at least ``need`` of these, so a
+class with fewer shared ones leaves, and of the others the ``need`` - 1 most common ones are left out.
+What is left meets in runs: lists of the classes that hold a shingle, in order of size, cut where the next
+is too large for the ratio (size bands). The orders only save work; no pair that reaches the ratio is lost.
+
+Runs are gathered under their smallest class, cut into tiles of bounded rows and shingles, and each class's
+text travels once to each of its tiles. There hashed bitmaps bound the overlap from above (bits that
+differ are in no overlap), and what passes is intersected exactly, as sorted arrays. Pairs of a known
+component are skipped, and a tile gives only links that connect, so what leaves is linear in its rows.
+Groups larger than a tile take two rounds: neighbouring parts first; then, between parts, only what lies in
+different components.
+
 ``links`` skips nothing: it gives every link between different texts, and ``link_counts`` their number
 for each document; both grow with the square of a group of near copies.
 
-A shingle held by more than ``RUN`` prefixes is dealt into tiles of classes (every pair of parts meets
-in one), so no run outgrows a task.
-
 Defined cases: a null text or one without words has an empty set and links with nothing; fewer words
 than a shingle's are one shingle; repeated rows and equal texts are one class; an empty table gives an
-empty result; other columns are ignored by ``join``.
+empty result; other columns are ignored by ``join``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,21 +30,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import materialize, read_text
+from .common import Scratch, read_text
 from .components import connected_components
-from .flat import U64, flat, mix, parts
-from .shingles import SIZE, bitmap, fold_bits, set_id, sets, signed
+from .flat import U64, flat, mix, parts, tidy
+from .shingles import SIZE, bitmaps, set_id, sets
 
 #: The ratio as a fraction: 3/4.
 UP, DOWN = 3, 4
-SLOT_BITS, RUN, PER_BUCKET, TILE, GROUP = 22, 1 << 17, 200_000, 128, 1000
-BLOOM_BITS = 1 << 24
-#: How many of a class's runs are listed, and what fills shorter lists.
-LOW, NO_RUN = 8, (1 << 63) - 1
-#: Rows of (class, id) that are broadcast at most: 16 bytes each.
-SMALL = 500_000
+#: A prefix holds this share of a set beyond the least one, so linked classes share that much of it.
+EXTRA = 8
+SLOT_BITS, RUN, PER_BUCKET = 22, 1 << 17, 200_000
+#: Rows and shingles of a part of a group; a group is cut in at most PARTS until a part has MOST rows.
+LEAST, PARTS, MOST, SHINGLES = 128, 32, 2048, 2_000_000
+#: Classes of the part before that a part sees again, and pairs that are intersected at a time.
+AGAIN, STEP, BLOCK = 16, 64, 128
+#: Rows of (tile, class, key) that are broadcast at most: 32 bytes each.
+SMALL = 300_000
+#: Bits of a filter for each key, and at most.
+BLOOM_EACH, BLOOM_MOST = 16, 1 << 28
+_CROWDED = 1 << 15
 
 
 def least_overlap(a, b):
@@ -52,35 +58,52 @@ def least_overlap(a, b):
     return -(-UP * (a + b) // (UP + DOWN))
 
 
-def prefix_size(n: int) -> int:
+def prefix_size(n):
+    """Linked sets share one of so many first shingles in any order."""
     return n + (-UP * n // DOWN) + 1
 
 
+def shared_size(n):
+    """How many of the first ``ext_size`` shingles a set shares with a linked one of its own size or more."""
+    return np.minimum(n // EXTRA, n - prefix_size(n)) + 1
+
+
+def ext_size(n):
+    return prefix_size(n) + shared_size(n) - 1
+
+
+def need(n):
+    """How many it shares with any linked set: the smallest has 3/4 of its size."""
+    return shared_size(-(-UP * n // DOWN))
+
+
 # First pass: classes, and shingles that stand out -------------------------------------------
 
-_SCAN = "kind string, doc_id {id}, key long, n long, class long, bits binary, slot int, hits long"
+_SCAN = "kind string, doc_id {id}, key long, n long, class binary, short long, slot int, hits long"
+
+
+def short_of(c: bytes) -> int:
+    """The first 64 bits of a class."""
+    return int.from_bytes(c[:8], "little", signed=True)
 
 
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total, names = None, 0, None
-        seen: set[int] = set()
-        id_type = None
+        counts, total, id_type = None, 0, None
+        seen: set[bytes] = set()
+        names = ["kind", "doc_id", "key", "n", "class", "short", "slot", "hits"]
         for batch in batches:
             id_type = batch.column(0).type
-            names = ["kind", "doc_id", "key", "n", "class", "bits", "slot", "hits"]
             buf, offs = flat(batch.column(1))
             for a, b in parts(offs):
                 found = sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
                 ids = [set_id(h) if len(h) else None for h in found]
-                maps = [None] * len(found)
                 fresh = []
-                for i, (h, c) in enumerate(zip(found, ids, strict=True)):
+                for h, c in zip(found, ids, strict=True):
                     if c is not None and c not in seen:
                         seen.add(c)
-                        maps[i] = bitmap(h)
                         fresh.append(h)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if fresh:
                     counts = np.zeros(1 << SLOT_BITS, np.int32) if counts is None else counts
@@ -91,8 +114,8 @@ def _scan(size: int):
                 k = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(["doc"] * k), batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(h) for h in found], pa.int64()), pa.array(ids, pa.int64()),
-                        pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
+                        pa.array(["doc"] * k), batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(h) for h in found], pa.int64()),
+                        pa.array(ids, pa.binary()), pa.array([c and short_of(c) for c in ids], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
                     ],
                     names,
                 )
@@ -101,8 +124,8 @@ def _scan(size: int):
             k = len(high)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(["slot"] * k, pa.string()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.binary()), pa.array(high, pa.int32()), pa.array(counts[high], pa.int64()),
+                    pa.array(["slot"] * k, pa.string()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()),
+                    pa.array(high, pa.int32()), pa.array(counts[high], pa.int64()),
                 ],
                 names,
             )
@@ -116,62 +139,101 @@ def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["slot"].to_numpy().astype(np.int64), got["hits"].to_numpy().astype(np.int64)
 
 
-# Second pass: prefixes, dealt into buckets --------------------------------------------------
+# Packed rows, dealt into buckets ------------------------------------------------------------
+
+
+def _pack(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of a record type, as one value for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
+    data, width = rows.tobytes(), rows.dtype.itemsize
+    values = [data[width * x : width * y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(values, pa.binary())], ["bucket", "rows"])
+
 
+def _unpack(table: pa.Table, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table["rows"].to_pylist()), kind)
+
+
+def _stage(read: np.dtype, buckets: int, work):
+    """A function over all packed rows of a bucket; ``work`` gives (buckets, rows) for the next stage."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_pack(*work(_unpack(table, read), buckets))])
+
+    return run
+
+
+#: ``q`` is 1000 * log2 of a set's size, _CROWDED added for a shingle that is dealt in tiles; ``short`` are the
+#: first 64 bits of a class. Classes that share them are handled together until their texts are at hand.
+FIRST = np.dtype([("key", "<u4"), ("q", "<u2"), ("short", "<i8")])
+SHARED = np.dtype([("short", "<i8"), ("q", "<u2"), ("token", "<u8"), ("df", "<u2")])
+CHOSEN = np.dtype([("token", "<u8"), ("q", "<u2"), ("short", "<i8")])
+MEMBER = np.dtype([("anchor", "<i8"), ("q", "<u2"), ("short", "<i8")])
+PACKED = "bucket int, rows binary"
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from those before them, the first row included."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _first(size: int, buckets: int, table, run_cap: int):
+    """Texts -> FIRST rows: each new class's first shingles."""
 
-def _prefixes(size: int, buckets: int, table, run_cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, hits = table.value
         rank = np.zeros(1 << SLOT_BITS, np.uint8)
         rank[slots] = np.frexp(hits.astype(float))[1]
-        crowded = {int(s): -(-int(h) // run_cap) for s, h in zip(slots, hits, strict=True) if h > run_cap}
-        seen: set[int] = set()
-        keys, owners, owner_rows = [], [], []
+        crowded = {int(s): 1 << (int(h) // run_cap).bit_length() for s, h in zip(slots, hits, strict=True) if h > run_cap}
+        seen: set[bytes] = set()
+        keys, owners = [], []
         held = 0
 
         def flush():
-            key, cls, q = np.concatenate(keys), np.concatenate(owners), np.concatenate(owner_rows)
-            bucket = (key & U64(0xFFFFFF)) % U64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            key, cls, q, bucket = key[order], cls[order], q[order], bucket[order]
-            rows = np.empty((len(key), 16), np.uint8)
-            rows[:, :6] = (key >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows[:, 6:8] = q.view(np.uint8).reshape(-1, 2)
-            rows[:, 8:] = cls.view(np.uint8).reshape(-1, 8)
-            cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            data = rows.tobytes()
-            blobs = [data[16 * x : 16 * y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            keys.clear(), owners.clear(), owner_rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+            key = np.concatenate(keys)
+            rows = np.empty(len(key), FIRST)
+            rows["key"] = key >> U64(32)
+            sizes = [len(k) for k in keys]
+            rows["q"] = np.repeat(np.array([o[1] for o in owners], np.uint16), sizes)
+            rows["short"] = np.repeat(np.array([o[0] for o in owners], np.int64), sizes)
+            keys.clear(), owners.clear()
+            return _pack((key & U64(0xFFFFFFFF)) % U64(buckets), rows)
 
         for batch in batches:
             buf, offs = flat(batch.column(0))
             for a, b in parts(offs):
                 for h in sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size):
                     n = len(h)
-                    if not n:
-                        continue
                     c = set_id(h)
-                    if c in seen:
+                    if not n or c in seen:
                         continue
                     seen.add(c)
+                    short, q, p = short_of(c), round(1000 * np.log2(n)), int(ext_size(n))
                     slot = (h & U64((1 << SLOT_BITS) - 1)).astype(np.int64)
                     r = rank[slot]
-                    p = prefix_size(n)
                     if r.any():
                         pick = np.argsort(r, kind="stable")[:p]
                         own, slot = h[pick], slot[pick]
-                        if crowded:
-                            own = np.concatenate([_tiles(own[i : i + 1], c, crowded.get(int(slot[i]), 1)) for i in range(len(own))])
+                        many = [i for i, s in enumerate(slot.tolist()) if s in crowded] if crowded else []
+                        if many:
+                            keys.append(np.concatenate([_tiled_key(int(own[i]), short, crowded[int(slot[i])]) for i in many]))
+                            owners.append((short, q | _CROWDED))
+                            held += len(keys[-1])
+                            own = np.delete(own, many)
                     else:
                         own = h[:p]
                     keys.append(own)
-                    owners.append(np.full(len(own), c, np.int64))
-                    owner_rows.append(np.full(len(own), round(1000 * np.log2(n)), np.uint16))
+                    owners.append((short, q))
                     held += len(own)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield flush()
                     held = 0
         if held:
@@ -180,68 +242,185 @@ def _prefixes(size: int, buckets: int, table, run_cap: int):
     return run
 
 
-def _tiles(key: np.ndarray, cls: int, cuts: int) -> np.ndarray:
-    """A crowded key as the keys of the tiles that the class is in: its part with each part."""
-    if cuts <= 1:
-        return key
-    own = cls % cuts
-    other = np.arange(cuts, dtype=np.uint64)
+def _tiled_key(key: int, short: int, cuts: int) -> np.ndarray:
+    """A crowded shingle as the keys of the tiles that the class is in: its part with each part."""
+    own, other = short % cuts, np.arange(cuts, dtype=np.uint64)
     low, high = np.minimum(other, U64(own)), np.maximum(other, U64(own))
-    return mix(key + low * U64(0x9E3779B97F4A7C15) + high * U64(0xC2B2AE3D27D4EB4F) + U64(1))
-
-
-def _runs(batch: pa.Table) -> pa.Table:
-    """All rows of a bucket -> runs of two classes or more, equal runs once."""
-    data = np.frombuffer(b"".join(batch["rows"].to_pylist()), np.uint8).reshape(-1, 16)
-    key = np.zeros((len(data), 8), np.uint8)
-    key[:, :6] = data[:, :6]
-    key = key.view(np.uint64).ravel()
-    q = np.ascontiguousarray(data[:, 6:8]).view(np.uint16).ravel().astype(np.int32)
-    cls = np.ascontiguousarray(data[:, 8:]).view(np.int64).ravel()
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
+    return mix(U64(key) + low * U64(0x9E3779B97F4A7C15) + high * U64(0xC2B2AE3D27D4EB4F) + U64(1))
+
+
+def _shared(bucket: int, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All FIRST rows of a bucket -> SHARED rows, of the shingles that two classes or more hold."""
+    rows = rows[np.argsort(rows["key"], kind="stable")]
     # keys of one row are most of them
-    alone = new & np.concatenate((new[1:], [True]))
-    order = order[~alone]
-    key, q, cls = key[~alone], q[order], cls[order]
-    order = np.lexsort((cls, q, key))
-    key, q, cls = key[order], q[order], cls[order]
-    if len(key):
-        same = np.concatenate(([False], (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])))
-        key, q, cls = key[~same], q[~same], cls[~same]
-        gap = np.concatenate(([True], (key[1:] != key[:-1]) | (q[1:] - q[:-1] > 418)))  # 1000 * log2(4/3) = 415.04
-        begin = np.flatnonzero(gap)
-        end = np.append(begin[1:], len(key))
-    else:
-        begin = end = np.zeros(0, np.int64)
-    found: dict[bytes, int] = {}
-    for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-        if y - x > 1:
-            run = cls[x:y].tobytes()
-            found[run] = found.get(run, 0) + 1
-    lists = [np.frombuffer(r, np.int64) for r in found]
-    return pa.table(
-        {
-            "run": pa.array([set_id(x.view(np.uint64)) for x in lists], pa.int64()),
-            "classes": pa.array(lists, pa.list_(pa.int64())),
-            "weight": pa.array(list(found.values()), pa.int64()),
-        }
-    )
+    new = _changes(rows["key"])
+    rows = rows[~(new & np.append(new[1:], True))]
+    rows = rows[np.lexsort((rows["q"], rows["short"], rows["key"]))]
+    rows = rows[_changes(rows["key"], rows["short"], rows["q"])]  # the same class from several tasks
+    begin = np.flatnonzero(_changes(rows["key"]))
+    df = np.diff(np.append(begin, len(rows)))
+    df = np.repeat(df, df)
+    rows, df = rows[df > 1], df[df > 1]
+    out = np.empty(len(rows), SHARED)
+    out["short"], out["q"], out["df"] = rows["short"], rows["q"], np.minimum(df, 65535)
+    out["token"] = rows["key"].astype(np.uint64) << U64(32) | U64(bucket)
+    return mix(out["short"].view(np.uint64)) % U64(buckets), out
+
+
+def _chosen(rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All SHARED rows of classes -> CHOSEN rows: all but the most common shingles, of classes that share enough."""
+    plain = rows["q"] & U64(_CROWDED - 1)
+    crowd = rows["q"] >= _CROWDED
+    order = np.lexsort((rows["token"], rows["df"], crowd, plain, rows["short"]))
+    rows, plain, crowd = rows[order], plain[order], crowd[order]
+    new = _changes(rows["short"], plain)
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(rows)))
+    # the size rounded down: needs less, so keeps more
+    n = np.floor(2.0 ** ((plain[begin].astype(float) - 0.51) / 1000)).astype(np.int64)
+    keep = count - need(np.maximum(n, 1)) + 1
+    uncrowded = np.add.reduceat(~crowd, begin) if len(begin) else begin
+    # of crowded shingles all tiles or none
+    keep = np.where(keep > uncrowded, count, keep)
+    place = np.arange(len(rows)) - np.repeat(begin, count)
+    some = place < np.repeat(keep, count)
+    out = np.empty(int(some.sum()), CHOSEN)
+    out["token"], out["q"], out["short"] = rows["token"][some], plain[some], rows["short"][some]
+    return mix(out["token"]) % U64(buckets), out
+
+
+def _members(rows: np.ndarray) -> np.ndarray:
+    """Distinct MEMBER rows in order of anchor, size and class."""
+    rows = rows[np.lexsort((rows["short"], rows["q"], rows["anchor"]))]
+    return rows[_changes(rows["anchor"], rows["q"], rows["short"])]
+
+
+def _residues(short: np.ndarray) -> tuple[int, int]:
+    """The two residues that classes have by the largest power of two with which there are no more."""
+    found = np.zeros(1, np.int64)
+    for bits in range(1, 21):
+        more = np.unique(short & ((1 << bits) - 1))
+        if len(more) > 2:
+            break
+        found = more
+    return int(found[0]), int(found[-1])
+
+
+def _runs(rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All CHOSEN rows of shingles -> MEMBER rows: the classes of each run under the smallest of them.
+
+    A long run may be a tile of a crowded shingle: its parts become a part of the name, so that tiles that
+    hold the same smallest class stay apart."""
+    rows = rows[np.lexsort((rows["short"], rows["q"], rows["token"]))]
+    q = rows["q"].astype(np.int64)
+    new = _changes(rows["token"])
+    new[1:] |= q[1:] - q[:-1] > 418  # 1000 * log2(4/3) = 415.04
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(rows)))
+    some = np.repeat(count, count) > 1
+    rows, count = rows[some], count[count > 1]
+    out = np.empty(len(rows), MEMBER)
+    if len(rows):
+        first = np.cumsum(count) - count
+        anchor = np.minimum.reduceat(rows["short"], first)
+        for i in np.flatnonzero(count > RUN // 8).tolist():
+            anchor[i] = _tile_name(int(anchor[i]), *_residues(rows["short"][first[i] : first[i] + count[i]]))
+        out["anchor"] = np.repeat(anchor, count)
+    out["q"], out["short"] = rows["q"], rows["short"]
+    out = _members(out)
+    return mix(out["anchor"].view(np.uint64)) % U64(buckets), out
+
+
+# Tiles --------------------------------------------------------------------------------------
+
+TILE = "tile long, short long"
+
+
+def _cut(q: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a group, from its classes' sizes: of bounded rows, and shingles where one alone has not more."""
+    most = min(MOST, max(LEAST, -(-len(q) // PARTS)))
+    weight = np.cumsum(2.0 ** (q / 1000))
+    out, a = [], 0
+    while a < len(q):
+        b = int(np.searchsorted(weight, (weight[a - 1] if a else 0) + SHINGLES, side="right"))
+        b = min(max(b, a + 1), a + most, len(q))
+        out.append((a, b))
+        a = b
+    return out
+
 
+def _tile_name(anchor: int, i: int, j: int) -> int:
+    return int(mix(np.array([anchor], np.int64).view(np.uint64) + U64((i << 32 | j) * 0x9E3779B97F4A7C15 % (1 << 64)))[0].view(np.int64))
+
+
+def _reach(q_low: int, q_high: int) -> bool:
+    """Whether sets of these sizes can be linked; rounding of both counts for 1."""
+    return q_high - q_low <= 417
+
+
+def _first_tiles(every_pair: bool):
+    """All MEMBER rows of groups -> (tile, short, anchor, q): a tile for each part of a group, with the last
+    classes of the part before. Groups of several parts are marked by ``q``, for the second round. With
+    ``every_pair`` there are tiles for all pairs of parts instead, and no second round."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _members(_unpack(table, MEMBER))
+        begin = np.flatnonzero(_changes(rows["anchor"]))
+        end = np.append(begin[1:], len(rows))
+        tile, place, again = [], [], np.zeros(len(rows), bool)
+        whole = end - begin <= LEAST
+        for a, b, all_in_one in zip(begin.tolist(), end.tolist(), whole.tolist(), strict=True):
+            q = rows["q"][a:b].astype(np.int64)
+            cut = [(0, b - a)] if all_in_one and (2.0 ** (q / 1000)).sum() <= SHINGLES else _cut(q)
+            anchor = int(rows["anchor"][a])
+            again[a:b] = len(cut) > 1 and not every_pair
+            for i, (x, y) in enumerate(cut):
+                pairs = [j for j in range(i, len(cut)) if j == i or _reach(q[y - 1], q[cut[j][0]])] if every_pair else [i]
+                for j in pairs:
+                    own = np.arange(a + x, a + y)
+                    if j > i:
+                        own = np.concatenate((own, np.arange(a + cut[j][0], a + cut[j][1])))
+                    elif i and not every_pair:
+                        own = np.concatenate((np.arange(max(a, a + x - AGAIN), a + x), own))
+                    place.append(own)
+                    tile.append(np.full(len(own), _tile_name(anchor, i, j)))
+        place = np.concatenate(place) if place else np.zeros(0, np.int64)
+        tile = np.concatenate(tile) if tile else place
+        second = np.flatnonzero(again)
+        none = pa.nulls(len(place), pa.int64())
+        return pa.table(
+            {
+                "tile": pa.concat_arrays([pa.array(tile, pa.int64()), pa.nulls(len(second), pa.int64())]),
+                "short": pa.array(rows["short"][np.concatenate((place, second))]),
+                "anchor": pa.concat_arrays([none, pa.array(rows["anchor"][second])]),
+                "q": pa.concat_arrays([none, pa.array(rows["q"][second].astype(np.int64))]),
+            }
+        )
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs -> (a, b, weight) for classes next to each other."""
-    for batch in batches:
-        lists = batch.column(0)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy()
-        at = np.arange(offsets[0], offsets[-1])
-        last = np.zeros(len(values) + 1, bool)
-        last[offsets[1:] - 1] = True
-        at = at[~last[at]]
-        weight = np.repeat(batch.column(1).to_numpy(), np.diff(offsets) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(values[at]), pa.array(values[at + 1]), pa.array(weight)], ["a", "b", "weight"])
+    return run
+
+
+def _second_tiles(group: pa.Table) -> pa.Table:
+    """A group's (anchor, short, q, component) -> (tile, short) for parts that hold different components.
+
+    The classes are ordered by component, the largest first, so most parts have one."""
+    anchor, short, q = group["anchor"][0].as_py(), group["short"].to_numpy(), group["q"].to_numpy()
+    _, comp, size = np.unique(group["component"].to_numpy(zero_copy_only=False).astype(bytes), return_inverse=True, return_counts=True)
+    order = np.lexsort((short, q, comp, -size[comp]))
+    short, q, comp = short[order], q[order], comp[order]
+    cut = _cut(q)
+    low, high = [int(q[x:y].min()) for x, y in cut], [int(q[x:y].max()) for x, y in cut]
+    one = [comp[x] if (comp[x:y] == comp[x]).all() else -1 for x, y in cut]
+    tile, own = [], []
+    for i, (x, y) in enumerate(cut):
+        for j in range(i, len(cut)):
+            if one[i] >= 0 and one[i] == one[j] or not (_reach(high[i], low[j]) and _reach(high[j], low[i])):
+                continue
+            members = short[x:y] if i == j else np.concatenate((short[x:y], short[cut[j][0] : cut[j][1]]))
+            own.append(members)
+            tile.append(np.full(len(members), _tile_name(~anchor, i, j)))
+    none = np.zeros(0, np.int64)
+    return pa.table({"tile": pa.array(np.concatenate(tile or [none]), pa.int64()), "short": pa.array(np.concatenate(own or [none]), pa.int64())})
 
 
 # Comparisons --------------------------------------------------------------------------------
@@ -252,167 +431,124 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray) -> np.ndarray
     return (n_a + n_b - differ) // 2 >= least_overlap(n_a, n_b)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n_a, n_b, bits_a, bits_b, ...) -> rows whose bound reaches the ratio, without the bits."""
-    for batch in batches:
-        n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        keep = np.zeros(len(n_a), bool)
-        groups: dict[tuple[int, int], list[int]] = {}
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            groups.setdefault((len(x), len(y)), []).append(i)
-        for (wx, wy), at in groups.items():
-            width = 8 * min(wx, wy)
-            x = fold_bits(np.frombuffer(b"".join(left[i] for i in at), np.uint64).reshape(len(at), -1), width)
-            y = fold_bits(np.frombuffer(b"".join(right[i] for i in at), np.uint64).reshape(len(at), -1), width)
-            keep[at] = may_link(n_a[at], n_b[at], np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _matrix(blobs: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of the narrowest one's width."""
-    width = min(map(len, blobs))
-    same = [b if len(b) == width else fold_bits(np.frombuffer(b, np.uint64)[None], 8 * width).tobytes() for b in blobs]
-    return np.frombuffer(b"".join(same), np.uint64).reshape(len(blobs), -1)
-
-
-def _tiled(forest: bool):
-    """Rows (run, n, class, component, bits, low) sorted by run and size -> pairs of different components
-    whose bound reaches the ratio, tile by tile. One run is held at a time; a run has at most about RUN rows.
-    ``low`` has a class's smallest runs: a pair is given by the smallest run that both lists name, or by
-    every run where they name none in common. With ``forest`` a run gives only pairs that connect what
-    its earlier pairs don't."""
-
-    def compare(run, rows):
-        n, cls, comp = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 2))
-        blobs = [x for r in rows for x in r[3]]
-        bits = [_matrix(blobs[i : i + TILE]) for i in range(0, len(n), TILE)]
-        low = np.concatenate([r[4] for r in rows])
-        _, comp = np.unique(comp, return_inverse=True)
-        out_a, out_b = [], []
-        for i in range(0, len(n), TILE):
-            x = slice(i, i + TILE)
-            for j in range(i, len(n), TILE):
-                y = slice(j, j + TILE)
-                if DOWN * n[x][-1] < UP * n[y][0]:
-                    break  # sizes ascend: later tiles are larger still
-                cross = comp[x][:, None] != comp[y][None, :]
-                if not cross.any():
-                    continue
-                bx, by = bits[i // TILE], bits[j // TILE]
-                width = 64 * min(bx.shape[1], by.shape[1])
-                bx, by = fold_bits(bx, width), fold_bits(by, width)
-                differ = np.zeros((len(bx), len(by)), np.int64)
-                for w in range(bx.shape[1]):
-                    differ += np.bitwise_count(bx[:, w, None] ^ by[None, :, w])
-                ok = may_link(n[x][:, None], n[y][None, :], differ) & cross
-                if i == j:
-                    ok = np.triu(ok, 1)
-                p, r = np.nonzero(ok)
-                if len(p):
-                    mine = low[x][p]
-                    shared = (mine[:, :, None] == low[y][r][:, None, :]).any(axis=2) & (mine != NO_RUN)
-                    first = np.where(shared, mine, NO_RUN).min(axis=1)
-                    here = (first == NO_RUN) | (first == run)
-                    p, r = p[here], r[here]
-                if forest and len(p):
-                    keep = []
-                    for k, (s, t) in enumerate(zip((p + i).tolist(), (r + j).tolist(), strict=True)):
-                        if comp[s] != comp[t]:
-                            keep.append(k)
-                            comp[comp == comp[t]] = comp[s]
-                    p, r = p[keep], r[keep]
-                out_a.append(cls[x][p])
-                out_b.append(cls[y][r])
-        return out_a, out_b
-
-    def paired(out: list) -> pa.RecordBatch:
-        a, b = (np.concatenate([x for o in out for x in o[k]] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            if not len(key):
+def overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted arrays share: a stable sort merges them."""
+    both = np.concatenate((p, q))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def compare(found: list[np.ndarray], comp: np.ndarray, every_pair: bool) -> list[tuple[int, int]]:
+    """Links between sets, those between different components that connect what earlier ones don't; or all."""
+    n = np.array([len(h) for h in found], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, comp = n[order], comp[order].copy()
+    out = []
+    for i in range(0, len(n), BLOCK):
+        for j in range(i, len(n), BLOCK):
+            x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            if DOWN * n[x][-1] < UP * n[y][0]:
+                break  # sizes ascend: later blocks are larger still
+            ok = np.ones((len(n[x]), len(n[y])), bool) if every_pair else comp[x][:, None] != comp[y][None, :]
+            if i == j:
+                ok = np.triu(ok, 1)
+            if not ok.any():
                 continue
-            cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
-            n, cls, comp, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            low = np.frombuffer(flat(batch.column(5))[0].tobytes(), ">i8").astype(np.int64).reshape(-1, LOW)
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                if key[x] != now and rows:
-                    out.append(compare(now, rows))
-                    rows = []
-                now = key[x]
-                rows.append((n[x:y], cls[x:y], comp[x:y], bits[x:y], low[x:y]))
-            yield paired(out)
-            out = []
-        if rows:
-            yield paired([compare(now, rows)])
+            width = int(n[y][-1])
+            bx, by = bitmaps([found[k] for k in order[x]], width), bitmaps([found[k] for k in order[y]], width)
+            differ = np.zeros(ok.shape, np.int64)
+            for w in range(bx.shape[1]):
+                differ += np.bitwise_count(bx[:, w, None] ^ by[None, :, w])
+            p, r = np.nonzero(ok & may_link(n[x][:, None], n[y][None, :], differ))
+            first = np.argsort(differ[p, r], kind="stable")  # likely links connect, and so save others
+            p, r = p[first] + i, r[first] + j
+            while len(p):
+                for s, t in zip(p[:STEP].tolist(), r[:STEP].tolist(), strict=True):
+                    if every_pair or comp[s] != comp[t]:
+                        a, b = found[order[s]], found[order[t]]
+                        if overlap(a, b) >= least_overlap(len(a), len(b)):
+                            out.append((int(order[s]), int(order[t])))
+                            if not every_pair:
+                                comp[comp == comp[t]] = comp[s]
+                p, r = p[STEP:], r[STEP:]
+                if not every_pair:
+                    on = comp[p] != comp[r]
+                    p, r = p[on], r[on]
+    return out
 
-    return run
 
+def _tiles(size: int, every_pair: bool):
+    """Rows (tile, short, class, component, text) sorted by tile -> links (u, v). One tile is held at a time."""
+
+    def solve(rows: dict[bytes, tuple[np.ndarray, bytes]]) -> list[tuple[bytes, bytes]]:
+        if len(rows) < 2:
+            return []
+        names = sorted(rows)
+        _, comp = np.unique(np.array([rows[c][1] for c in names], "S16"), return_inverse=True)
+        got = compare([rows[c][0] for c in names], comp, every_pair)
+        return [(names[min(p)], names[max(p)]) for p in got]
 
-def _verify(size: int):
-    """Rows (tile, class, text, a, b) sorted by tile, texts first -> the pairs (a, b) that reach the ratio, by
-    exact intersection. The sets of one tile are held; a tile has at most 2 * GROUP classes."""
+    def batch_of(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, rows = None, {}
         for batch in batches:
-            tile, cls = batch.column(0).to_numpy(), batch.column(1)
-            is_text = np.asarray(cls.is_valid())
-            names = cls.to_pylist()
-            buf, offs = flat(batch.column(2))
-            left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            found: dict[int, np.ndarray] = {}
-            for x, y in parts(offs):
-                if is_text[x:y].any():
-                    found |= dict(zip(range(x, y), sets(buf[offs[x] : offs[y]], offs[x : y + 1] - offs[x], size), strict=True))
-            keep_a, keep_b = [], []
-            for i, t in enumerate(tile.tolist()):
-                if t != now:
-                    now, held = t, {}
-                if is_text[i]:
+            tile, names, comps = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            buf, offs = flat(batch.column(3))
+            out = []
+            for a, b in parts(offs):
+                found = sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
+                for k, h in zip(range(a, b), found, strict=True):
+                    if tile[k] != now:
+                        out += solve(rows)
+                        now, rows = tile[k], {}
                     # of rows with one key only that with the class's text counts
-                    if set_id(found[i]) == names[i]:
-                        held[names[i]] = found[i]
-                    continue
-                p, q = held[left[i]], held[right[i]]
-                if len(np.intersect1d(p, q, assume_unique=True)) >= least_overlap(len(p), len(q)):
-                    keep_a.append(left[i])
-                    keep_b.append(right[i])
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
+                    if set_id(h) == names[k]:
+                        rows[names[k]] = (h, comps[k])
+            if out:
+                yield batch_of(out)
+        if got := solve(rows):
+            yield batch_of(got)
 
     return run
 
 
-# A filter of fixed size for the texts that a round needs ------------------------------------
+# A filter for the texts that a round needs --------------------------------------------------
 
 
-def _bloom(ids: DataFrame, col: str) -> np.ndarray:
-    """A bit set of BLOOM_BITS for the values of a column, built in the executors word by word."""
-    places = F.explode(F.array(*(F.pmod(F.xxhash64(col, F.lit(s)), F.lit(BLOOM_BITS)) for s in (1, 2, 3))))
+def _bloom(ids: DataFrame, col: str, n: int) -> np.ndarray:
+    """A bit set for ``n`` values of a column, built in the executors word by word; its size is bounded."""
+    bits = min(BLOOM_MOST, max(1 << 16, 1 << (BLOOM_EACH * n - 1).bit_length())) if n else 1 << 16
+    places = F.explode(F.array(*(F.pmod(F.xxhash64(col, F.lit(s)), F.lit(bits)) for s in (1, 2, 3))))
     got = (
         ids.select(places.alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
         .toArrow()
     )
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[got["w"].to_numpy().astype(np.int64)] = got["v"].to_numpy()
     return out
 
 
+def _hashed(col, words: np.ndarray) -> list:
+    """The places of a value in a filter."""
+    return [F.pmod(F.xxhash64(col, F.lit(s)), F.lit(64 * len(words))) for s in (1, 2, 3)]
+
+
+def _passes(batch: pa.RecordBatch, words: np.ndarray, first: int) -> pa.Array:
+    keep = np.ones(len(batch), bool)
+    for k in range(first, first + 3):
+        p = batch.column(k).to_numpy()
+        keep &= (words[p >> 6] >> (p & 63)) & 1 == 1
+    return pa.array(keep)
+
+
 def _in_bloom(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table.value
         for batch in batches:
-            keep = np.ones(len(batch), bool)
-            for k in (2, 3, 4):
-                p = batch.column(k).to_numpy()
-                keep &= (words[p >> 6] >> (p & 63)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).filter(_passes(batch, table.value, 2))
 
     return run
 
@@ -422,145 +558,105 @@ def _row_key(text):
     return F.xxhash64("doc_id", text)
 
 
-def _texts_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """(tile, class, text) for the (tile, class, key) rows of ``needed``, of which there are ``n``: a broadcast
-    up to SMALL rows; beyond, a filter of fixed size keeps most other texts out of the shuffle."""
-    if n <= SMALL:
-        return docs.join(F.broadcast(needed), "key").select("tile", "class", "text")
-    spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(_bloom(needed, "key"))  # BLOOM_BITS, whatever the input
-    tests = [F.pmod(F.xxhash64("key", F.lit(s)), F.lit(BLOOM_BITS)).alias(f"p{s}") for s in (1, 2, 3)]
-    some = docs.select("key", "text", *tests).mapInArrow(_in_bloom(bloom), "key long, text string")
-    return some.join(needed, "key").select("tile", "class", "text")
-
-
 class _Join:
     def __init__(self, docs: DataFrame, size: int):
         self.spark: SparkSession = docs.sparkSession
         self.size = size
+        self.scratch = Scratch(self.spark)
         self.docs = docs = docs.select("doc_id", "text", _row_key("text").alias("key"))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        scan = materialize(docs.mapInArrow(_scan(size), _SCAN.format(id=kind)), "join-scan", ["kind"])
-        self.members = scan.where("kind = 'doc'").select("doc_id", "key", "n", "class")
+        scan = self.scratch.write(docs.mapInArrow(tidy(_scan(size)), _SCAN.format(id=kind)), "join-scan", ["kind"])
+        self.members = scan.where("kind = 'doc'").select("doc_id", "key", "n", "class", "short")
         self.slots = frequent(scan)
-        # a class's representative, a row with an id where there is one; of the bitmaps of several tasks, any
+        # a class's representative: a row with an id where there is one
         row = F.min(F.struct(F.col("doc_id").isNull().alias("alone"), "key")).alias("row")
-        self.classes = materialize(
-            scan.where("kind = 'doc' and class is not null").groupBy("class").agg(row, F.max("n").alias("n"), F.max("bits").alias("bits")).select("class", "row.*", "n", "bits"),
-            "join-classes",
-        )
-        self.labels: DataFrame | None = None
-        self.edges: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
+        by_class = self.members.where("class is not null").groupBy("class").agg(row, F.max("n").alias("n"), F.first("short").alias("short"))
+        self.classes = self.scratch.write(by_class.select("class", "short", "row.*", "n"), "join-classes")
 
-    def runs(self) -> DataFrame:
-        n_rows = self.classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-        buckets = max(8, -(-n_rows // PER_BUCKET))
+    def groups(self) -> tuple[DataFrame, int]:
+        """Packed MEMBER rows of all runs."""
+        n_rows = self.classes.agg(F.sum(F.floor(F.col("n") * 3 / 8) + 2)).first()[0] or 0
+        buckets = int(max(8, -(-n_rows // PER_BUCKET)))
         table = self.spark.sparkContext.broadcast(self.slots)
-        blobs = self.docs.select("text").mapInArrow(_prefixes(self.size, buckets, table, RUN), "bucket int, rows binary")
-        found = blobs.groupBy("bucket").applyInArrow(_runs, "run long, classes array<long>, weight long")
-        return materialize(found.groupBy("run").agg(F.first("classes").alias("classes"), F.sum("weight").alias("weight")), "join-runs")
-
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of classes (a < b) that pass the bound are compared exactly; returns the links.
-
-        Pairs that hang together go to one tile, so a text travels once; a set of pairs with more than
-        GROUP classes is dealt into tiles of two parts each.
-        """
-        pairs = materialize(pairs.select("a", "b"), "join-pairs")
-        self.tested.append(pairs)
-        groups = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        cuts = groups.groupBy("label").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
-        member = groups.join(cuts, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("part"))
-        left, right = (member.select(F.col("node").alias(k), "label", F.col("part").alias(f"part_{k}")) for k in "ab")
-        tile = F.xxhash64("label", F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("tile")
-        tiles = materialize(pairs.join(left, "a").join(right.drop("label"), "b").select(tile, "a", "b"), "join-tiles")
-        ends = tiles.select("tile", F.explode(F.array("a", "b")).alias("class")).distinct()
-        needed = materialize(ends.join(self.classes.select("class", "alone", "key"), "class"), "join-needed")
-        n = {r["alone"]: r["n"] for r in needed.groupBy("alone").agg(F.count("*").alias("n")).collect()}  # two rows at most
-        texts = _texts_of(self.docs.where("doc_id is not null"), needed.where("not alone"), n.get(False, 0))
-        if n.get(True):
-            # copies without an id share a key: one of them travels on
-            texts = texts.unionByName(_texts_of(self.docs.where("doc_id is null"), needed.where("alone"), n[True]).distinct())
-        none = F.lit(None).cast("long")
-        rows = texts.select("tile", "class", "text", none.alias("a"), none.alias("b")).unionByName(
-            tiles.select("tile", none.alias("class"), F.lit(None).cast("string").alias("text"), "a", "b")
-        )
+        rows = self.docs.select("text").mapInArrow(tidy(_first(self.size, buckets, table, RUN)), PACKED)
+
+        def shared(key: tuple, group: pa.Table) -> pa.Table:
+            return _stage(FIRST, buckets, lambda found, to: _shared(key[0].as_py(), found, to))(group)
+
+        rows = rows.groupBy("bucket").applyInArrow(shared, PACKED)
+        rows = rows.groupBy("bucket").applyInArrow(_stage(SHARED, buckets, _chosen), PACKED)
+        return rows.groupBy("bucket").applyInArrow(_stage(CHOSEN, buckets, _runs), PACKED), buckets
+
+    def texts(self, needed: DataFrame, alone: bool) -> DataFrame:
+        """(tile, class, component, text) for rows with a key: a broadcast up to SMALL rows; beyond, a filter of
+        bounded size keeps most other texts out of the shuffle."""
+        docs = self.docs.where(F.col("doc_id").isNull() == F.lit(alone)).select("key", "text")
+        needed = needed.where(F.col("alone") == F.lit(alone)).drop("alone")
+        n = needed.count()
+        if n == 0:
+            return None
+        if n <= SMALL:
+            found = docs.join(F.broadcast(needed), "key")
+        else:
+            words = _bloom(needed, "key", n)
+            tests = [c.alias(f"p{i}") for i, c in enumerate(_hashed("key", words))]
+            table = self.spark.sparkContext.broadcast(words)
+            found = docs.select("key", "text", *tests).mapInArrow(_in_bloom(table), "key long, text string").join(needed, "key")
+        found = found.select("tile", "class", "component", "text")
+        # copies without an id share a key: one of them travels on
+        return found.distinct() if alone else found
+
+    def links(self, tiles: DataFrame, labels: DataFrame | None, every_pair: bool, name: str) -> DataFrame:
+        """The links (u, v) that the tiles' classes have, u < v."""
+        component = F.col("class")
+        named = tiles.join(self.classes.select("short", "class", "alone", "key"), "short")
+        if labels is not None:
+            named = named.join(labels, "class", "left")
+            component = F.coalesce("label", "class")
+        needed = self.scratch.write(named.select("tile", "class", "alone", "key", component.alias("component")), f"{name}-needed")
+        texts = [t for t in (self.texts(needed, alone) for alone in (False, True)) if t is not None]
+        if not texts:
+            return self.scratch.write(self.spark.createDataFrame([], "u binary, v binary"), name)
+        rows = texts[0] if len(texts) == 1 else texts[0].unionByName(texts[1])
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        sorted_rows = rows.repartition(n, "tile").sortWithinPartitions("tile", F.col("class").isNull())
-        return materialize(sorted_rows.mapInArrow(_verify(self.size), "a long, b long"), "join-links")
-
-    def link(self, links: DataFrame) -> int:
-        n = links.count()
-        if n:
-            self.edges.append(links)
-            edges = self.edges[0]
-            for e in self.edges[1:]:
-                edges = edges.unionByName(e)
-            # components of classes so far; small beside the documents
-            self.labels = materialize(connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-labels")
-        return n
-
-    def with_component(self, df: DataFrame, col: str, out: str) -> DataFrame:
-        if self.labels is None:
-            return df.withColumn(out, F.col(col))
-        labels = self.labels.select(F.col("node").alias(col), F.col("label").alias("_label"))
-        return df.join(labels, col, "left").withColumn(out, F.coalesce("_label", col)).drop("_label")
-
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        side = self.classes.select("class", "n", "bits")
-        left, right = (side.select(F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-        rows = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"n_a * {DOWN} >= n_b * {UP} and n_b * {DOWN} >= n_a * {UP}")
-        return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
-
-    def untested(self, pairs: DataFrame) -> DataFrame:
-        for t in self.tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        return pairs
-
-    def components(self) -> None:
-        runs = self.runs()
-        # 1. neighbours in runs: for each class its most frequent one
-        chain = runs.select("classes", "weight").mapInArrow(_neighbours, "a long, b long, weight long")
-        chain = chain.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-        best = chain.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a"))
-        first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        self.link(self.compare(self.bounded(first)))
-        # 2. pairs that would connect the components of a run
-        self.link(self.compare(self.untested(self.tiles(runs, True))))
-        # 3. all pairs of different components in runs; of those between the same two components a few
-        # at a time, as one link makes the others idle
-        left = materialize(self.untested(self.tiles(runs, False)), "join-left")
-        if left.isEmpty():
-            return
-        for take in (4, None):
-            pairs = self.with_component(self.with_component(self.untested(left), "a", "ca"), "b", "cb").where("ca <> cb")
-            if take is not None:
-                order = W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b")
-                pairs = pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= take)
-            pairs = materialize(pairs.select("a", "b"), "join-rest")
-            if pairs.isEmpty():
-                return
-            self.link(self.compare(pairs))
+        rows = rows.repartition(n, "tile").sortWithinPartitions("tile")
+        out = rows.mapInArrow(tidy(_tiles(self.size, every_pair)), "u binary, v binary")
+        out = self.scratch.write(out.distinct() if every_pair else out, name)
+        self.scratch.drop(f"{name}-needed")
+        return out
+
+    def components(self) -> DataFrame | None:
+        """(class, label) for classes with links, or None."""
+        rows, _ = self.groups()
+        tiles = self.scratch.write(rows.groupBy("bucket").applyInArrow(_first_tiles(False), "tile long, short long, anchor long, q long"), "join-tiles")
+        links = self.links(tiles.where("tile is not null").select("tile", "short"), None, False, "join-first")
+        labels = self.label(links)
+        large = tiles.where("anchor is not null").select("anchor", "short", "q")
+        if large.isEmpty():
+            return labels
+        # groups of several parts, if they still hold several components
+        named = large.join(self.classes.select("short", "class"), "short")
+        if labels is not None:
+            named = named.join(labels, "class", "left").withColumn("component", F.coalesce("label", "class"))
+        else:
+            named = named.withColumn("component", F.col("class"))
+        named = self.scratch.write(named.select("anchor", "short", "q", "component"), "join-large")
+        mixed = named.groupBy("anchor").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("anchor")
+        second = named.join(mixed, "anchor").groupBy("anchor").applyInArrow(_second_tiles, TILE)
+        more = self.links(self.scratch.write(second.distinct(), "join-second-tiles"), labels, False, "join-second")
+        return self.label(links.unionByName(more)) if not more.isEmpty() else labels
+
+    def label(self, links: DataFrame) -> DataFrame | None:
+        if links.isEmpty():
+            return None
+        found = connected_components(links, scratch=self.scratch)
+        return self.scratch.write(found.select(F.col("node").alias("class"), "label"), "join-labels")
 
     def all_links(self) -> DataFrame:
-        """Every linked pair of classes. Without labels each class is its own component, so no pair is skipped."""
-        assert self.labels is None
-        return self.compare(self.tiles(self.runs(), False))
-
-    def tiles(self, runs: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of different components that pass the bound, from the runs that hold several components."""
-        rows = self.with_component(runs.select("run", F.explode("classes").alias("class")), "class", "component")
-        over = W.partitionBy("run")
-        mixed = rows.withColumn("x", F.min("component").over(over)).withColumn("y", F.max("component").over(over)).where("x <> y")
-        mixed = materialize(mixed.select("run", "class", "component"), "join-mixed")
-        listed = F.concat(F.slice(F.array_sort(F.collect_list("run")), F.lit(1), F.lit(LOW)), F.array_repeat(F.lit(NO_RUN), LOW))
-        low = mixed.groupBy("class").agg(F.slice(listed, 1, LOW).alias("low"))
-        packed = F.unhex(F.array_join(F.transform("low", lambda v: F.lpad(F.hex(v), 16, "0")), ""))
-        side = low.select("class", packed.alias("low")).join(self.classes.select("class", "n", "bits"), "class")
-        rows = mixed.join(side, "class").select("run", "n", "class", "component", "bits", "low")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "run").sortWithinPartitions("run", "n", "class").mapInArrow(_tiled(forest), "a long, b long").distinct()
+        """Every linked pair of classes (u, v); no pair is skipped."""
+        rows, _ = self.groups()
+        tiles = rows.groupBy("bucket").applyInArrow(_first_tiles(True), "tile long, short long, anchor long, q long")
+        return self.links(self.scratch.write(tiles.select("tile", "short"), "join-tiles"), None, True, "join-links")
 
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -569,17 +665,23 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, size: int) -> DataFrame:
-    """The rows of ``join`` with their row keys."""
-    texts = read_text(docs)
-    job = _Join(texts, size)
-    job.components()
-    by_class = job.members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
-    labelled = materialize(job.with_component(by_class, "class", "component"), "join-by-class")
-    low = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = labelled.join(low, "component").select("class", "component_id", "n_copies")
-    return job.members.join(of_class, "class", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
-    )
+    """The rows of ``join`` with their row keys, written; what they were made from is removed."""
+    job = _Join(read_text(docs), size)
+    labels = job.components()
+    named = job.members.where("class is not null")
+    by_class = named.groupBy("class").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
+    if labels is not None:
+        by_class = by_class.join(labels, "class", "left").withColumn("component", F.coalesce("label", "class")).drop("label")
+        low = by_class.groupBy("component").agg(F.min("low").alias("component_id"))
+        of_class = by_class.join(low, "component").select("class", "component_id", "n_copies")
+    else:
+        of_class = by_class.withColumnRenamed("low", "component_id")
+    columns = ["doc_id", "key", F.col("n").alias("n_shingles")]
+    linked = named.join(of_class, "class").select(*columns, F.coalesce("component_id", "doc_id").alias("component_id"), "n_copies")
+    empty = job.members.where("class is null").select(*columns, F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    out = job.scratch.write(linked.unionByName(empty), "join-result")
+    job.scratch.drop_all_but("join-result")
+    return out
 
 
 def links(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -588,31 +690,25 @@ def links(docs: DataFrame, size: int = SIZE) -> DataFrame:
     A class is named by the hash of its set and by its smallest id, which is null where no row has one.
     """
     job = _Join(read_text(docs), size)
-    return _named(job, job.all_links())
+    found = job.all_links()
+    low = job.members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"))
+    left, right = (low.select(F.col("class").alias(k), F.col("doc").alias(d)) for k, d in (("u", "doc_a"), ("v", "doc_b")))
+    return found.join(left, "u").join(right, "v").select(F.col("u").alias("class_a"), F.col("v").alias("class_b"), "doc_a", "doc_b")
 
 
 def link_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, class and n_links for every row: to how many other classes its class is linked."""
     job = _Join(read_text(docs), size)
-    per_class = job.all_links().select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    per_class = job.all_links().select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     return job.members.join(per_class, "class", "left").select("doc_id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _named(job: _Join, found: DataFrame) -> DataFrame:
-    low = job.members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc"))
-    left, right = (low.select(F.col("class").alias(k), F.col("doc").alias(f"doc_{k}")) for k in "ab")
-    return found.join(left, "a").join(right, "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "doc_a", "doc_b")
-
-
 def _split(table):
+    """(three places, key, row) -> (key, row, whether the filter has the key)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = table.value
         for batch in batches:
-            hit = np.ones(len(batch), bool)
-            for k in range(3):
-                p = batch.column(k).to_numpy()
-                hit &= (words[p >> 6] >> (p & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(hit)], [*batch.schema.names[3:], "_hit"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), _passes(batch, table.value, 0)], ["key", "row", "hit"])
 
     return run
 
@@ -622,23 +718,25 @@ def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     Documents without words, and rows with a null id, stay; of rows with equal id and text one stays.
     Where an id repeats with different texts, each row is judged by its own text: one that is linked
-    to a smaller id goes, the others stay, also those linked only to rows of their own id.
-    A filter of fixed size over the rows that go lets most documents pass without a shuffle; only those
+    to a smaller id goes, the others stay, also those linked only to rows of their own id. Columns may
+    have any names.
+    A filter of bounded size over the rows that go lets most documents pass without a shuffle; only those
     that it names are joined with the exact list.
     """
     spark = docs.sparkSession
-    gone = materialize(_labelled(docs, size).where("doc_id <> component_id").select("doc_id", F.col("key").alias("_key")).distinct(), "join-gone")
-    table = spark.sparkContext.broadcast(_bloom(gone, "_key"))  # BLOOM_BITS, whatever the input
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = _labelled(docs, size).where("doc_id <> component_id").select("doc_id", "key").distinct()
+    words = _bloom(gone, "key", gone.count())
     counts = docs.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if counts["n"] != counts["d"]:
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
-    keyed = docs.select(_row_key(F.coalesce("text", F.lit(""))).alias("_key"), *columns)
-    tests = [F.pmod(F.xxhash64("_key", F.lit(s)), F.lit(BLOOM_BITS)).alias(f"_p{s}") for s in (1, 2, 3)]
-    first = keyed.select(*tests, "_key", *columns)
-    schema = "_key long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _hit boolean"
-    tested = first.mapInArrow(_split(table), schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(_row_key(F.coalesce("text", F.lit(""))).alias("key"), row.alias("row"))
+    tests = [c.alias(f"p{i}") for i, c in enumerate(_hashed("key", words))]
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", docs.schema), T.StructField("hit", T.BooleanType())])
+    tested = keyed.select(*tests, "key", "row").mapInArrow(tidy(_split(spark.sparkContext.broadcast(words))), schema)
+    doc_id = F.col("row").getField("doc_id")
     # the test is cheap, the texts are not: two narrow passes instead of one shuffle of all
-    passed = tested.where("not _hit or doc_id is null")
-    checked = tested.where("_hit and doc_id is not null").join(gone, ["doc_id", "_key"], "left_anti")
+    passed = tested.where(~F.col("hit") | doc_id.isNull())
+    checked = tested.where(F.col("hit") & doc_id.isNotNull()).withColumn("doc_id", doc_id).join(gone, ["doc_id", "key"], "left_anti")
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
     return passed.select(*columns).unionByName(checked.select(*columns))

@@ -64,10 +64,16 @@ def test_join_by_brute_force(spark):
     assert got == sorted(brute_components(rows))
 
 
-def test_tiles_of_a_crowded_shingle(spark, monkeypatch):
-    """With runs of at most four classes, tiles must still find every pair."""
-    monkeypatch.setattr(ngram_join, "RUN", 4)
-    monkeypatch.setattr(ngram_join, "TILE", 3)
+@pytest.mark.parametrize(("run", "least", "shingles"), [(4, 128, 2_000_000), (1 << 17, 7, 2_000_000), (4, 7, 2_000_000), (1 << 17, 128, 300)])
+def test_tiles_of_a_crowded_shingle(spark, monkeypatch, run, least, shingles):
+    """With runs of few classes, and groups cut into parts of few classes or shingles, tiles must still find every pair."""
+    monkeypatch.setattr(ngram_join, "RUN", run)
+    monkeypatch.setattr(ngram_join, "LEAST", least)
+    monkeypatch.setattr(ngram_join, "SHINGLES", shingles)
+    monkeypatch.setattr(ngram_join, "PARTS", 1000)
+    monkeypatch.setattr(ngram_join, "AGAIN", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "STEP", 2)
     rng = random.Random(12)
     base = [f"v{i}" for i in range(80)]
     rows = []
@@ -76,8 +82,14 @@ def test_tiles_of_a_crowded_shingle(spark, monkeypatch):
         for k in rng.sample(range(80), 3):
             copy[k] = f"x{i}{k}"
         rows.append((i, " ".join(copy)))
+    # halves that share much, but not enough: one group of several components
+    for i in range(24):
+        copy = [w if k < 50 else f"y{i % 3}{k}" for k, w in enumerate(base)]
+        copy[rng.randrange(50)] = f"z{i}"
+        rows.append((100 + i, " ".join(copy)))
     got = sorted(tuple(r)[:3] for r in ngram_join.join(frame(spark, rows)).collect())
     assert got == sorted(brute_components(rows))
+    assert len({r[2] for r in got}) > 3
 
 
 def test_filter_path_beyond_a_broadcast(spark, monkeypatch):
@@ -119,8 +131,10 @@ def test_all_links_by_brute_force(spark, monkeypatch):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     pairs = sorted((tuple(sorted((low[a], low[b]), key=lambda x: (x is None, x or 0))) for a in classes for b in linked[a]), key=key)[::2]
     assert len(pairs) > 300
-    for run in (ngram_join.RUN, 4):
+    for run, least in ((ngram_join.RUN, 128), (4, 9)):
         monkeypatch.setattr(ngram_join, "RUN", run)
+        monkeypatch.setattr(ngram_join, "LEAST", least)
+        monkeypatch.setattr(ngram_join, "PARTS", 1000)
         got = ngram_join.links(frame(spark, rows)).collect()
         assert len({(r["class_a"], r["class_b"]) for r in got}) == len(got)
         assert sorted((tuple(sorted((r["doc_a"], r["doc_b"]), key=lambda x: (x is None, x or 0))) for r in got), key=key) == pairs
@@ -148,7 +162,7 @@ def test_one_of_each_where_ids_repeat(spark):
 
 
 def test_bound_never_rejects_a_link():
-    from paperloom.llm.shingles import bitmap, fold_bits
+    from paperloom.llm.shingles import bitmaps
 
     rng = np.random.default_rng(5)
     for _ in range(400):
@@ -157,18 +171,70 @@ def test_bound_never_rejects_a_link():
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 40)), dtype=np.uint64))))
         if not len(b):
             continue
-        x, y = (np.frombuffer(bitmap(s), np.uint64)[None] for s in (a, b))
-        width = 64 * min(x.shape[1], y.shape[1])
-        differ = int(np.bitwise_count(fold_bits(x, width) ^ fold_bits(y, width)).sum())
-        overlap = len(np.intersect1d(a, b))
-        assert overlap <= (len(a) + len(b) - differ) // 2
-        if 4 * overlap >= 3 * (len(a) + len(b) - overlap):
-            assert overlap >= ngram_join.least_overlap(len(a), len(b)) and ngram_join.may_link(np.array(len(a)), np.array(len(b)), np.array(differ))
+        x, y = bitmaps([a, b], int(rng.choice([1, 30, n])))
+        differ = int(np.bitwise_count(x ^ y).sum())
+        both = len(np.intersect1d(a, b))
+        assert ngram_join.overlap(a, b) == both <= (len(a) + len(b) - differ) // 2
+        if 4 * both >= 3 * (len(a) + len(b) - both):
+            assert both >= ngram_join.least_overlap(len(a), len(b)) and ngram_join.may_link(np.array(len(a)), np.array(len(b)), np.array(differ))
+
+
+def test_first_shingles_of_linked_sets():
+    """Linked sets share ``need`` of their first ``ext_size`` shingles; of sizes that differ as much as they may, too."""
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        both = int(rng.integers(-(-3 * n // 4), n + 1))
+        m = int(rng.integers(both, max(both, 4 * both // 3 + both - n) + 1))
+        if 4 * both < 3 * (n + m - both):
+            continue
+        values = rng.permutation(n + m - both)
+        a, b = np.sort(values[:n]), np.sort(values[n - both :])
+        first = np.intersect1d(a[: ngram_join.ext_size(n)], b[: ngram_join.ext_size(m)])
+        assert len(first) >= max(ngram_join.need(n), ngram_join.need(m))
+
+
+def test_classes_that_share_their_first_bits():
+    """Classes with the same 64 bits and size are chosen for together; each keeps what it would keep alone."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(rng.integers(1, 200))
+        rows = []
+        for _ in range(2):
+            own = np.zeros(int(rng.integers(0, ngram_join.ext_size(n) + 1)), ngram_join.SHARED)
+            own["q"] = round(1000 * np.log2(n)) + np.where(rng.random(len(own)) < 0.2, ngram_join._CROWDED, 0)
+            own["short"], own["token"] = 5, rng.choice(1 << 40, len(own), replace=False)
+            own["df"] = own["token"] % 7 + 2
+            rows.append(own)
+        kept = [set(ngram_join._chosen(r, 8)[1]["token"].tolist()) for r in (*rows, np.concatenate(rows))]
+        assert kept[0] <= kept[2] and kept[1] <= kept[2]
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    rows = []
+    for k, n in enumerate((1024, 4096, 65536)):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        for j, pair in enumerate(("ab", "ba")):
+            rows.append((10 * k + j, " ".join(["".join(pair[b] for b in bits) + str(i) for i in range(3)] + ["tail"])))
+    got = sorted(tuple(r)[:3] for r in ngram_join.join(frame(spark, rows)).collect())
+    assert got == sorted(brute_components(rows))
+
+
+def test_columns_with_the_names_in_use(spark):
+    names = ["key", "row", "hit", "_hit", "p0", "_p1", "tile", "class", "text", "doc_id", "a.b"]
+    rows = [("k", "r", "h", "x", 1, 2, 3, "c", t, i, "dot") for i, t in enumerate(["a b c d e f", "A b c d e f", "other words are here now ok", None, ""])]
+    df = spark.createDataFrame(rows, "key string, row string, hit string, _hit string, p0 int, _p1 int, tile int, class string, text string, doc_id long, `a.b` string")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == names
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4]
+    assert {tuple(r)[:8] + (r["a.b"],) for r in kept.collect()} == {("k", "r", "h", "x", 1, 2, 3, "c", "dot")}
+    assert sorted(r["component_id"] for r in ngram_join.join(df).collect()) == [0, 0, 2, 3, 4]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_components(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "hub"), [(1_000_000, 100_000), (0, 100_000), (0, 1)])
+def test_components(spark, monkeypatch, limit, hub):
     monkeypatch.setattr(components, "ONE_TASK", limit)
+    monkeypatch.setattr(components, "HUB", hub)
     rng = random.Random(21)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(500, 500), (300, 301), (301, 300)]
     df = spark.createDataFrame([*edges, (None, 1)], "u long, v long")
