@@ -88,41 +88,68 @@ def read_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 # Span columns -------------------------------------------------------------------------------
 
-SPAN = "array<struct<start:int,end:int,rank:int,kind:string,match:string>>"
+#: ``before`` is the text since the match before, at most CONTEXT characters of it.
+SPAN_ROW = "struct<start:int,end:int,rank:int,kind:string,match:string,before:string>"
+SPAN = f"array<{SPAN_ROW}>"
+CONTEXT, FOLD = 40, 256
 
 
-def spans_of(text: str, pattern: str, kind: str, rank: int, keep=None, group: int = 0, guard: Column | None = None) -> Column:
+def fold(items: Column, state: Column, step, kind: str, last=None) -> Column:
+    """The arrays that ``step(state, item)`` emits, one after the other.
+
+    ``step`` gives a struct of the next ``state`` and ``out``, an array of type ``kind``; ``last(state)`` gives
+    what follows the last item. Items are folded in blocks, as an array that grows by one element at a
+    time is copied each time: the time is linear in the items up to some ten thousands, and little more beyond.
+    """
+    none, nothing = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
+
+    def inner(acc, x):
+        return let(step(acc["state"], x), lambda y: F.struct(y["state"].alias("state"), F.concat(acc["out"], y["out"]).alias("out")))
+
+    def outer(acc, block):
+        done = F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return let(done, lambda y: F.struct(y["state"].alias("state"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
+
+    def run(xs):
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / FOLD).cast("int"))
+        blocks = F.transform(starts, lambda i: F.slice(xs, i * FOLD + 1, FOLD))
+        end = lambda acc: F.flatten(acc["out"] if last is None else F.concat(acc["out"], F.array(last(acc["state"]))))
+        return F.aggregate(blocks, F.struct(state.alias("state"), nothing.alias("out")), outer, end)
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, run(xs)).otherwise(none))
+
+
+def spans_of(text: str, pattern: str, kind: str, rank: int, keep=None, guard: Column | None = None) -> Column:
     """Every leftmost non-overlapping match of a Java pattern in column ``text``, with code-point offsets.
 
     Spark returns matches without offsets. ``split`` runs the same matcher, so offsets are the running
     sum of the lengths of the pieces between matches and of the matches. Texts without a match are
     scanned once. ``keep`` filters by the match (after matching: dropped matches stay consumed).
     """
-    col, pat = F.col(text), F.lit(pattern)
-    found = F.regexp_extract_all(col, pat, F.lit(0))
+    col = F.col(text)
     empty = F.expr(f"cast(array() as {SPAN})")
 
+    def judged(m: Column) -> Column:
+        return F.struct(m.alias("m"), (F.lit(True) if keep is None else F.coalesce(keep(m), F.lit(False))).alias("ok"))
+
     def place(matches: Column) -> Column:
-        pieces = F.transform(F.split(col, pattern, -1), lambda x: F.length(x))
+        pieces = F.split(col, pattern, -1)
         steps = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m"))
-        )
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-        def step(acc, x):
-            begin = acc["at"] + x["gap"]
-            end = begin + F.length(x["m"])
-            span = F.struct(
-                begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["m"].alias("match")
-            )
-            kept = F.array(span) if keep is None else F.when(keep(x["m"]), F.array(span)).otherwise(empty)
-            return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
-
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
-
-    # a filter on matches first: most texts hold none that would be kept
-    some = found if keep is None else let(found, lambda m: F.when(F.exists(m, keep), m).otherwise(F.array().cast("array<string>")))
-    out = let(some, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(empty))
+            F.slice(pieces, F.lit(1), F.size(matches)), matches,
+            lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("size"), F.substring(gap, -CONTEXT, CONTEXT).alias("before"), x["m"].alias("m"), x["ok"].alias("ok")),
+        )
+
+        def step(at, x):
+            begin = at + x["gap"]
+            end = begin + x["size"]
+            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["m"].alias("match"), x["before"].alias("before"))
+            return F.struct(end.alias("state"), F.when(x["ok"], F.array(span)).otherwise(empty).alias("out"))
+
+        return fold(steps, F.lit(0), step, SPAN)
+
+    # most texts hold no match that would be kept
+    found = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), judged)
+    out = let(found, lambda xs: F.when(F.exists(xs, lambda x: x["ok"]), place(xs)).otherwise(empty))
     return out if guard is None else F.when(guard, out).otherwise(empty)
 
 

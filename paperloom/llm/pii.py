@@ -3,8 +3,9 @@
 Base spans (``email``, ``ip``, ``card``, ``phone``) are format matches with their checks and always stay.
 High-recall generators propose further, overlapping spans (national phone numbers, obfuscated mail
 addresses, national ids, bank accounts, long numbers, IPv6). Boosted trees score each proposal from its
-format and the text before it; a proposal is taken from the calibrated threshold of its generator on,
-if it overlaps no base span and no better proposal. The trees are trained by ``pii_model.train`` on a
+format and the text before it (since the match before of its generator), and those from the calibrated
+threshold of their generator on are candidates. In order of their starts, of a candidate and the one held
+before it that overlap the better stays; one that overlaps a base span goes. The trees are trained by ``pii_model.train`` on a
 bounded, seeded, labelled sample (parameter ``rows``) and kept in ``pii_model.json``; here they are
 plain ``CASE`` expressions.
 
@@ -21,7 +22,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN, count_kind, join_spans, let, read_text, spans_of
+from .common import SPAN, SPAN_ROW, count_kind, fold, join_spans, let, read_text, spans_of
 
 # The look-behinds and possessive quantifiers keep the scans linear; \G lets a match start where the
 # last one ended, as leftmost non-overlapping search does.
@@ -38,7 +39,6 @@ GENERATORS = [
     ("long_number", "number", 6, r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){8,18}(?![0-9A-Za-z])"),
     ("ip6", "ip", 1, r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
 ]
-CONTEXT = 40
 #: Words before a span, as features.
 WORDS = {
     "contact": "phone|tel|call|fax|mobile|contact|whatsapp|telefon|llame|appel",
@@ -77,21 +77,23 @@ def is_ip(match: Column) -> Column:
     return F.forall(F.split(match, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "").rlike("^([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
 
 
-def features(text: Column, span: Column, generator: Column) -> Column:
+def features(match: Column, before: Column, generator: Column) -> Column:
     """Doubles in the order of ``FEATURES``."""
-    m = span["match"]
-    digits = F.length(only_digits(m))
-    letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
-    at = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.lower(F.substring(text, at + 1, span["start"] - at))
-    values = [
-        F.length(m), digits, F.length(m) - digits - letters, letters,
-        F.size(F.array_distinct(F.split(only_digits(m), ""))),
-        *(before.rlike(words).cast("int") for words in WORDS.values()),
-        before.rlike(r"[#$€£=/:]\s?$").cast("int"),
-        generator,
-    ]
-    return F.array(*(v.cast("double") for v in values))
+
+    def of(x: Column) -> Column:
+        m, before = x["m"], x["before"]
+        digits = F.length(only_digits(m))
+        letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
+        values = [
+            F.length(m), digits, F.length(m) - digits - letters, letters,
+            F.size(F.array_distinct(F.split(only_digits(m), ""))),
+            *(before.rlike(words).cast("int") for words in WORDS.values()),
+            before.rlike(r"[#$€£=/:]\s?$").cast("int"),
+            generator,
+        ]
+        return F.array(*(v.cast("double") for v in values))
+
+    return let(F.struct(match.alias("m"), F.lower(before).alias("before")), of)
 
 
 @cache
@@ -114,28 +116,64 @@ def score(x: Column, trees: list) -> Column:
     return total
 
 
-PROPOSAL = "array<struct<score:double,span:struct<start:int,end:int,rank:int,kind:string,match:string>>>"
+PROPOSAL = f"array<struct<score:double,span:{SPAN_ROW}>>"
 
 
-def proposals(text: str = "text") -> Column:
-    """Proposals with their scores, below-threshold ones left out."""
+def _scored(code: int):
+    """Of a span of generator ``code``: the span with the trees' score. A lambda's further parameters would get
+    the element's index, so what it needs is bound here."""
     m = model()
-    out = F.expr(f"cast(array() as {PROPOSAL})")
+
+    def score_of(s: Column) -> Column:
+        found = let(features(s["match"], s["before"], F.lit(code)), lambda x: m["base"] + score(x, m["trees"]))
+        return F.struct(found.alias("score"), s.alias("span"))
+
+    return score_of
+
+
+def _above(cut: float):
+    return lambda p: p["score"] >= F.lit(cut)
+
+
+def proposals(text: str = "text") -> Column:
+    """Proposals with their scores, those below their generator's threshold left out."""
+    out = []
     for code, (name, kind, rank, pattern) in enumerate(GENERATORS):
-        cut = m["thresholds"][name]
-        found = spans_of(text, pattern, kind, rank)
-        scored = F.transform(
-            found,
-            lambda s, code=code: F.struct(
-                let(features(F.col(text), s, F.lit(code)), lambda x: m["base"] + score(x, m["trees"])).alias("score"), s.alias("span")
-            ),
+        scored = F.transform(spans_of(text, pattern, kind, rank), _scored(code))
+        out.append(F.filter(scored, _above(model()["thresholds"][name])).cast(PROPOSAL))
+    return F.concat(*out)
+
+
+def chosen(base: Column, proposed: Column) -> Column:
+    """Candidates that overlap no base span and no better candidate, in one pass by start."""
+    none = F.lit(None).cast("double")
+    item = lambda start, score, base, span: F.struct(start.alias("start"), score.alias("score"), base.alias("base"), span.alias("span"))
+    items = F.array_sort(
+        F.concat(
+            # at equal starts the base span first, then the better candidate
+            F.transform(base, lambda s: item(s["start"], F.lit(float("-inf")), F.lit(True), s)),
+            F.transform(proposed, lambda p: item(p["span"]["start"], -p["score"], F.lit(False), p["span"])),
+        )
+    )
+    free = F.lit(None).cast(SPAN_ROW)
+    nothing = F.expr(f"cast(array() as {SPAN})")
+    state = lambda covered, held, score: F.struct(covered.alias("covered"), held.alias("held"), score.alias("score"))
+
+    def step(now, x):
+        held, s = now["held"], x["span"]
+        clash = held.isNotNull() & (held["end"] > s["start"])
+        stay = F.when(held.isNotNull() & ~clash, F.array(held)).otherwise(nothing)
+        result = lambda covered, held, score, out: F.struct(state(covered, held, score).alias("state"), out.alias("out"))
+        reach = F.greatest(now["covered"], s["end"])
+        return (
+            F.when(x["base"], result(reach, free, none, stay))
+            .when(s["start"] < now["covered"], result(now["covered"], held, now["score"], nothing))
+            .when(clash & (now["score"] <= x["score"]), result(now["covered"], held, now["score"], nothing))
+            .otherwise(result(now["covered"], s, x["score"], stay))
         )
-        out = F.concat(out, F.filter(scored, lambda p, cut=cut: p["score"] >= cut).cast(PROPOSAL))
-    return out
-
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+    last = lambda now: F.when(now["held"].isNotNull(), F.array(now["held"])).otherwise(nothing)
+    return fold(items, state(F.lit(0), free, none), step, SPAN, last)
 
 
 def with_spans(df: DataFrame) -> DataFrame:
@@ -146,22 +184,8 @@ def with_spans(df: DataFrame) -> DataFrame:
     df = df.withColumn("_phone", spans_of("text", PHONE, "phone", 3, keep=is_phone, guard=F.col("text").contains("+")))
     df = df.withColumn("base_spans", F.concat("_email", "_ip", "_card", "_phone")).drop("_email", "_ip", "_card", "_phone")
     df = df.withColumn("_proposed", proposals())
-
-    def chosen(ps: Column) -> Column:
-        def free(p):
-            hit = F.exists(F.col("base_spans"), lambda b: overlap(b, p["span"]))
-
-            def beats(q):
-                better = (q["score"] > p["score"]) | (q["score"] == p["score"]) & (
-                    (q["span"]["start"] < p["span"]["start"]) | (q["span"]["start"] == p["span"]["start"]) & (q["span"]["rank"] < p["span"]["rank"])
-                )
-                return better & overlap(q["span"], p["span"])
-
-            return ~hit & ~F.exists(ps, beats)
-
-        return F.transform(F.filter(ps, free), lambda p: p["span"]).cast(SPAN)
-
-    return df.withColumn("all_spans", F.concat("base_spans", let(F.col("_proposed"), chosen))).drop("_proposed")
+    added = F.when(F.size("_proposed") > 0, chosen(F.col("base_spans"), F.col("_proposed"))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return df.withColumn("all_spans", F.concat("base_spans", added)).drop("_proposed")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -179,17 +203,14 @@ def find(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by ``[KIND]``; overlapping spans become one, named by the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc, s):
-        fresh = F.struct(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            s["end"].alias("at"),
-        )
-        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(inside)
+    def step(at, s):
+        piece = F.array(F.substring(text, at + 1, s["start"] - at), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        end = F.greatest(at, s["end"])
+        return F.struct(end.alias("state"), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>")).alias("out"))
 
-    done = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    cut = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+    done = F.concat(F.array_join(fold(ordered, F.lit(0), step, "array<string>"), ""), cut)
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 

@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 
 from . import pii
+from .common import CONTEXT
 
 ROWS, SEED, TREES, DEPTH, RATE = 6000, 20, 30, 3, 0.3
 PRECISION = 0.97
@@ -62,6 +63,11 @@ def sample(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, int, int, str,
             m = _digits(rng, n)
             if not label and rng.random() < 0.3:
                 m = rng.choice("0123456789") * n
+            elif not label and rng.random() < 0.5:  # telephone numbers and national ids are other generators'
+                if rng.random() < 0.5:
+                    m, lead = rng.choice("-. ").join((_digits(rng, 3), _digits(rng, 3), _digits(rng, 4))), rng.choice(["contact", "plain"])
+                else:
+                    m, lead = "-".join((_digits(rng, 3), _digits(rng, 2), _digits(rng, 4))), rng.choice(["identity", "plain"])
             elif label and rng.random() < 0.3:
                 m = " ".join(m[k : k + 3] for k in range(0, n, 3))
         else:
@@ -106,9 +112,8 @@ def predict(tree, x):
 def feature_rows(spark, rows):
     from pyspark.sql import functions as F
 
-    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, s int, e int, m string, code int, label int")
-    span = F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.col("m").alias("match"))
-    got = frame.select("i", pii.features(F.col("text"), span, F.col("code")).alias("x"), "label").orderBy("i").collect()
+    frame = spark.createDataFrame([(i, t[max(0, a - CONTEXT) : a], m, code, label) for i, (t, a, _, m, code, label) in enumerate(rows)], "i int, before string, m string, code int, label int")
+    got = frame.select("i", pii.features(F.col("m"), F.col("before"), F.col("code")).alias("x"), "label").orderBy("i").collect()
     return np.array([r["x"] for r in got]), np.array([r["label"] for r in got])
 
 

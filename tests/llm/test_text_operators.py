@@ -116,6 +116,108 @@ def test_classifier_on_held_out_samples(spark):
     assert model["features"] == pii.FEATURES
 
 
+def test_scores_and_thresholds_in_the_query(spark):
+    """Every proposal of texts with many of each generator has the trees' score, and the threshold of its generator decides."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    model, texts = pii.model(), []
+    rows = pii_model.sample(360, seed=5)
+    for code in range(len(pii.GENERATORS)):
+        own = [t for t, *_, c, _ in rows if c == code]
+        texts += [" of it then . ".join(own[i : i + 20]) for i in range(0, len(own), 20)]
+    texts.append("call me at 212-555-1000 today . " * 12)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    columns = [pii.spans_of("text", pattern, kind, rank).alias(name) for name, kind, rank, pattern in pii.GENERATORS]
+    found = df.select("i", *columns, pii.proposals().alias("taken")).orderBy("i").collect()
+    for r in found:
+        want = []
+        for code, (name, *_, pattern) in enumerate(pii.GENERATORS):
+            spans = r[name]
+            matches = list(re.finditer(pattern.replace("++", "+").replace("}+", "}"), texts[r["i"]]))
+            assert [(s["start"], s["match"]) for s in spans] == [(m.start(), m[0]) for m in matches]
+            ends = [0, *(m.end() for m in matches)]
+            assert [s["before"] for s in spans] == [texts[r["i"]][max(e, m.start() - 40) : m.start()] for e, m in zip(ends, matches)]
+            if spans:
+                frame = spark.createDataFrame([(k, s["match"], s["before"]) for k, s in enumerate(spans)], "k int, m string, b string")
+                x = np.array([y[1] for y in frame.select("k", pii.features(F.col("m"), F.col("b"), F.lit(code))).orderBy("k").collect()])
+                out = model["base"] + sum(pii_model.predict(t, x) for t in model["trees"])
+                want += [(round(float(v), 6), s["start"]) for v, s in zip(out, spans) if v >= model["thresholds"][name]]
+        assert [(round(p["score"], 6), p["span"]["start"]) for p in r["taken"]] == want
+    last = {r["doc_id"]: r for r in pii.find(spark.createDataFrame([(0, texts[-1])], "doc_id long, text string")).collect()}[0]
+    assert last["n_added"] == 12 and last["spans"].count("phone:") == 12
+
+
+def test_query_on_held_out_samples(spark):
+    """Precision and recall of the query's own spans."""
+    rows = pii_model.sample(1800, seed=77)
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")).collect()}
+    right = wrong = missed = 0
+    for i, (_, start, end, _, code, label) in enumerate(rows):
+        said = f"{pii.GENERATORS[code][1]}:{start}:{end}" in got[i]
+        right, wrong, missed = right + (said and label), wrong + (said and not label), missed + (label and not said)
+    assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.6
+
+
+def plain_choice(base, proposed):
+    covered, held, out = 0, None, []
+    for start, score, is_base, end, rank, kind in sorted([(s, float("-inf"), 0, e, r, k) for s, e, r, k in base] + [(s, -v, 1, e, r, k) for v, s, e, r, k in proposed]):
+        clash = held is not None and held[1] > start
+        if not is_base:
+            out += [held[2]] if held is not None and not clash else []
+            covered, held = max(covered, end), None
+        elif start >= covered and not (clash and held[0] <= score):
+            out += [held[2]] if held is not None and not clash else []
+            held = (score, end, (start, end))
+    return out + ([held[2]] if held else [])
+
+
+def test_choice_among_overlaps(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        n = rng.choice([3, 20, 700])
+        base = sorted({(s := rng.randrange(5 * n), s + rng.randint(1, 5), 0, "email") for _ in range(rng.randint(0, n // 4))})
+        proposed = [(rng.choice([0.5, 1.0, 2.0]), s := rng.randrange(5 * n), s + rng.randint(1, 9), 3, "phone") for _ in range(n)]
+        rows.append((i, [(*b, "", "") for b in base], [(p[0], (*p[1:], "", "")) for p in proposed]))
+    df = spark.createDataFrame(rows, f"i int, base {pii.SPAN}, proposed {pii.PROPOSAL}")
+    for r in df.select("i", pii.chosen(F.col("base"), F.col("proposed")).alias("out")).collect():
+        _, base, proposed = rows[r["i"]]
+        want = plain_choice([b[:4] for b in base], [(v, *p[:4]) for v, p in proposed])
+        got = [(s["start"], s["end"]) for s in r["out"]]
+        assert got == want
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:])) and not any(s < e2 and s2 < e for s, e in got for s2, e2, *_ in base)
+
+
+def test_very_long_texts(spark):
+    """Time grows with the matches, not with their square: twice the matches take about twice the time."""
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        df = frame(spark, ["call me at 212-555-1000 or 10.0.0.1 today . " * n])
+        begin = time.time()
+        row = pii.find(df).collect()[0]
+        took.append(time.time() - begin)
+        assert row["n_ip"] == row["n_added"] == n
+    assert took[1] < 8 * took[0] + 2
+    found = pii.redact(df).collect()[0]["text"]
+    assert found == "call me at [PHONE] or [IP] today . " * 16000
+    row = secrets.scan(frame(spark, ["token=abc123XYZ and deadbeefdeadbeefdeadbeef " * 8000])).collect()[0]
+    assert row["n_assign"] == row["n_hex"] == 8000
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "s", 1, "x")] * 3, "doc_id long, text string, base_spans string, all_spans int, _row string")
+    assert [r["n_email"] for r in pii.find(df).collect()] == [1, 1, 1]
+    out = pii.redact(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "[EMAIL]", "s", 1, "x")] * 3
+    assert [r["n_assign"] for r in secrets.scan(df).collect()] == [0, 0, 0]
+
+
 def test_window_entropy_by_recounting(spark):
     import math
 
