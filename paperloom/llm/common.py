@@ -44,11 +44,20 @@ def _written(df: DataFrame, path: str, partition_by: list[str] | None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _in_store(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _in_store(spark, path)
+    store.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, target = _in_store(spark, path)
+    return store.exists(target)
 
 
 class Scratch:

@@ -217,6 +217,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 
 def _drop(table, share: float):
+    """(text, row) -> the rows whose text holds no item of the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = table.value
         for batch in batches:
@@ -232,10 +234,10 @@ def _drop(table, share: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents that hold no item, with all their columns; nothing is shuffled."""
+    """The documents that hold no item, with all their columns, whatever their names; nothing is shuffled."""
     spark = docs.sparkSession
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     for items in blocks(benchmark):
-        first = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *columns)
-        docs = first.mapInArrow(tidy(_drop(spark.sparkContext.broadcast(items), share)), first.schema).drop("_text")
-    return docs
+        rows = rows.mapInArrow(tidy(_drop(spark.sparkContext.broadcast(items), share)), rows.schema)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

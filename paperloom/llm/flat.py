@@ -45,11 +45,14 @@ def release() -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """A function over batches whose free memory goes back to the system when its task ends."""
+    """A function over batches whose free memory goes back to the system, now and then and at its end."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for i, batch in enumerate(run(batches), 1):
+                yield batch
+                if i % 16 == 0:
+                    release()
         finally:
             release()
 
@@ -232,7 +235,7 @@ def gather_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, tail: i
     return out
 
 
-def parts(offsets: np.ndarray, size: int = 1 << 21):
+def parts(offsets: np.ndarray, size: int = 1 << 20):
     """(first, last) of runs of texts that hold about so many bytes."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -233,7 +233,7 @@ def _first(size: int, buckets: int, table, run_cap: int):
                     held += len(own)
                 if len(seen) > 200_000:
                     seen.clear()
-                if held > 1_000_000:
+                if held > 500_000:
                     yield flush()
                     held = 0
         if held:

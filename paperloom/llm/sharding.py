@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, new_path, path_exists
 
 SLOTS = 8192
 ROW_BYTES = 16
@@ -121,9 +121,25 @@ def map_frame(spark, slot_map: SlotMap, base: dict[int, int] | None = None) -> D
     return spark.createDataFrame(rows, schema)
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def current_map(spark, path: str, weights: dict[int, int], shards: int, slots: int = SLOTS) -> SlotMap:
+    """The map in force: the last stored version, edited and stored as the next one where shards were added
+    or a shard is off the mean by more than a tenth; the first version where none is stored."""
+    if not path_exists(spark, path):
+        save_map(spark, first_map(weights, shards, slots), path)
+        return load_map(spark, path)
+    held = load_map(spark, path)
+    loads = held.loads(weights)
+    if shards != held.shards or max(loads) > 1.1 * sum(loads) / shards:
+        save_map(spark, rebalance(held, weights, shards), path)
+        held = load_map(spark, path)
+    return held
+
+
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """Each record's shard under a byte-balanced slot map, and its gapless place in the shard.
 
+    ``maps`` is the folder of the stored map's versions; without one, a new folder in the shared one is begun.
+
     The place is the sum of the rows of the shard's earlier slots plus the rank within the slot, so
     no window spans a whole shard.
     """
@@ -132,7 +148,7 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     sums = slot_weights(recs).collect()  # at most ``slots`` rows
     weights = {r["vslot"]: r["bytes"] for r in sums}
     counts = {r["vslot"]: r["n_rows"] for r in sums}
-    slot_map = first_map(weights, shards, slots)
+    slot_map = current_map(spark, maps or new_path(spark, "slot-maps"), weights, shards, slots)
     base, filled = {}, [0] * shards
     for slot, owner in enumerate(slot_map.owner):
         base[slot] = filled[owner]

@@ -256,9 +256,9 @@ def decode_chunk(chunk: bytes) -> np.ndarray:
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, root, n_tokens, list of (pos, name, n, crc) in order) -> checked digests."""
+    """(root, n_tokens, list of (pos, name, n, crc) in order) -> (root, crc), checked."""
     for batch in batches:
-        lists = batch.column(4)
+        lists = batch.column(2)
         flat_rows = lists.flatten()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
@@ -267,13 +267,13 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crcs = flat_rows.field("crc").to_numpy(zero_copy_only=False).astype(np.uint32)
         sums = np.concatenate(([0], np.cumsum(n)))
         found = sums[offsets[1:]] - sums[offsets[:-1]]
-        if not np.array_equal(found, batch.column(3).to_numpy()):
+        if not np.array_equal(found, batch.column(1).to_numpy()):
             raise ValueError("a document's chunks don't hold all of its ids")
-        for i, root in enumerate(batch.column(2).to_pylist()):
+        for i, root in enumerate(batch.column(0).to_pylist()):
             if merkle(names[offsets[i] : offsets[i + 1]]) != root:
                 raise ValueError("a document's chunks don't give its root")
         crc = crc_of_parts(crcs, 4 * n, offsets).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc)], ["root", "ids_crc32"])
 
 
 def with_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -305,18 +305,39 @@ def with_starts(spark: SparkSession, path: str) -> DataFrame:
     return placed.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("before"))  # a row a part
 
 
+HOT = 100_000
+
+
+def _on_hot_key(left: DataFrame, right: DataFrame, key: str, uses: DataFrame, n: int) -> DataFrame:
+    """A left join with a right side of unique keys. Keys with more than HOT and a thousandth of the ``n``
+    rows of ``uses`` (key, count) are fewer than 1,000: their rows are joined by a broadcast and stay where they are."""
+    hot = materialize(uses.where(F.col("count") > max(HOT, n // 1000)).select(key), "token-hot") if n > HOT else None
+    if hot is None or hot.isEmpty():
+        return left.join(right, key, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    apart = left.join(F.broadcast(hot), key, "left_semi").join(few, key, "left")
+    return apart.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """Read the store back: place, number and CRC of every document's ids."""
+    """Read the store back: place, number and CRC of every document's ids.
+
+    Equal documents have one root, so their chunks are read and checked once; a root or chunk that a large
+    part of all documents use is joined by a broadcast."""
     chunks = read_chunks(spark, path).mapInArrow(_measure, "name binary, n long, crc long")
     recipes = materialize(with_starts(spark, path), "token-recipes")
+    roots = materialize(recipes.groupBy("root").agg(F.first("chunks").alias("chunks"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("count")), "token-roots")
     steps = F.sequence(F.lit(0), (F.length("chunks") / ADDRESS).cast("int") - 1)
-    uses = recipes.select("doc_id", "start", "root", "n_tokens", F.posexplode(F.transform(steps, lambda i: F.substring(F.col("chunks"), i * ADDRESS + 1, F.lit(ADDRESS)))).alias("pos", "name"))
-    found = uses.join(chunks, "name", "left").groupBy("start").agg(
-        F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.first("n_tokens").alias("n_tokens"),
-        F.sort_array(F.collect_list(F.struct("pos", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc")))).alias("uses"),
-    )
-    kind = recipes.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "start", "root", "n_tokens", "uses").mapInArrow(_assemble, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    uses = roots.select("root", "n_tokens", F.posexplode(F.transform(steps, lambda i: F.substring(F.col("chunks"), i * ADDRESS + 1, F.lit(ADDRESS)))).alias("pos", "name"))
+    sizes = roots.agg(F.sum("count"), F.sum(F.length("chunks") / ADDRESS)).first()
+    counts = uses.groupBy("name").count()
+    found = _on_hot_key(uses, chunks, "name", counts, int(sizes[1] or 0))
+    use = F.struct("pos", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))
+    found = found.groupBy("root").agg(F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(use)).alias("uses"))
+    crcs = found.select("root", "n_tokens", "uses").mapInArrow(_assemble, "root binary, ids_crc32 long")
+    rows = recipes.select("doc_id", "start", "n_tokens", "root")
+    out = _on_hot_key(rows, crcs, "root", roots.select("root", "count"), int(sizes[0] or 0))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_text
 from .flat import U64, Memo, flat, kept, names, parts, tidy
@@ -76,7 +77,7 @@ class DoubleArray:
 
 
 class Unigram:
-    def __init__(self, path: str, bits: int = 21):
+    def __init__(self, path: str, bits: int = 20):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -260,7 +261,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def to_ids(docs: DataFrame, path: str) -> DataFrame:
-    """The documents without their text, with ``n_tokens`` and ``token_ids``."""
+    """The documents without their text, with ``n_tokens`` and ``token_ids``; these two replace columns of
+    the documents with such names, all others stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unigram(path)
@@ -269,10 +271,11 @@ def to_ids(docs: DataFrame, path: str) -> DataFrame:
             for a, b in parts(offs):
                 ids, sizes = model.encode(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids.astype(np.int32)))
-                rest = [batch.column(i)[a:b] for i in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes), lists], [*batch.schema.names[1:], "n_tokens", "token_ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array(sizes), lists], ["row", "n_tokens", "token_ids"])
 
     others = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
-    df = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in others])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(tidy(run), f"{schema}, n_tokens long, token_ids array<int>" if schema else "n_tokens long, token_ids array<int>")
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    df = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), row.alias("row"))
+    ids = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
+    out = df.mapInArrow(tidy(run), T.StructType([T.StructField("row", df.schema["row"].dataType), *ids]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in others], "n_tokens", "token_ids")

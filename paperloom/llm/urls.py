@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,10 +94,12 @@ def rule_of(host: Column, path: Column, rules=None) -> Column:
 def judge(pages: DataFrame, rules=None) -> DataFrame:
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     judged = named.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
-    edges = materialize(link_edges(pages), "url-edges")
-    labels = materialize(
-        connected_components(edges.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v"))), "url-components"
+    scratch = Scratch(pages.sparkSession)
+    edges = scratch.write(link_edges(pages), "url-edges")
+    labels = scratch.write(
+        connected_components(edges.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")), scratch=scratch), "url-components"
     )
+    scratch.drop_all_but("url-edges", "url-components")
     # decisions of all nodes: pages and edge targets
     said = judged.select("node", "own").unionByName(
         edges.select(node_of(F.col("target")).alias("node"), rule_of(host_of(F.col("target")), path_of(F.col("target")), rules).alias("own"))
@@ -116,8 +118,11 @@ def judge(pages: DataFrame, rules=None) -> DataFrame:
         .where("blocks = 1 and allows = 0")
         .select("component", F.lit(True).alias("listed"))
     )
-    with_group = judged.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("label", "node"))
-    return with_group.join(by_component, "component", "left").select(
+    # pages without a node have no part in the joins: their null would be one key
+    with_group = judged.where("node is not null").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
+    alone = judged.where("node is null").withColumn("component", F.lit(None).cast("string")).withColumn("listed", F.lit(None).cast("boolean"))
+    columns = ["page_id", "host", "path", "own", "component", "listed"]
+    return with_group.join(by_component, "component", "left").select(*columns).unionByName(alone.select(*columns)).select(
         "page_id",
         "host",
         "path",

@@ -336,6 +336,41 @@ def test_windows_left_out_hold_no_leak(monkeypatch):
         assert got and got == [r for r in everything if r[2] >= share]
 
 
+def test_leaks_by_brute_force(spark):
+    """The whole operator against the alignment of every document with every item, over words that repeat."""
+    rng = random.Random(10)
+    text = lambda n: [rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa la mu nu xi".split()) for _ in range(n)]
+    items, docs = [text(rng.randint(4, 20)) for _ in range(12)], []
+    for _ in range(70):
+        words = text(rng.randint(0, 60))
+        if rng.random() < 0.7:
+            part = list(rng.choice(items))
+            for _ in range(rng.randint(0, 4)):
+                part[rng.randrange(len(part))] = rng.choice(["other", "mu", "xi"])
+            k = rng.randint(0, len(words))
+            words[k:k] = part
+        docs.append(words)
+    want = set()
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            seeds = {tuple(item[k : k + 3]) for k in range(len(item) - 2)}
+            if seeds & {tuple(words[k : k + 3]) for k in range(len(words) - 2)} and plain_score(words, item) >= 0.5 * 2 * len(item):
+                want.add((d, i))
+    d = frame(spark, [(i, " ".join(w).upper() if i % 4 == 0 else ", ".join(w)) for i, w in enumerate(docs)])
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 40
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == set(range(70)) - {d for d, _ in got}
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", "t", "r", 0.5), (2, "clean words only", "t", "r", 0.5)], "doc_id long, text string, _text string, row string, `a.b` double")
+    b = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    out = decontaminate.clean(df, b)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(2, "clean words only", "t", "r", 0.5)]
+    assert decontaminate.leaks(df, b).count() == 1
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (3,))
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(5)]
@@ -382,6 +417,20 @@ def test_versions_of_the_map(spark, tmp_path):
     assert sharding.load_map(spark, path).owner == even.owner and sharding.load_map(spark, path, 1).owner == first.owner
 
 
+def test_the_stored_map_is_in_force(spark, tmp_path):
+    """A second run keeps the first one's map; one more shard takes slots only into itself, as the next version."""
+    path = str(tmp_path / "maps")
+    docs = frame(spark, [(i, "x" * (i % 700)) for i in range(2000)])
+    first = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(docs, 5, 256, path).collect()}
+    again = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(docs, 5, 256, path).collect()}
+    assert first == again and {v for _, v in first.values()} == {1}
+    grown = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(docs, 6, 256, path).collect()}
+    assert {v for _, v in grown.values()} == {2}
+    moved = {i for i in grown if grown[i][0] != first[i][0]}
+    assert moved and all(grown[i][0] == 5 for i in moved)
+    assert sharding.load_map(spark, path, 1).shards == 5
+
+
 # URLs ---------------------------------------------------------------------------------------
 
 
@@ -406,3 +455,77 @@ def test_rules_and_aliases(spark):
     assert got[13][3] == got[14][3] == "allow"  # an explicit allow in the component goes first
     assert got[15] == ("notorg", "/", None, "allow") and got[16] == ("org", "", None, "allow") and got[17][2] == "org/" and got[18][3] == "allow"
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def brute_verdicts(pages):
+    """Rules and aliases in plain Python: nodes by dictionary, components by flooding."""
+    from urllib.parse import urljoin
+
+    def split(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def node(url):
+        host, path = split(url)
+        query = url.split("#")[0].partition("?")[2]
+        kept = sorted(p for p in query.split("&") if p and not re.match(r"(?i)(utm_[a-z]+|ref|gclid|fbclid|sessionid)=", p))
+        return host + re.sub(r"(/index\.html?)?/*$", "", path, count=1) + ("?" + "&".join(kept) if kept else "")
+
+    def rule(url):
+        host, path = split(url)
+        fits = [r for r in urls.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        return max(fits, key=lambda r: len(r[0] + r[1])) if fits else None
+
+    near, said = {}, {}
+    for _, url, html in pages:
+        if url is None or "://" not in url:
+            continue
+        targets = re.findall(r'href="([^"]*)" rel="canonical"', html or "") + re.findall(r"url=([^\s\">]*)", html or "")
+        for u in [url, *(urljoin(url, t) for t in targets)]:
+            near.setdefault(node(u), set())
+            if rule(u):
+                said.setdefault(node(u), set()).add(rule(u)[2])
+        for t in targets:
+            a, b = node(url), node(urljoin(url, t))
+            near[a].add(b), near[b].add(a)
+    group = {}
+    for start in near:
+        todo = [start] if start not in group else []
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group[x] = start
+                todo += near[x]
+    verdicts = {}
+    for n, g in group.items():
+        verdicts.setdefault(g, set()).update(said.get(n, ()))
+    out = {}
+    for page, url, _ in pages:
+        host, path = split(url)
+        own = rule(url) if host or path else None
+        found = verdicts[group[node(url)]] if url is not None and "://" in url else set()
+        out[page] = (host, path, own and own[0] + own[1], own[2] if own else "block" if found == {"block"} else "allow")
+    return out
+
+
+def test_verdicts_by_brute_force(spark, monkeypatch):
+    rng = random.Random(19)
+    hosts = ["a.com", "b.com", "c.net", "d.example.org", "org", "E.Com", "f.info"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/de/1', '/de/', '/fr/2', '/es/3', '/en/1', '/x', '/y/index.html'])}{rng.choice(['', '', '?q=1', '?utm_source=z', '#top'])}"
+    pages = []
+    for i in range(160):
+        html = rng.choice([None, "", "<p>"])
+        if rng.random() < 0.4:
+            html = rng.choice(['<link href="{}" rel="canonical">', '<meta http-equiv="refresh" content="0; url={}">']).format(rng.choice([url(), "/z", "/de/7"]))
+        pages.append((i, rng.choice([url(), url(), url(), None, "none"]) if i % 9 else "http://hub.net/", html))
+    want = brute_verdicts(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for limit, hub in ((components.ONE_TASK, components.HUB), (0, 2)):
+        monkeypatch.setattr(components, "ONE_TASK", limit)
+        monkeypatch.setattr(components, "HUB", hub)
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df).collect()}
+        assert got == want
+    assert {v[3] for v in want.values() if v[2] is None} == {"allow", "block"}

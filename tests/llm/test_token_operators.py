@@ -118,6 +118,21 @@ def test_store_round_trip(spark):
     assert chunks.count() == chunks.select("name").distinct().count()
 
 
+def test_store_of_mostly_equal_documents(spark, monkeypatch):
+    """Roots and chunks that most documents use go by a broadcast, with the same result."""
+    monkeypatch.setattr(token_store, "HOT", 5)
+    passage = "licensed under the same terms as before " * 400
+    many = [(i, "" if i % 3 else passage + str(i % 6)) for i in range(90)] + [(100 + i, f"other {i}") for i in range(4)]
+    path = token_store.write(frame(spark, [(i, t, "x") for i, t in many]), BPE)
+    lib = load(BPE)
+    want, at = [], 0
+    for i, t in many:
+        ids = lib.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_store.digests(spark, path).collect()) == want
+
+
 def test_store_of_nothing(spark):
     path = token_store.write(frame(spark, []), BPE)
     token_store.verify(spark, path)
@@ -196,3 +211,33 @@ def test_sentencepiece_round_trip(spark, model):
     out = unigram.to_ids(frame(spark, [(i, t, "x") for i, t in enumerate(many)]), PIECES).collect()
     assert {r["doc_id"]: len(r["token_ids"]) for r in out} == {r["doc_id"]: r["n_tokens"] for r in rows}
     assert unigram.encode_documents(frame(spark, []), PIECES).count() == 0
+    twice = unigram.encode_documents(frame(spark, [(1, "same text", "x")] * 3), PIECES).collect()
+    assert len(twice) == 3 and len(set(twice)) == 1
+    df = spark.createDataFrame([(1, "a text", 7, "kept")], "doc_id long, text string, token_ids int, `a.b` string")
+    out = unigram.to_ids(df, PIECES)
+    assert out.columns == ["doc_id", "a.b", "n_tokens", "token_ids"]
+    assert out.collect()[0][1:3] == ("kept", len(model.viterbi("▁a▁text")))
+
+
+def all_segmentations(s, pieces):
+    if not s:
+        return [[]]
+    return [[s[:k], *rest] for k in range(1, len(s) + 1) if s[:k] in pieces for rest in all_segmentations(s[k:], pieces)]
+
+
+def test_viterbi_by_all_segmentations(model):
+    """The path's score is the best of all segmentations, characters without a piece costing the same in each."""
+    rng = random.Random(8)
+    pieces = {p: model.score[i] for p, i in piece_ids(model).items()}
+    for _ in range(150):
+        s = "▁" + "".join(rng.choice("theaonisr▁") for _ in range(rng.randint(1, 12)))
+        best = max(sum(pieces[p] for p in path) for path in all_segmentations(s, pieces))
+        assert sum(model.score[i] for i in model.viterbi(s)) == pytest.approx(best)
+
+
+def piece_ids(model):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    spec.ParseFromString(open(PIECES, "rb").read())
+    return {p.piece: i for i, p in enumerate(spec.pieces) if p.type in (unigram.NORMAL, unigram.USER)}
