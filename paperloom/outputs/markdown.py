@@ -112,7 +112,7 @@ class MarkdownWriter:
                 close()
                 link, link_id, link_start = own, piece.link_id, len(out)
             if piece.kind in ("text", "tab"):
-                text = "\t" if piece.kind == "tab" else piece.text
+                text = " " if piece.kind == "tab" else piece.text
                 new = _plain(raw, heading)
                 if new != fmt and text.strip():
                     if group.strip():
@@ -126,8 +126,8 @@ class MarkdownWriter:
                 continue
             flush()
             match piece.kind:
-                case "line":
-                    out.append("<br>" if table else "\\\n")
+                case "line" | "column":
+                    out.append("<br>" if table else " " if heading else "\\\n")
                 case "page":
                     broke = True
                 case "footnote" | "endnote" if self.with_notes:
@@ -137,7 +137,10 @@ class MarkdownWriter:
                         self.comment_order.append(piece.ref)
                     out.append(f"[^c{self.comment_order.index(piece.ref) + 1}]")
                 case "math":
-                    out.append(f"${piece.latex}$")
+                    fence = "$$" if piece.ref and not table else "$"
+                    if "".join(out[-2:]).endswith("$"):
+                        out.append(" ")
+                    out.append(f"{fence}{piece.latex}{fence}")
                 case "image":
                     out.append(self.image(piece, table))
         flush()
@@ -156,7 +159,8 @@ class MarkdownWriter:
         pieces = self.resolver.pieces(p)
         if code or all_monospace(pieces):
             self.begin("code")
-            self.out.append("".join(x.text if x.kind == "text" else "\t" if x.kind == "tab" else "\n" if x.kind == "line" else "" for x, _ in pieces))
+            text = "".join({"text": x.text, "math": x.text, "tab": "\t", "line": "\n"}.get(x.kind, "") for x, _ in pieces)
+            self.out.append(text.rstrip().lstrip("\n"))
             return
         item = self.lists.next(*ref) if ref else None
         heading = heading if item is None else None

@@ -8,24 +8,66 @@ from dataclasses import dataclass, replace
 from ..functions.labels import HUNDREDS, ONES, TENS
 from ..model import Document, Level, Paragraph, Piece, RunFormat, Style
 
-# Style names of code, without spaces and in lower case; parts of monospace font names.
-CODE_STYLES = {"code", "sourcecode", "htmlpreformatted", "preformattedtext", "codeblock", "verbatim", "plaintext"}
-MONOSPACE = ("courier", "consolas", "mono", "menlo", "monaco", "lucida console", "fixed", "terminal", "typewriter", "source code", "inconsolata", "code")
+# Style names of code, without spaces and in lower case.
+CODE_STYLES = ("code", "sourcecode", "htmlpreformatted", "preformatted", "plaintext", "codeblock", "macrotext")
+# Parts of the names of monospace fonts, in lower case.
+MONOSPACE = (
+    "courier", "consolas", "mono", "menlo", "monaco", "lucida console", "lucida sans typewriter", "source code", "fira code",
+    "inconsolata", "andale", "fixedsys",
+)
 DEPTH = 32
-# The letters of the Symbol font, and some pictures of Wingdings by their codes.
-SYMBOL = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβχδεφγηιϕκλμνοπθρστυϖωξψζΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ")
-WINGDINGS = {0x6C: "●", 0x6E: "■", 0x6F: "□", 0x71: "❑", 0x75: "◆", 0x76: "❖", 0x9F: "•", 0xA7: "▪", 0xA8: "◻", 0xD8: "➢", 0xE0: "→", 0xFB: "✗", 0xFC: "✓", 0xFE: "☑"}
+# The Symbol font's characters from 0x20 to 0x7E, and from 0xA0 to 0xFE.
+SYMBOL_LOW = (
+    "\xa0!∀#∃%&∋()∗+,−./0123456789:;<=>?"
+    "≅ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ[∴]⊥_"
+    "‾αβχδεφγηιϕκλμνοπθρστυϖωξψζ{|}∼"
+)
+SYMBOL_HIGH = (
+    "€ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…⏐⎯↵"
+    "ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓"
+    "◊〈®©™∑⎛⎜⎝⎡⎢⎣⎧⎨⎩⎪\uf8ff〉∫⌠⎮⌡⎞⎟⎠⎤⎥⎦⎫⎬⎭"
+)
+# Pictures of Wingdings by their codes.
+WINGDINGS = {
+    0x28: "☎", 0x2A: "✉", 0x46: "☞", 0x4A: "☺", 0x4C: "☹", 0x6C: "●", 0x6E: "■", 0x6F: "□", 0x71: "❑", 0x72: "❒", 0x75: "◆", 0x76: "❖",
+    0x77: "⬥", 0x9E: "·", 0x9F: "•", 0xA1: "○", 0xA7: "▪", 0xA8: "◻", 0xD8: "➢", 0xE8: "➔", 0xFB: "✗", 0xFC: "✓", 0xFD: "☒", 0xFE: "☑",
+}
+SYMBOL = dict(zip([*range(0x20, 0x7F), *range(0xA0, 0xFF)], SYMBOL_LOW + SYMBOL_HIGH, strict=True))
+
+
+def symbol_table(font: str | None) -> dict[int, str] | None:
+    """The characters of a font with codes of its own, or None."""
+    name = (font or "").strip().lower()
+    if name == "symbol":
+        return SYMBOL
+    return WINGDINGS if name.startswith("wingdings") or name == "webdings" else None
 
 
-def symbol_text(text: str, font: str) -> str:
-    """Text of a symbol font as Unicode; private-use codes stand for their low byte, unknown ones for a bullet."""
-    name = font.lower()
-    if name not in ("symbol", "wingdings"):
-        return "".join("•" if "\uf000" <= c <= "\uf0ff" else c for c in text)
-    low = "".join(chr(ord(c) - 0xF000) if "\uf000" <= c <= "\uf0ff" else c for c in text)
-    if name == "symbol":
-        return low.translate(SYMBOL).replace("\xb7", "•").replace("\xa3", "≤").replace("\xb3", "≥").replace("\xb1", "±")
-    return "".join(c if c.isspace() else WINGDINGS.get(ord(c), "•") for c in low)
+def _mapped(table: dict[int, str], c: str) -> str | None:
+    code = ord(c)
+    return table.get(code - 0xF000 if 0xF000 <= code <= 0xF0FF else code)
+
+
+def symbol_text(text: str, font: str | None) -> str:
+    """Text of a symbol font as Unicode; unknown private-use codes are bullets, other characters stay."""
+    table = symbol_table(font)
+    if table is None:
+        return text
+    return "".join(_mapped(table, c) or ("•" if "\uf000" <= c <= "\uf0ff" else c) for c in text)
+
+
+def symbol_char(code: int, font: str | None) -> str:
+    """A single character of a font, a bullet where the font's code is not known."""
+    table = symbol_table(font)
+    return chr(code) if table is None else _mapped(table, chr(code)) or "•"
+
+
+def bullet_label(text: str, font: str | None) -> str:
+    """A bullet in its level's font: what the font does not know, and private-use characters, are bullets."""
+    table = symbol_table(font)
+    if table is not None:
+        return "".join(_mapped(table, c) or "•" for c in text)
+    return "".join("•" if "\ue000" <= c <= "\uf8ff" else c for c in text)
 
 
 @dataclass(frozen=True)
@@ -95,7 +137,7 @@ class Lists:
             n = values[k] if values[k] is not None else other[2] if other else 1
             return number_label("decimal" if own.legal else other[1].format if other else "decimal", n)
 
-        label = own.text if own.format == "bullet" else re.sub("%([1-9])", fill, own.text)
+        label = bullet_label(own.text, own.font) if own.format == "bullet" else re.sub("%([1-9])", fill, own.text)
         return Item(level, label, counts[level], own.format == "bullet", own.format)
 
 
@@ -166,7 +208,7 @@ class Resolver:
             if hidden:
                 continue
             font = piece.format.font or self.base[p.style, piece.format.style]["font"] or ""
-            if piece.kind == "text" and (font.lower() in ("symbol", "wingdings") or any("\uf000" <= c <= "\uf0ff" for c in piece.text)):
+            if piece.kind == "text" and symbol_table(font) is not None:
                 piece = replace(piece, text=symbol_text(piece.text, font))
             out.append((piece, fmt))
         return out

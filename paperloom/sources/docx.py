@@ -8,7 +8,7 @@ from urllib.parse import unquote
 
 from ..model import Cell, Document, Level, Media, Note, Paragraph, Piece, Row, RunFormat, Style, Table
 from ..outputs.math import read_math, to_latex, to_linear
-from ..outputs.walk import symbol_text
+from ..outputs.walk import symbol_char
 from .containers import SIGNATURE, Archive, NotAContainer, open_zip
 from .xmltree import Node, parse
 
@@ -18,7 +18,7 @@ FORMATS = {
     "upperLetter": "upper_letter", "lowerLetter": "lower_letter", "ordinal": "ordinal", "bullet": "bullet", "none": "none",
 }
 #: Private-use bullets of symbol fonts.
-BULLETS = {"\uf0b7": "•", "\uf0a7": "▪", "\uf0a8": "◆", "\uf0d8": "➢", "\uf0fc": "✓", "\uf06f": "o", "\uf02d": "-"}
+BULLETS = {"\uf0b7": "•", "\uf0a1": "•", "\uf0a7": "▪", "\uf06e": "▪", "\uf0fc": "✓", "\uf0d8": "➢", "\uf076": "❖", "\uf0a8": "□", "\uf0e0": "➢"}
 UNDERSTOOD = {"w", "a", "wp", "pic", "wps", "wpg", "w14", "w15", "v", "m", "r"}
 IMAGES = {b"\x89PNG": "image/png", b"\xff\xd8\xff": "image/jpeg", b"GIF8": "image/gif", b"BM": "image/bmp", b"II*\0": "image/tiff", b"MM\0*": "image/tiff"}
 
@@ -226,7 +226,7 @@ class Story:
                 formula = read_math(node)
                 text = to_linear(formula)
                 if text:
-                    out.append(Piece("math", text, RunFormat(), link, link_id, latex=to_latex(formula).strip()))
+                    out.append(Piece("math", text, RunFormat(), link, link_id, int(node.tag == "m:oMathPara"), to_latex(formula).strip()))
 
     def field_link(self, instruction: str, link, link_id: int):
         m = re.match(r"\s*HYPERLINK\b(.*)", instruction, re.S)
@@ -279,7 +279,7 @@ class Story:
                 case "w:sym":
                     code = number_of_hex(c.get("w:char"))
                     if code:
-                        add("text", symbol(code, c.get("w:font") or ""))
+                        add("text", symbol_char(code, c.get("w:font")))
                 case "w:footnoteReference":
                     add("footnote", ref=number(c.get("w:id"), -1))
                 case "w:endnoteReference":
@@ -327,10 +327,6 @@ def number_of_hex(text: str | None) -> int | None:
         return None
 
 
-def symbol(code: int, font: str) -> str:
-    return symbol_text(chr(code if code >= 0xF000 or font.lower() not in ("symbol", "wingdings") else 0xF000 + (code & 0xFF)), font)
-
-
 def plain_text(block) -> str:
     if isinstance(block, Table):
         return "\n".join("\t".join(" ".join(plain_text(b) for b in c.blocks) for c in r.cells) for r in block.rows)
@@ -354,8 +350,8 @@ def read_level(node: Node) -> Level:
     text = value(node.find("w:lvlText"))
     if text is None:
         text = "" if fmt == "bullet" else f"%{own + 1}."
-    text = "".join(BULLETS.get(c, "•" if "\uf000" <= c <= "\uf0ff" else c) for c in text)
-    return Level(number(value(node.find("w:start")), 1) or 0, fmt, text, flag(node.find("w:isLgl")) or False)
+    text = "".join(BULLETS.get(c, c) for c in text)
+    return Level(number(value(node.find("w:start")), 1) or 0, fmt, text, flag(node.find("w:isLgl")) or False, run_format(node.find("w:rPr")).font)
 
 
 def read_numbering(root: Node | None, doc: Document) -> None:
