@@ -84,3 +84,15 @@ def href(target: Column, anchor: Column) -> Column:
 def percent_decode(text: Column) -> Column:
     """``%41`` becomes ``A``; a plus sign stays; bad escapes leave the text as it is."""
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def resolved_path(target: Column, base: Column | None = None) -> Column:
+    """A relationship's target against the folder ``base``: ``.`` and ``..`` are resolved, a leading slash starts anew."""
+    whole = target if base is None else F.when(target.startswith("/"), target).otherwise(F.concat(base, F.lit("/"), target))
+    none = F.array().cast("array<string>")
+
+    def step(path: Column, segment: Column) -> Column:
+        up = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+        return F.when(segment.isin("", "."), path).when(segment == "..", up).otherwise(F.concat(path, F.array(segment)))
+
+    return F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/")

@@ -56,3 +56,16 @@ def group_ahead(rows: DataFrame, keys: list[str], order: list, height: str, keep
     grouped = rows.withColumn("_group", F.coalesce(F.sum((~F.col(keeps)).cast("long")).over(before), F.lit(0)))
     ahead = W.partitionBy(*keys, "_group").orderBy(*order).rowsBetween(0, limit)
     return grouped.withColumn("group_height", F.sum(height).over(ahead)).drop("_group")
+
+
+def border_groups(rows: DataFrame, keys: list[str], order: list, border: Column) -> DataFrame:
+    """Adds whether a row's borders join those of the row above and below: where they are equal."""
+    over = W.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("joins_above", border == F.lag(border).over(over)).withColumn("joins_below", border == F.lead(border).over(over))
+
+
+def page_numbers(rows: DataFrame, keys: list[str], order: list, ends: Column) -> DataFrame:
+    """Adds ``section``, from 0, which ends with a row that ``ends`` it, and ``number``, which starts anew in each."""
+    before = F.sum(ends.cast("long")).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    numbered = rows.withColumn("section", F.coalesce(before, F.lit(0)))
+    return numbered.withColumn("number", F.row_number().over(W.partitionBy(*keys, "section").orderBy(*order)).cast("long"))

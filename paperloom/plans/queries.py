@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import islands as isl
-from ..operators import lists, lookups, styles
+from ..operators import charts, lists, lookups, parts, ranks, styles
+from ..query import jq
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,7 +88,7 @@ def blocks_json(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT doc_id, line, text FROM lines WHERE contains(lower(text), 'with')")
 def search(spark, sf_dir):
-    return lines_of(table(spark, sf_dir, "documents")).where(F.contains(F.lower("text"), F.lit("with"))).select("doc_id", "line", "text")
+    return parts.search(lines_of(table(spark, sf_dir, "documents")), "text", "with").select("doc_id", "line", "text")
 
 
 WORD_RE = r"[\p{L}\p{N}_]+"
@@ -357,31 +358,30 @@ def keep_with_next(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_type, event_type = lag(event_type) OVER w AS joins_above, event_type = lead(event_type) OVER w AS joins_below FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def border_groups(spark, sf_dir):
-    over = W.partitionBy("user_id").orderBy("event_id")
-    kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", kind, (kind == F.lag(kind).over(over)).alias("joins_above"), (kind == F.lead(kind).over(over)).alias("joins_below"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return isl.border_groups(rows, ["user_id"], ["event_id"], F.col("event_type"))
 
 
 # Look-ups -----------------------------------------------------------------------------------
 
-RUNS = "runs AS (SELECT user_id, event_id AS since, event_type AS fmt FROM events WHERE event_id % 7 = 0)"
+RUNS = "runs AS (SELECT user_id, event_id AS since, event_type AS fmt FROM events WHERE event_type = 'login')"
 
 
 @query(f"WITH {RUNS}, p AS (SELECT user_id, event_id FROM events) SELECT p.user_id, p.event_id, r.since, r.fmt FROM p ASOF LEFT JOIN runs r ON p.user_id = r.user_id AND p.event_id >= r.since")
 def asof_runs(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    runs = events.where("event_id % 7 = 0").select("user_id", F.col("event_id").alias("since"), F.col("event_type").alias("fmt"))
+    runs = events.where("event_type = 'login'").select("user_id", F.col("event_id").alias("since"), F.col("event_type").alias("fmt"))
     points = events.select("user_id", "event_id", F.lit(0).alias("x"))
     return lookups.as_of(points, runs, ["user_id"], "event_id", "since", ["since", "fmt"]).select("user_id", "event_id", "since", "fmt")
 
 
 @query(
-    "WITH pieces AS (SELECT user_id, event_id AS a, event_id + 500 AS b FROM events WHERE event_id % 1000 < 40) "
+    "WITH pieces AS (SELECT user_id, event_id AS a, event_id + 500 AS b FROM events) "
     "SELECT e.user_id, e.event_id, p.a FROM events e JOIN pieces p ON e.user_id = p.user_id AND e.event_id >= p.a AND e.event_id < p.b"
 )
 def piece_ranges(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    pieces = events.where("event_id % 1000 < 40").select("user_id", F.col("event_id").alias("a"), (F.col("event_id") + 500).alias("b"))
+    pieces = events.select("user_id", F.col("event_id").alias("a"), (F.col("event_id") + 500).alias("b"))
     return lookups.range_join(events.select("user_id", "event_id"), pieces, ["user_id"], "event_id", "a", "b", 512).select("user_id", "event_id", "a")
 
 
@@ -407,32 +407,20 @@ def dedup_names(spark, sf_dir):
 
 @query("WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT DISTINCT doc_id, i FROM f JOIN (SELECT unnest(range(0, 20)) AS k) ON i = k * n // 20")
 def even_sample(spark, sf_dir):
-    """Evenly spaced documents by rank. Ranks come from counts of ranges, so no window holds all rows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    parts = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.spark_partition_id().alias("p"))
-    sizes = {r["p"]: r["n"] for r in parts.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    total, base, at = sum(sizes.values()), {}, 0
-    for p in sorted(sizes):
-        base[p] = at
-        at += sizes[p]
-    offset = F.coalesce(*(F.when(F.col("p") == p, F.lit(b)) for p, b in base.items()), F.lit(0)) if base else F.lit(0)
-    ranked = parts.withColumn("i", (F.row_number().over(W.partitionBy("p").orderBy("doc_id")) - 1 + offset).cast("long"))
-    return ranked.where(F.col("i").isin(sorted({k * total // 20 for k in range(20)}))).select("doc_id", "i")
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)")
+    """Evenly spaced documents by rank."""
+    return ranks.evenly_spaced(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 20)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'FURNITURE')")
 def missing_refs(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
-    return table(spark, sf_dir, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey", "o_custkey")
+    known = table(spark, sf_dir, "customer").where("c_mktsegment <> 'FURNITURE'")
+    return parts.without_target(table(spark, sf_dir, "orders"), "o_custkey", known, "c_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
 def cited_twice(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select("p_partkey")
-    for flag in "RA":
-        part = part.join(items.where(F.col("l_returnflag") == flag), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
-    return part
+    return parts.cited_by_all(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", [items.where(F.col("l_returnflag") == f) for f in "RA"], "l_partkey")
 
 
 # Aggregates ---------------------------------------------------------------------------------
@@ -440,65 +428,59 @@ def cited_twice(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_path(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    found = jq(table(spark, sf_dir, "events"), ".k", "event_id", "props")
+    return found.select("event_id", F.col("value").cast("long").alias("k"))
 
 
 @query("SELECT event_type, count(*) FILTER (value < 10) AS ok, count(*) FILTER (value >= 10 AND value < 100) AS error, count(*) FILTER (value >= 100) AS crash FROM events GROUP BY event_type")
 def outcome_pivot(spark, sf_dir):
     outcome = F.when(F.col("value") < 10, "ok").when(F.col("value") < 100, "error").otherwise("crash")
-    rows = table(spark, sf_dir, "events").withColumn("outcome", outcome)
-    return rows.groupBy("event_type").pivot("outcome", ["ok", "error", "crash"]).agg(F.count(F.lit(1))).na.fill(0)
+    return charts.outcome_pivot(table(spark, sf_dir, "events"), ["event_type"], outcome, ["ok", "error", "crash"])
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, median(value) AS median, quantile_disc(value, 0.1) AS p10, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def order_statistics(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("event_type")
-    return rows.agg(F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("median"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY value)").alias("p10"), F.min("value").alias("low"), F.max("value").alias("high"))
+    found = ranks.order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", {"p10": 0.1})
+    return found.withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 1")
 def repeated_refs(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).where("n > 1")
+    return parts.repeated(table(spark, sf_dir, "part"), ["p_brand"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN sum(abs(l_quantity)) OVER w = 0 THEN 0 ELSE round(l_quantity / sum(abs(l_quantity)) OVER w, 9) END AS share FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
 def percent_stack(spark, sf_dir):
-    total = F.sum(F.abs("l_quantity")).over(W.partitionBy("l_orderkey"))
-    share = F.when(total == 0, F.lit(0.0)).otherwise(F.round(F.col("l_quantity") / total, 9))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", share.alias("share"))
+    return charts.percent_stack(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "share")
 
 
 @query("SELECT p_brand, list_sort(list_distinct(list(p_type))) AS types, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand")
 def distinct_fonts(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"), F.count_distinct("p_type").alias("n"))
+    return parts.distinct_values(table(spark, sf_dir, "part"), ["p_brand"], "p_type", "types")
 
 
 @query("SELECT doc_id, dense_rank() OVER (PARTITION BY source ORDER BY sha256(text)) - 1 AS media_id, source FROM documents")
 def media_ids(spark, sf_dir):
-    rank = F.dense_rank().over(W.partitionBy("source").orderBy(F.sha2("text", 256))) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", rank.cast("long").alias("media_id"), "source")
+    media = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    return parts.media_ids(media, ["source"], "digest").select("doc_id", "media_id", "source")
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS n FROM documents GROUP BY sha256(text)")
 def media_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return parts.media_dedup(table(spark, sf_dir, "documents"), F.sha2("text", 256), "doc_id")
 
 
 @query("SELECT 'both' AS part, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT p_partkey FROM part WHERE p_size > 20) UNION ALL SELECT 'left', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 40 EXCEPT SELECT p_partkey FROM part WHERE p_size > 20) UNION ALL SELECT 'any', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 40 UNION SELECT p_partkey FROM part WHERE p_size > 20)")
 def set_operations(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("k"))
-    b = table(spark, sf_dir, "part").where("p_size > 20").select(F.col("p_partkey").alias("k"))
-    each = {"both": a.intersect(b), "left": a.subtract(b), "any": a.union(b).distinct()}
-    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in each.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return parts.set_counts(a, table(spark, sf_dir, "part").where("p_size > 20").select(F.col("p_partkey").alias("k")))
 
 
 @query("SELECT l_orderkey, list_sort(list_distinct(list(l_partkey * 10 + l_linenumber) FILTER (l_returnflag <> 'R'))) AS stops FROM lineitem GROUP BY l_orderkey")
 def tab_stops(spark, sf_dir):
     """Stops by position: repeated ones merge, cleared ones (flag R) go."""
-    stop = F.when(F.col("l_returnflag") != "R", F.col("l_partkey") * 10 + F.col("l_linenumber"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(stop)).alias("stops"))
-    return rows.withColumn("stops", F.when(F.size("stops") > 0, F.col("stops")))
+    stop = F.col("l_partkey") * 10 + F.col("l_linenumber")
+    return charts.tab_stops(table(spark, sf_dir, "lineitem"), ["l_orderkey"], stop, F.col("l_returnflag") == "R")
 
 
 # Values -------------------------------------------------------------------------------------
@@ -589,25 +571,21 @@ def html_to_blocks(spark, sf_dir):
 )
 def page_numbers(spark, sf_dir):
     """Sections end at a mark; numbering starts anew in each."""
-    over = W.partitionBy("user_id").orderBy("event_id")
-    ends = F.sum((F.col("event_type") == "login").cast("long")).over(over.rowsBetween(W.unboundedPreceding, -1))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(ends, F.lit(0)).alias("section"))
-    return rows.withColumn("number", F.row_number().over(W.partitionBy("user_id", "section").orderBy("event_id")).cast("long"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return isl.page_numbers(rows, ["user_id"], ["event_id"], F.col("event_type") == "login").drop("event_type")
 
 
 @query(
-    "WITH p AS (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z]+)([?#]|$)', 1)) AS ext FROM pages), o(page_id, kind) AS (SELECT page_id, 'text/override' FROM pages WHERE page_id % 10 = 0), "
+    "WITH p AS (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)([?#]|$)', 1)) AS ext FROM pages), o(page_id, kind) AS (SELECT page_id, 'text/override' FROM pages WHERE contains(url, '/de/')), "
     "d(ext, kind) AS (VALUES ('html', 'text/html'), ('com', 'application/x-host'), ('org', 'application/x-host')) "
     "SELECT p.page_id, coalesce(o.kind, d.kind) AS kind FROM p LEFT JOIN o USING (page_id) LEFT JOIN d ON p.ext = d.ext"
 )
 def content_types(spark, sf_dir):
     """An override by part, else the default of its extension, else none."""
     pages = table(spark, sf_dir, "pages")
-    parts = pages.select("page_id", F.lower(F.regexp_extract("url", r"\.([A-Za-z]+)([?#]|$)", 1)).alias("ext"))
-    overrides = pages.where("page_id % 10 = 0").select("page_id", F.lit("text/override").alias("own"))
-    defaults = spark.createDataFrame([("html", "text/html"), ("com", "application/x-host"), ("org", "application/x-host")], "ext string, usual string")
-    joined = parts.join(overrides, "page_id", "left").join(F.broadcast(defaults), "ext", "left")  # three rows
-    return joined.select("page_id", F.coalesce("own", "usual").alias("kind"))
+    overrides = pages.where(F.contains("url", F.lit("/de/"))).select("page_id", F.lit("text/override").alias("kind"))
+    defaults = spark.createDataFrame([("html", "text/html"), ("com", "application/x-host"), ("org", "application/x-host")], "ext string, kind string")
+    return parts.content_types(pages, "page_id", "url", overrides, defaults)
 
 
 @query(
@@ -615,13 +593,11 @@ def content_types(spark, sf_dir):
     "SELECT o_orderkey, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rank, p_partkey) AS k FROM c) WHERE k = 1"
 )
 def font_choice(spark, sf_dir):
-    """Requests and faces of one family; the exact face, else one of its class, else any: the best candidate."""
-    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    asked = orders.select("o_orderkey", "o_custkey", F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("p_brand"))
-    exact, kin = F.col("p_size") == F.col("o_custkey") % 50 + 1, F.col("p_size") % 10 == F.col("o_custkey") % 10
-    ranked = asked.join(part, "p_brand").withColumn("rank", F.when(exact, 0).when(kin, 1).otherwise(2))
-    best = ranked.groupBy("o_orderkey").agg(F.min(F.struct("rank", "p_partkey")).alias("b"))
-    return best.select("o_orderkey", "b.p_partkey", "b.rank")
+    """Requests and faces of one family; the exact face, else one of its class, else any: the first of the best."""
+    size = F.col("o_custkey") % 50 + 1
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("family"), size.alias("size"), (F.col("o_custkey") % 10).alias("kin"))
+    faces = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("family"), F.col("p_size").alias("size"), (F.col("p_size") % 10).alias("kin"))
+    return parts.font_choice(asked, "o_orderkey", faces, "p_partkey", "family", "size", "kin")
 
 
 @query(
@@ -630,9 +606,8 @@ def font_choice(spark, sf_dir):
 )
 def chart_table(spark, sf_dir):
     """A chart's cached values as a table: at most 50 categories, a column a series."""
-    cells = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("category"), "event_type").agg(F.sum("value").alias("v"))
-    first = cells.select("category").distinct().orderBy("category").limit(50)
-    rows = cells.join(first, "category", "left_semi").groupBy("category").pivot("event_type", ["click", "login"]).agg(F.max("v"))
+    cells = table(spark, sf_dir, "events").withColumnRenamed("user_id", "category")
+    rows = charts.chart_table(cells, "category", "event_type", F.sum("value"), ["click", "login"])
     return rows.select("category", F.round("click", 6).alias("click"), F.round("login", 6).alias("login"))
 
 
@@ -645,12 +620,7 @@ STEP = "CASE WHEN m <= 1 THEN 1 WHEN m <= 2 THEN 2 WHEN m <= 5 THEN 5 ELSE 10 EN
 )
 def axis_steps(spark, sf_dir):
     """Value ranges with steps of 1, 2 or 5 times a power of ten."""
-    spans = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    raw = (F.col("high") - F.col("low")) / 5
-    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
-    m = raw / power
-    step = F.when(m <= 1, 1).when(m <= 2, 2).when(m <= 5, 5).otherwise(10) * power
-    return spans.select("event_type", "low", "high", F.round(step, 9).alias("step"), F.floor(F.col("low") / step).cast("long").alias("first"))
+    return charts.axes(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @query(
@@ -660,22 +630,17 @@ def axis_steps(spark, sf_dir):
 def part_lookup(spark, sf_dir):
     """Parts by name without regard to case or the kind of slash; of equal names the first."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.lower(F.translate("p_name", " ", "/")).alias("name"), "p_partkey")
-    first = names.groupBy("name").agg(F.min("p_partkey").alias("found"))
-    wanted = part.select("p_partkey", F.lower(F.translate(F.upper(F.translate("p_name", " ", "/")), "\\", "/")).alias("name"))
-    return wanted.join(first, "name").select("p_partkey", "found")
+    names = part.select(F.translate("p_name", " ", "/").alias("name"), F.col("p_partkey").alias("place"))
+    wanted = part.select("p_partkey", F.concat(F.lit("\\"), F.upper(F.translate("p_name", " ", "\\"))).alias("wanted"))
+    return parts.part_lookup(wanted, "wanted", names, "name", "place").select("p_partkey", "found")
 
 
-@query("SELECT n_regionkey, string_agg(part, '/' ORDER BY i) AS path FROM (SELECT n_regionkey, 1 AS i, 'word' AS part FROM (SELECT DISTINCT n_regionkey FROM nation) UNION ALL SELECT n_regionkey, 2, 'media' FROM (SELECT DISTINCT n_regionkey FROM nation) UNION ALL SELECT DISTINCT n_regionkey, 3, 'image' || n_regionkey || '.png' FROM nation) GROUP BY n_regionkey")
+@query("SELECT page_id, rtrim('media/' || regexp_extract(url, '([^/]*)$', 1), '/') AS path FROM pages")
 def target_paths(spark, sf_dir):
     """Relationship targets against their folder: ``.`` and ``..`` resolved by a fold over the segments."""
-    raw = F.concat(F.lit("word/theme/../././media/x/../image"), F.col("n_regionkey").cast("string"), F.lit(".png"))
-    parts = F.split(raw, "/")
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda acc, p: F.when((p == ".") | (p == ""), acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
-    )
-    return table(spark, sf_dir, "nation").select("n_regionkey", F.array_join(kept, "/").alias("path")).distinct()
+    host = F.regexp_extract("url", r"://([^/]*)", 1)
+    target = F.concat(F.lit("../././media/"), host, F.lit("/../"), F.regexp_extract("url", "([^/]*)$", 1))
+    return table(spark, sf_dir, "pages").select("page_id", fn.resolved_path(target, F.lit("word//../theme")).alias("path"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(least(255, greatest(0, round(l_partkey % 256 * 0.5))) AS INT) AS shaded, CAST(least(255, greatest(0, round(l_partkey % 256 * 0.25 + 0.75 * 255))) AS INT) AS tinted FROM lineitem")
