@@ -27,6 +27,8 @@ from .common import read_text
 from .flat import U64, Memo, flat, kept, names, parts, tidy
 
 MARK = "▁"
+#: Texts that go together, and the characters of a text that goes alone.
+TOGETHER, LONG = 8192, 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -77,7 +79,7 @@ class DoubleArray:
 
 
 class Unigram:
-    def __init__(self, path: str, bits: int = 20):
+    def __init__(self, path: str, bits: int = 21):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -108,6 +110,10 @@ class Unigram:
         keys = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
         self.score = [len(p.piece) * best - 0.1 if p.type == USER else p.score for p in model.pieces]
         self.trie = DoubleArray(keys)
+        self.arrays = (np.array(self.trie.base, np.int64), np.array(self.trie.check, np.int64), np.array(self.trie.value, np.int64), np.array(self.score))
+        self.code_of = np.zeros(0x110000, np.int32)
+        for c, number in self.trie.code.items():
+            self.code_of[ord(c)] = number
         self.cut_marks = not any(MARK in k.lstrip(MARK) for k in keys)
         self.cut_feeds = not any("\n" in k for k in keys)
         self.is_byte = np.array([k == BYTE for k in kinds])
@@ -159,13 +165,87 @@ class Unigram:
             at = came[at]
         return out[::-1]
 
+    def viterbi_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts one after the other, and how many each has: ``viterbi`` on all at once, a place
+        of each at a time. Texts of about equal length go together; long ones, and those whose best path has a
+        character without a piece, go alone."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        alone = np.flatnonzero(lengths > LONG).tolist()
+        order = np.argsort(lengths, kind="stable")[: len(texts) - len(alone)]
+        for k in range(0, len(order), TOGETHER):
+            which = order[k : k + TOGETHER]
+            ids, sizes, odd = self._paths([texts[i] for i in which.tolist()], lengths[which])
+            found.append((which, ids, sizes))
+            alone += which[odd].tolist()
+        for i in alone:
+            ids = np.array(self.viterbi(texts[i]), np.uint32)
+            found.append((np.array([i]), ids, np.array([len(ids)])))
+        sizes = np.zeros(len(texts), np.int64)
+        for which, _, own in found:
+            sizes[which] = own  # those that go alone come last
+        out = np.empty(int(sizes.sum()), np.uint32)
+        start = np.cumsum(sizes) - sizes
+        for which, ids, own in found:
+            keep = own == sizes[which] if len(which) > 1 else np.ones(1, bool)
+            last = np.cumsum(own)
+            at = np.repeat(start[which] - last + own, own) + np.arange(len(ids))
+            some = np.repeat(keep, own)
+            out[at[some]] = ids[some]
+        return out, sizes
+
+    def _paths(self, texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each text has, the texts whose path has a character without a piece: no ids)."""
+        base, check, value, score = self.arrays
+        n, wide = len(texts), int(lengths.max(initial=0))
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.zeros((n, wide), np.int32)
+        codes[np.arange(wide)[None] < lengths[:, None]] = self.code_of[points]
+        best = np.full((n, wide + 1), -np.inf)
+        best[:, 0] = 0.0
+        came, what = np.zeros((n, wide + 1), np.int32), np.full((n, wide + 1), -1, np.int32)
+        for i in range(wide):
+            row = np.flatnonzero(lengths > i)
+            here = best[row, i]
+            single = np.zeros(n, bool)
+            live, state, start = row, np.zeros(len(row), np.int64), here
+            for j in range(i, wide):
+                c = codes[live, j]
+                to = base[state] + c
+                on = (c > 0) & (check[to] == state)
+                live, state, start = live[on], to[on], start[on]
+                if not len(live):
+                    break
+                v = value[state]
+                total = start + score[v]
+                better = (v >= 0) & (total > best[live, j + 1])
+                hit = live[better]
+                best[hit, j + 1], came[hit, j + 1], what[hit, j + 1] = total[better], i, v[better]
+                if j == i:
+                    single[live[v >= 0]] = True
+            total = here + self.unknown_score
+            better = ~single[row] & (total > best[row, i + 1])
+            hit = row[better]
+            best[hit, i + 1], came[hit, i + 1], what[hit, i + 1] = total[better], i, -1
+        row, at = np.arange(n), lengths.copy()
+        rows, ids, step, odd = [], [], [], np.zeros(n, bool)
+        while len(row := row[at[row] > 0]):
+            v = what[row, at[row]]
+            odd[row[v < 0]] = True
+            rows.append(row)
+            ids.append(v)
+            step.append(np.full(len(row), -len(step)))
+            at[row] = came[row, at[row]]
+        if not rows:
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64), odd
+        row, v, k = np.concatenate(rows), np.concatenate(ids), np.concatenate(step)
+        keep = ~odd[row]
+        row, v, k = row[keep], v[keep], k[keep]
+        return v[np.lexsort((k, row))].astype(np.uint32), np.bincount(row, minlength=n), odd
+
     def _encode_parts(self, pieces: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for data, first in pieces:
-            text = data.decode("utf-8", "replace").replace(" ", MARK)
-            out.append(np.array(self.viterbi(MARK + text if first else text), np.uint32))
-        sizes = np.fromiter((len(x) for x in out), np.int64, len(out))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), sizes
+        texts = [data.decode("utf-8", "replace").replace(" ", MARK) for data, _ in pieces]
+        return self.viterbi_many([MARK + t if first else t for t, (_, first) in zip(texts, pieces, strict=True)])
 
     def cuts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.zeros(len(buf), bool)

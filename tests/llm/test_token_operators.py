@@ -219,6 +219,18 @@ def test_sentencepiece_round_trip(spark, model):
     assert out.collect()[0][1:3] == ("kept", len(model.viterbi("▁a▁text")))
 
 
+def test_many_paths_at_once(model, monkeypatch):
+    """The same ids as one text at a time, for words of all lengths, characters without a piece and empty texts."""
+    monkeypatch.setattr(unigram, "TOGETHER", 70)
+    rng = random.Random(12)
+    letters = ["the", "an", "▁", "e", "r", "日", "🙂", "\n", "ß", "qu", "1", "\x01", "\ud7ff"]
+    many = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 9, 30]))) for _ in range(600)] + ["the" * 40, "日" * 100]
+    ids, sizes = model.viterbi_many(many)
+    want = [model.viterbi(t) for t in many]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert model.viterbi_many([])[0].tolist() == []
+
+
 def all_segmentations(s, pieces):
     if not s:
         return [[]]
