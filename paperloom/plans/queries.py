@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..functions import office
 from ..operators import islands as isl
 from ..operators import charts, lists, lookups, parts, ranks, styles
 from ..query import jq
@@ -648,3 +649,66 @@ def colour_transforms(spark, sf_dir):
     channel = (F.col("l_partkey") % 256).cast("double")
     shaded, tinted = fn.scale_channel(channel, shade=F.lit(0.5)), fn.scale_channel(channel, tint=F.lit(0.25))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shaded.alias("shaded"), tinted.alias("tinted"))
+
+
+# Codes and values of office files -----------------------------------------------------------
+
+LANGUAGE_SQL = "CASE lid " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in office.LANGUAGES.items()) + " ELSE lpad(printf('%X', lid), 4, '0') END"
+PAGE_SQL = "CASE WHEN lid = 2052 THEN 936 " + " ".join(f"WHEN lid % 1024 IN ({', '.join(map(str, v))}) THEN {k}" for k, v in office.CODE_PAGES.items()) + " ELSE 1252 END"
+FORMAT_SQL = "CASE lid % 256 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in office.NUMBER_FORMATS.items()) + " ELSE 'msonfc' || (lid % 256) END"
+
+
+@query(f"WITH l AS (SELECT DISTINCT o_orderkey % 4200 AS lid FROM orders) SELECT lid, {LANGUAGE_SQL} AS tag, CAST({PAGE_SQL} AS INT) AS page, {FORMAT_SQL} AS format FROM l")
+def language_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4200).alias("lid")).distinct()
+    lid = F.col("lid")
+    return rows.select("lid", fn.language_tag(lid).alias("tag"), fn.code_page(lid).cast("int").alias("page"), fn.number_format(lid % 256).alias("format"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_size * 40 AS w, p_partkey % 3000 AS h, 1440 + p_size * 100 AS most FROM part) SELECT p_partkey, least(greatest(w, 1) * 9525, most * 635) AS cx, "
+    "CAST(CASE WHEN greatest(w, 1) * 9525 > most * 635 THEN (greatest(h, 1) * 9525 * most * 635) // (greatest(w, 1) * 9525) ELSE greatest(h, 1) * 9525 END AS BIGINT) AS cy FROM p"
+)
+def fitted_pictures(spark, sf_dir):
+    size = fn.fit(F.col("p_size") * 40, F.col("p_partkey") % 3000, 1440 + F.col("p_size") * 100)
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.cx", "s.cy")
+
+
+@query(
+    "WITH e AS (SELECT event_id, least(1.0, greatest(0.0, value / 200)) * 100000 AS x FROM events), k AS (SELECT *, x <= 20000 AS low, x > 80000 AS high, (x - 20000) / 60000 AS k FROM e) "
+    "SELECT event_id, CAST(CASE WHEN low THEN 255 WHEN high THEN 0 ELSE floor(255 - 255 * k + 0.5) END AS INT) AS red, CAST(CASE WHEN low THEN 0 WHEN high THEN 200 ELSE floor(200 * k + 0.5) END AS INT) AS green, 16 AS blue FROM k"
+)
+def gradient_colours(spark, sf_dir):
+    """A colour along a gradient of two stops at a fifth and at four fifths."""
+    stop = lambda at, *rgb: F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, rgb)).alias("rgb"))
+    rows = table(spark, sf_dir, "events").select("event_id", fn.gradient_at(F.array(stop(20000, 255, 0, 16), stop(80000, 0, 200, 16)), F.col("value") / 200).alias("c"))
+    return rows.select("event_id", *(F.get("c", F.lit(i)).alias(name) for i, name in enumerate(("red", "green", "blue"))))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT l_partkey % 256 AS grey FROM lineitem) SELECT grey, CAST(floor(least(1, grey / 255 * 0.5) * 255 + 0.5) AS INT) AS darker, CAST(floor(least(1, grey / 255 + 0.25) * 255 + 0.5) AS INT) AS lighter FROM c"
+)
+def lightness(spark, sf_dir):
+    """Greys with their lightness halved, and raised by a quarter."""
+    grey = F.col("grey")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 256).alias("grey")).distinct()
+    return rows.select("grey", F.get(fn.luminance(grey, grey, grey, scale=F.lit(0.5)), F.lit(0)).alias("darker"), F.get(fn.luminance(grey, grey, grey, shift=F.lit(0.25)), F.lit(1)).alias("lighter"))
+
+
+@query("SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS whole, CAST(o_custkey AS VARCHAR) AS general, CAST(o_custkey * 100 AS VARCHAR) || '%' AS percent FROM orders")
+def axis_numbers(spark, sf_dir):
+    whole = F.floor("o_totalprice").cast("double")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", fn.axis_number(whole, F.lit("#,##0")).alias("whole"), fn.axis_number(F.col("o_custkey"), F.lit(None).cast("string")).alias("general"), fn.axis_number(F.col("o_custkey"), F.lit("0%")).alias("percent")
+    )
+
+
+@query(
+    "SELECT event_id, CASE event_type WHEN 'click' THEN user_id = 1 WHEN 'login' THEN user_id <> 1 ELSE TRUE END AS shows, list_sort(list_distinct(list_filter([CASE WHEN user_id % 2 = 0 THEN event_type END, 'd' || user_id % 3, CASE WHEN user_id % 5 > 0 THEN 'd1' END], lambda x: x IS NOT NULL))) AS ids FROM events"
+)
+def section_choices(spark, sf_dir):
+    """Whether a page shows its section's borders, and the distinct headers of a section."""
+    kind = F.when(F.col("event_type") == "click", "firstPage").when(F.col("event_type") == "login", "notFirstPage").otherwise("allPages")
+    user = F.col("user_id")
+    ids = fn.header_ids(F.when(user % 2 == 0, F.col("event_type")), F.concat(F.lit("d"), (user % 3).cast("string")), F.when(user % 5 > 0, F.lit("d1")))
+    return table(spark, sf_dir, "events").select("event_id", fn.border_shows(kind, user == 1).alias("shows"), F.array_sort(ids).alias("ids"))

@@ -61,3 +61,31 @@ def test_headers_of_images(spark):
     df = spark.createDataFrame([(1, png), (2, gif), (3, bmp), (4, b"")], "i int, d binary").orderBy("i")
     assert [tuple(r[0]) if r[0] else None for r in df.select(fn.image_size(F.col("d"))).collect()] == [(100, 50), (10, 20), (7, 9), None]
     assert [r[0] for r in df.select(fn.sniff_image(F.col("d"))).collect()] == ["image/png", "image/gif", "image/bmp", "application/octet-stream"]
+
+
+def test_office_values(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom import functions as fn
+
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first()["x"]
+    for value, pattern, text in [
+        (1234567.0, "#,##0", "1,234,567"), (0.125, "0%", "12%"), (0.125, "0.0%", "12.5%"), (2.5, None, "2.5"), (1000.0, "General", "1000"),
+        (-1234.5, "#,##0.00;[Red]-0", "-1,234.50"), (3.0, "0", "3"), (-0.0001, "0", "0"),
+    ]:
+        assert get(fn.axis_number(F.lit(value), F.lit(pattern).cast("string"))) == text
+    for rgb, scale, shift in [((255, 0, 0), 0.5, None), ((10, 200, 90), None, 0.2), ((7, 7, 7), 0.3, 0.4), ((0, 128, 255), 0.75, 0.25)]:
+        import colorsys
+
+        h, l, s = colorsys.rgb_to_hls(*(c / 255 for c in rgb))
+        l = min(1.0, l * (scale or 1) + (shift or 0))
+        want = [int(c * 255 + 0.5) for c in colorsys.hls_to_rgb(h, l, s)]
+        got = get(fn.luminance(*map(F.lit, rgb), scale and F.lit(scale), shift and F.lit(shift)))
+        assert all(abs(a - b) <= 1 for a, b in zip(got, want, strict=True))
+    stops = F.array(*(F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, rgb)).alias("rgb")) for at, rgb in [(0, (0, 0, 0)), (50000, (100, 200, 0)), (100000, (0, 0, 255))]))
+    assert [get(fn.gradient_at(stops, F.lit(t))) for t in (-1.0, 0.25, 0.5, 0.75, 2.0)] == [[0, 0, 0], [50, 100, 0], [100, 200, 0], [50, 100, 128], [0, 0, 255]]
+    assert get(fn.average_colour(stops)) == [100, 200, 0]
+    assert get(fn.highlight(F.lit("darkRed"))) == "8B0000" and get(fn.highlight(F.lit("none"))) is None
+    assert [get(fn.json_number(F.lit(v))) for v in (1.5, float("nan"), float("inf"))] == [1.5, None, None]
+    assert tuple(get(fn.fit(F.lit(2000), F.lit(0), F.lit(1440)))) == (914400, 457)
