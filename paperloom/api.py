@@ -6,12 +6,16 @@ The same functions run over many files as DataFrames in ``paperloom.plans.docume
 from __future__ import annotations
 
 import json
+from copy import deepcopy
 from dataclasses import asdict
 from pathlib import Path
 
 from .layout import PageSetup, paginate
 from .model import Document as Model
+from .model import Table
 from .outputs import blocks_view, to_html, to_markdown, to_text
+from .outputs.view import aligned_view
+from .outputs.walk import Lists, Resolver
 from .plans.documents import read_document
 from .sinks.docx import write_docx
 from .sources.containers import detect
@@ -92,54 +96,40 @@ class Pages:
     def to(self, spec: str | dict, **options) -> list[str]:
         """One string a page: the blocks that start on it. List numbers go on from page to page."""
         spec, options = checked(spec, **options)
-        flat = [(n, b) for n, section in enumerate(self._doc.sections) for b in section]
+        blocks = [b for section in self._doc.sections for b in section]
+        if spec == "json":
+            views = aligned_view(self._doc)
+            rows = [[r for r in views[self._layout[i].block_start : self._layout[i].block_end] if r] for i in self._chosen]
+            return [json.dumps(r, ensure_ascii=False, indent=2 if options["pretty"] else None) if r else "" for r in rows]
+        states = _list_states(self._doc, blocks, {self._layout[i].block_start for i in self._chosen})
         out = []
-        for i in self._chosen:
-            page = self._layout[i]
-            if spec == "json":
-                rows = _views(self._doc)[page.block_start : page.block_end]
-                out.append(json.dumps([r for r in rows if r], ensure_ascii=False, indent=2 if options["pretty"] else None) if any(rows) else "")
-                continue
-            before, own = [b for _, b in flat[: page.block_start]], [b for _, b in flat[page.block_start : page.block_end]]
-            out.append(_continued(self._doc, before, own, spec, options))
+        for page in (self._layout[i] for i in self._chosen):
+            own = blocks[page.block_start : page.block_end]
+            out.append(write(Model(**{**self._doc.__dict__, "sections": [own], "list_state": states[page.block_start]}), spec, options))
         return out
 
 
-def _views(doc: Model) -> list[dict | None]:
-    """The block view aligned with the blocks; None for blocks without text."""
-    out, rows = [], iter(blocks_view(doc))
-    row = next(rows, None)
-    for section in doc.sections:
-        for block in section:
-            one = blocks_view(Model(sections=[[block]], styles=doc.styles, abstracts=doc.abstracts, instances=doc.instances))
-            out.append(row if one else None)
-            if one:
-                row = next(rows, None)
+def _list_states(doc: Model, blocks: list, starts: set[int]) -> dict[int, tuple[dict, dict]]:
+    """The lists' counters before each of the blocks with these numbers: one pass, as the writers count."""
+    lists, resolver, out = Lists(doc), Resolver(doc), {}
+
+    def count(block) -> None:
+        if isinstance(block, Table):
+            for row in block.rows:
+                for cell in row.cells:
+                    for b in cell.blocks:
+                        count(b)
+        elif ref := resolver.paragraph(block)[0]:
+            lists.next(*ref)
+
+    for i, block in enumerate([*blocks, None]):
+        if i in starts:
+            out[i] = deepcopy((lists.counters, lists.ordinals))
+        if block is not None:
+            count(block)
     return out
 
 
-def _continued(doc: Model, before: list, own: list, spec: str, options: dict) -> str:
-    """Own blocks as the format writes them after the earlier ones have been counted."""
-    part = Model(**{**doc.__dict__, "sections": [own]})
-    counts: dict[tuple[int, int], int] = {}
-    for b in before:
-        ref = getattr(b, "num_id", None)
-        if ref:
-            counts[ref, b.level] = counts.get((ref, b.level), 0) + 1
-            for level in range(b.level + 1, 9):
-                counts.pop((ref, level), None)
-    if counts:
-        part.instances = dict(doc.instances)
-        for (ref, level), n in counts.items():
-            if ref in part.instances:
-                abstract, starts, levels = part.instances[ref]
-                own_level = levels.get(level) or doc.abstracts.get(abstract, {}).get(level)
-                if own_level is not None:
-                    start = starts.get(level, own_level.start) + n
-                    part.instances[ref] = (abstract, {**starts, level: start}, {**levels, level: type(own_level)(own_level.start + n, own_level.format, own_level.text, own_level.legal)})
-    return write(part, spec, options)
-
-
 class Document:
     def __init__(self, path: str | Path | None = None, *, data: bytes | None = None, password: str | None = None):
         if (path is None) == (data is None):
@@ -165,7 +155,8 @@ class Document:
     @property
     def fonts(self) -> list[str]:
         """Every font that is asked for, sorted."""
-        named = {s.format.font for s in self.model.styles.values()}
+        resolver = Resolver(self.model)
+        named = {s.format.font for s in self.model.styles.values()} | {self.model.default_run.font}
         todo = [b for section in self.model.sections for b in section]
         while todo:
             b = todo.pop()
@@ -173,7 +164,7 @@ class Document:
                 todo += [x for r in b.rows for c in r.cells for x in c.blocks]
             else:
                 named |= {p.format.font for p in b.pieces}
-        return sorted(f for f in named if f)
+        return sorted({f for f in map(resolver.face, named) if f})
 
     def to(self, spec: str | dict, **options) -> str:
         return write(self.model, *checked(spec, **options))

@@ -101,6 +101,56 @@ class Media:
     content_type: str
 
 
+@dataclass
+class Margins:
+    top: int = 1440
+    right: int = 1440
+    bottom: int = 1440
+    left: int = 1440
+    header: int = 720
+    footer: int = 720
+    gutter: int = 0
+
+
+@dataclass
+class Columns:
+    count: int = 1
+    space: int = 720
+    separator: bool = False
+    widths: list[int] = field(default_factory=list)
+
+
+@dataclass
+class SectionFormat:
+    """Lengths in twips; header and footer ids by kind: first, default, even."""
+
+    width: int = 12240
+    height: int = 15840
+    landscape: bool = False
+    margins: Margins = field(default_factory=Margins)
+    columns: Columns = field(default_factory=Columns)
+    start: str = "nextPage"
+    title_page: bool = False
+    page_number_start: int | None = None
+    page_number_format: str | None = None
+    borders: str | None = None
+    headers: dict[str, str] = field(default_factory=dict)
+    footers: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass
+class Settings:
+    tab_stop: int = 720
+    even_and_odd: bool = False
+    compatibility: int = 12
+
+
+@dataclass
+class Theme:
+    colours: dict[str, str] = field(default_factory=dict)
+    fonts: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass
 class Document:
     format: str = "docx"
@@ -111,6 +161,12 @@ class Document:
     footnotes: dict[int, Note] = field(default_factory=dict)
     endnotes: dict[int, Note] = field(default_factory=dict)
     comments: dict[int, Note] = field(default_factory=dict)
+    section_formats: list[SectionFormat] = field(default_factory=list)
+    settings: Settings = field(default_factory=Settings)
+    theme: Theme = field(default_factory=Theme)
+    default_run: RunFormat = field(default_factory=RunFormat)
+    list_state: tuple[dict, dict] | None = None
+    header_parts: dict[str, list] = field(default_factory=dict)
     headers: list[list] = field(default_factory=list)
     footers: list[list] = field(default_factory=list)
     media: list[Media] = field(default_factory=list)

@@ -8,8 +8,8 @@ from ..model import Document, Paragraph
 from .text import TextWriter
 
 
-def blocks_view(doc: Document) -> list[dict]:
-    """kind, section, style, heading_level, list_level, list_label and text of each block that has text."""
+def aligned_view(doc: Document) -> list[dict | None]:
+    """kind, section, style, heading_level, list_level, list_label and text of each block; None without text."""
     w = TextWriter(doc, list_labels=False)
     out = []
     for number, section in enumerate(doc.sections):
@@ -28,10 +28,14 @@ def blocks_view(doc: Document) -> list[dict]:
             else:
                 own = TextWriter(doc, list_labels=False)
                 text = "\n".join("\t".join(" ".join(own.cell(c.blocks).split()) for c in r.cells) for r in b.rows)
-            if text.strip():
-                out.append(row | {"text": text.strip()})
+            out.append(row | {"text": text.strip()} if text.strip() else None)
     return out
 
 
+def blocks_view(doc: Document) -> list[dict]:
+    """The rows of the blocks that have text."""
+    return [row for row in aligned_view(doc) if row]
+
+
 def blocks_json(doc: Document, pretty: bool = False) -> str:
     return json.dumps(blocks_view(doc), ensure_ascii=False, indent=2 if pretty else None, separators=None if pretty else (",", ":"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from copy import deepcopy
 from dataclasses import dataclass, replace
 
 from ..functions.labels import HUNDREDS, ONES, TENS
@@ -107,7 +108,8 @@ class Lists:
     """Counters of each abstract list. A level that has counted goes on; deeper ones start anew."""
 
     def __init__(self, doc: Document):
-        self.doc, self.counters, self.ordinals = doc, {}, {}
+        self.doc = doc
+        self.counters, self.ordinals = deepcopy(doc.list_state) if doc.list_state else ({}, {})
 
     def level(self, num_id: int, level: int) -> tuple[int, Level, int] | None:
         found = self.doc.instances.get(num_id)
@@ -187,19 +189,28 @@ class Resolver:
                 layers.append({a: next((getattr(s.format, a) for s in chain if getattr(s.format, a) is not None), None) for a in ("bold", "italic", "underline", "strike", "vanish", "vertical", "font")})
             para, char = layers
             merged = {a: char[a] if char[a] is not None else para[a] for a in para}
+            # the document's defaults are beneath all styles
+            merged = {a: v if v is not None else getattr(self.doc.default_run, a) for a, v in merged.items()}
             for a in ("bold", "italic", "strike", "vanish"):
                 if para[a] is not None and char[a] is not None:
                     merged[a] = para[a] != char[a]
             self.base[key] = merged
         base = self.base[key]
         pick = lambda a: getattr(direct, a) if getattr(direct, a) is not None else base[a]
-        font = (pick("font") or "").lower()
+        font = self.face(pick("font")).lower()
         fmt = Format(
             bool(pick("bold")), bool(pick("italic")), bool(pick("underline")), bool(pick("strike")),
             pick("vertical") == "superscript", pick("vertical") == "subscript", any(m in font for m in MONOSPACE),
         )
         return fmt, bool(pick("vanish"))
 
+    def face(self, font: str | None) -> str:
+        """A font's name; a reference into the theme (``@slot``) is looked up there."""
+        if font and font.startswith("@"):
+            slot = font[1:6] + font[6:7].upper() + font[7:]
+            return self.doc.theme.fonts.get(slot, "")
+        return font or ""
+
     def pieces(self, p: Paragraph) -> list[tuple[Piece, Format]]:
         """The paragraph's visible pieces with their resolved formats."""
         out = []
@@ -207,7 +218,7 @@ class Resolver:
             fmt, hidden = self.run(p.style, piece.format)
             if hidden:
                 continue
-            font = piece.format.font or self.base[p.style, piece.format.style]["font"] or ""
+            font = self.face(piece.format.font or self.base[p.style, piece.format.style]["font"])
             if piece.kind == "text" and symbol_table(font) is not None:
                 piece = replace(piece, text=symbol_text(piece.text, font))
             out.append((piece, fmt))

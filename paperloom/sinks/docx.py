@@ -39,7 +39,9 @@ class _Writer:
 
     def run_properties(self, f: RunFormat) -> str:
         out = f'<w:rStyle w:val="{text(f.style)}"/>' if f.style else ""
-        if f.font:
+        if f.font and f.font.startswith("@"):
+            out += f'<w:rFonts w:asciiTheme="{text(f.font[1:])}" w:hAnsiTheme="{text(f.font[1:])}"/>'
+        elif f.font:
             out += f'<w:rFonts w:ascii="{text(f.font)}" w:hAnsi="{text(f.font)}"/>'
         for tag, on in (("b", f.bold), ("i", f.italic), ("strike", f.strike), ("vanish", f.vanish)):
             if on is not None:

@@ -10,6 +10,7 @@ from ..model import Cell, Document, Level, Media, Note, Paragraph, Piece, Row, R
 from ..outputs.math import read_math, to_latex, to_linear
 from ..outputs.walk import symbol_char
 from .containers import SIGNATURE, Archive, NotAContainer, open_zip
+from .sections import distinct_ids, read_section, read_settings, read_theme
 from .xmltree import Node, parse
 
 #: Numbering formats by their names in files.
@@ -103,7 +104,8 @@ def run_format(node: Node | None) -> RunFormat:
             case "w:vertAlign":
                 f.vertical = value(p)
             case "w:rFonts":
-                f.font = p.get("w:ascii") or p.get("w:hAnsi") or f.font
+                slot = p.get("w:asciiTheme") or p.get("w:hAnsiTheme")
+                f.font = (f"@{slot}" if slot else None) or p.get("w:ascii") or p.get("w:hAnsi") or f.font
             case "w:sz":
                 f.size = number(value(p))
     return f
@@ -123,6 +125,7 @@ class Story:
         self.package, self.doc, self.relations = package, package.doc, package.relations(part)
         self.fields: list[dict] = []
         self.links = 0
+        self.formats: list = []
 
     def blocks(self, node: Node, sections: list[list] | None = None) -> list:
         out: list = []
@@ -138,6 +141,7 @@ class Story:
                 p = self.paragraph(node)
                 out.append(p)
                 if sections is not None and node.find("w:pPr", "w:sectPr") is not None:
+                    self.formats.append(read_section(node.find("w:pPr", "w:sectPr")))
                     sections[-1] = sections[-1] + out
                     out.clear()
                     sections.append([])
@@ -157,8 +161,9 @@ class Story:
                 self.doc.note("dropped", "body", "altChunk")
 
     def choice(self, node: Node) -> list[Node]:
+        """The first branch whose needs are all understood, if it holds something; else the fallback."""
         for c in node.all("mc:Choice"):
-            if all(p in UNDERSTOOD for p in (c.get("Requires") or "").split()):
+            if c.children and all(p in UNDERSTOOD for p in (c.get("Requires") or "").split()):
                 return c.children
         fallback = node.find("mc:Fallback")
         return fallback.children if fallback is not None else []
@@ -333,7 +338,24 @@ def plain_text(block) -> str:
     return "".join({"text": p.text, "tab": "\t", "line": "\n"}.get(p.kind, "") for p in block.pieces)
 
 
+def read_headers(package: Package, relations: dict, doc: Document) -> None:
+    """The header and footer parts that sections name, each once, in the order of the sections; all that there
+    are where no section names one."""
+    for kind, into in (("header", doc.headers), ("footer", doc.footers)):
+        named = [i for s in doc.section_formats for i in distinct_ids(getattr(s, f"{kind}s"))]
+        for i in dict.fromkeys(named or [i for i, r in relations.items() if r[0] == kind and not r[2]]):
+            found, target, external = relations.get(i, (None, "", False))
+            part = package.part(target) if found == kind and not external else None
+            if part is None:
+                doc.note("dropped", "section", f"{kind} {i} is missing")
+                continue
+            doc.header_parts[i] = Story(package, target).blocks(part)
+            into.append(doc.header_parts[i])
+
+
 def read_styles(root: Node | None, doc: Document) -> None:
+    defaults = root.find("w:docDefaults", "w:rPrDefault", "w:rPr") if root is not None else None
+    doc.default_run = run_format(defaults)
     for s in root.all("w:style") if root is not None else []:
         style = Style(s.get("w:styleId") or "", value(s.find("w:name")), s.get("w:type") or "paragraph", value(s.find("w:basedOn")), s.get("w:default") in ("1", "true"))
         props = s.find("w:pPr")
@@ -399,6 +421,7 @@ def read_docx(data: bytes) -> Document:
             kind = next((k for magic, k in IMAGES.items() if got[0].startswith(magic)), "application/octet-stream")
             doc.media.append(Media(name, got[0], kind))
     first = lambda kind: package.part(by_kind[kind][0]) if by_kind.get(kind) else None
+    doc.settings, doc.theme = read_settings(first("settings")), read_theme(first("theme"))
     read_styles(first("styles"), doc)
     read_numbering(first("numbering"), doc)
     for kind, tag, into in (("footnotes", "w:footnote", doc.footnotes), ("endnotes", "w:endnote", doc.endnotes), ("comments", "w:comment", doc.comments)):
@@ -409,17 +432,17 @@ def read_docx(data: bytes) -> Document:
                     continue
                 note = Note(number(n.get("w:id"), -1), kind[:-1], story.blocks(n), n.get("w:author"))
                 into.setdefault(note.id, note)
-    for kind, into in (("header", doc.headers), ("footer", doc.footers)):
-        for target in by_kind.get(kind, []):
-            part = package.part(target)
-            if part is not None:
-                into.append(Story(package, target).blocks(part))
     body = root.find("w:body") or root
     sections: list[list] = [[]]
-    Story(package, main).blocks(body, sections)
+    story = Story(package, main)
+    story.blocks(body, sections)
+    last = next((c for c in reversed(body.children) if c.tag == "w:sectPr"), None)
+    doc.section_formats = [*story.formats, read_section(last)]
     if len(sections) > 1 and not sections[-1]:
         sections.pop()
+        doc.section_formats = doc.section_formats[: len(sections)]
     doc.sections = sections
+    read_headers(package, relations, doc)
     for part in (p for k, p, _ in package.relations("").values() if k in ("core-properties", "extended-properties")):
         props = package.part(part)
         for c in props.children if props is not None else []:
