@@ -3,7 +3,6 @@
 import base64
 import io
 import random
-import struct
 import zipfile
 import zlib
 
@@ -18,6 +17,7 @@ from paperloom.sources import containers, xmltree
 from paperloom.sources.doc import read_doc
 from paperloom.sources.docx import BULLETS, Encrypted, read_docx
 from paperloom.sources.markdown import read_markdown, to_docx
+from tests.doc_builder import compound, word_file
 
 
 def run(text, **fmt):
@@ -296,48 +296,6 @@ def test_archives():
         containers.open_zip(b"PK")
 
 
-def compound(streams):
-    """A small compound file: one FAT sector, a directory, streams in whole sectors."""
-    sector, names = 512, ["Root Entry", *streams]
-    body, fat, starts = b"", [], {}
-    for name, data in streams.items():
-        starts[name] = len(fat)
-        n = max(1, -(-max(len(data), 4096) // sector))
-        body += data.ljust(n * sector, b"\0")
-        fat += [*range(len(fat) + 1, len(fat) + n), 0xFFFFFFFE]
-    first_dir = len(fat)
-    rows = b""
-    for i, name in enumerate(names):
-        raw = name.encode("utf-16-le") + b"\0\0"
-        right = i + 1 if 0 < i < len(names) - 1 else 0xFFFFFFFF
-        child = 1 if i == 0 else 0xFFFFFFFF
-        data = streams.get(name, b"")
-        rows += raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), 5 if i == 0 else 2, 1, 0xFFFFFFFF, right, child) + bytes(36) + struct.pack("<IQ", starts.get(name, 0xFFFFFFFE), max(len(data), 4096) if i else 0)
-    n = -(-len(rows) // sector)
-    body += rows.ljust(n * sector, b"\0")
-    fat += [*range(first_dir + 1, first_dir + n), 0xFFFFFFFE, 0xFFFFFFFD]
-    at = len(fat) - 1
-    table = struct.pack(f"<{len(fat)}I", *fat).ljust(sector, b"\xff")
-    head = containers.SIGNATURE + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIII", 0, 1, first_dir, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
-    return head + struct.pack("<I", at) + b"\xff" * (4 * 108) + body + table
-
-
-def word_file(text, notes=""):
-    whole = text + notes
-    raw, table = whole.encode("utf-16-le"), b""
-    clx = struct.pack("<BI", 2, 4 * 2 + 8) + struct.pack("<II", 0, len(whole)) + struct.pack("<HIH", 0, 2048, 0)
-    stream = bytearray(2048)
-    struct.pack_into("<HH", stream, 0, 0xA5EC, 0xC1)
-    struct.pack_into("<H", stream, 10, 0x200)
-    struct.pack_into("<ii", stream, 0x4C, len(text), len(notes))
-    if notes:
-        struct.pack_into("<II", stream, 0xAA, len(clx), 10)
-        struct.pack_into("<II", stream, 0xB2, len(clx) + 10, 8)
-        table = struct.pack("<IIH", text.index("\x02"), len(text), 1) + struct.pack("<II", 0, len(notes))
-    struct.pack_into("<II", stream, 0x1A2, 0, len(clx))
-    return compound({"WordDocument": bytes(stream) + raw, "1Table": clx + table})
-
-
 def test_binary_documents():
     data = word_file("One\x13 HYPERLINK x \x14link\x15 é🙂\rtwo\ttabs\x0bline\ra\x07b\x07\x07c\x07d\x07\x07end\x02\r", "\x02 note\r")
     assert containers.detect(data) == "doc"
