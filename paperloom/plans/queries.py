@@ -563,6 +563,30 @@ def html_to_blocks(spark, sf_dir):
     return rows.select("page_id", "ord", kind.alias("kind"), text.alias("text")).where("text <> ''")
 
 
+REPORT = """WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+ g AS (SELECT k, count(*) AS n, string_agg(i || '. order ' || id, chr(10) ORDER BY i) AS items, string_agg('| ' || id || ' | ' || st || ' |', chr(10) ORDER BY i) AS cells,
+  string_agg('<li>order ' || id || '</li>', chr(10) ORDER BY i) AS lis, string_agg('<tr><td>' || id || '</td><td>' || st || '</td></tr>', chr(10) ORDER BY i) AS trs, string_agg(id || chr(9) || st, chr(10) ORDER BY i) AS tabs FROM o GROUP BY k),
+ r AS (SELECT *, c_name AS name, lower(c_mktsegment) AS seg, chr(10) AS nl FROM g JOIN customer ON c_custkey = k)
+SELECT k AS custkey, md5('# ' || name || nl || nl || 'On **' || n || '** orders, *' || seg || '* market.' || nl || nl || items || nl || nl || '| key | status |' || nl || '| --- | --- |' || nl || cells || nl) AS markdown,
+ md5('<h1>' || name || '</h1>' || nl || '<p>On <strong>' || n || '</strong> orders, <em>' || seg || '</em> market.</p>' || nl || '<ol>' || nl || lis || nl || '</ol>' || nl || '<table>' || nl || '<tr><th>key</th><th>status</th></tr>' || nl || trs || nl || '</table>' || nl) AS html,
+ md5(name || nl || 'On ' || n || ' orders, ' || seg || ' market.' || nl || items || nl || 'key' || chr(9) || 'status' || nl || tabs || nl) AS text, n + 3 AS n_blocks FROM r"""
+
+
+@query(REPORT)
+def report_formats(spark, sf_dir):
+    """A report for each customer with orders: Markdown with a heading, marks, a list and a table is read, written as a
+    DOCX file, and read back into every format."""
+    from . import documents as d
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
+    rows = orders.join(table(spark, sf_dir, "customer"), F.col("custkey") == F.col("c_custkey"))
+    items = F.array_join(F.transform("orders", lambda o, i: F.concat((i + 1).cast("string"), F.lit(". order "), o["o_orderkey"].cast("string"))), "\n")
+    cells = F.array_join(F.transform("orders", lambda o: F.concat(F.lit("| "), o["o_orderkey"].cast("string"), F.lit(" | "), o["o_orderstatus"], F.lit(" |"))), "\n")
+    text = F.format_string("# %s\n\nOn **%d** orders, *%s* market.\n\n%s\n\n| key | status |\n| --- | --- |\n%s\n", F.col("c_name"), F.size("orders"), F.lower("c_mktsegment"), items, cells)
+    back = d.parse(d.to_files(rows.select("custkey", text.alias("text")), "custkey", markdown=True), "custkey")
+    return back.select("custkey", F.md5("markdown").alias("markdown"), F.md5("html").alias("html"), F.md5("text").alias("text"), F.size("blocks").cast("long").alias("n_blocks"))
+
+
 # Sections, parts, fonts and charts ----------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from urllib.parse import unquote
 from ..model import Cell, Document, Level, Media, Note, Paragraph, Piece, Row, RunFormat, Style, Table
 from ..outputs.math import read_math, to_latex, to_linear
 from ..outputs.walk import symbol_char
+from .charts import chart_blocks, diagram_blocks, read_chart
 from .containers import SIGNATURE, Archive, NotAContainer, open_zip
 from .sections import distinct_ids, read_section, read_settings, read_theme
 from .xmltree import Node, parse
@@ -126,6 +127,7 @@ class Story:
         self.fields: list[dict] = []
         self.links = 0
         self.formats: list = []
+        self.after: list = []
 
     def blocks(self, node: Node, sections: list[list] | None = None) -> list:
         out: list = []
@@ -140,6 +142,8 @@ class Story:
             case "w:p":
                 p = self.paragraph(node)
                 out.append(p)
+                out += self.after
+                self.after = []
                 if sections is not None and node.find("w:pPr", "w:sectPr") is not None:
                     self.formats.append(read_section(node.find("w:pPr", "w:sectPr")))
                     sections[-1] = sections[-1] + out
@@ -299,30 +303,68 @@ class Story:
                             self.drawing(d, add)
 
     def drawing(self, node: Node, add) -> None:
-        alt, rel, boxes = "", None, []
-        for n in node.walk():
-            if n.tag == "wp:docPr":
-                if n.get("hidden") in ("1", "true"):
-                    self.doc.note("dropped", "drawing", "hidden drawing")
-                    return
-                alt = n.get("descr") or n.get("title") or ""
-            elif n.tag == "a:blip":
-                rel = rel or n.get("r:embed") or n.get("r:link")
-            elif n.tag == "v:imagedata":
-                rel = rel or n.get("r:id")
-            elif n.tag == "w:txbxContent":
-                boxes.append(n)
-        if rel:
+        """Pictures stay in the line, those of groups one after the other; text boxes, charts and diagrams follow the
+        paragraph as blocks."""
+        alt, todo, pictures, seen = "", [node], [], False
+        after: list = []
+        while todo:
+            n = todo.pop()
+            match n.tag:
+                case "wp:docPr":
+                    if n.get("hidden") in ("1", "true"):
+                        self.doc.note("dropped", "drawing", "hidden drawing")
+                        return
+                    alt = n.get("descr") or n.get("title") or ""
+                case "pic:cNvPr":
+                    pictures.append([n.get("descr") or n.get("title") or "", None])
+                case "a:blip" | "v:imagedata":
+                    rel = n.get("r:embed") or n.get("r:link") or n.get("r:id")
+                    if rel:
+                        if not pictures or pictures[-1][1]:
+                            pictures.append(["", None])
+                        pictures[-1][1] = rel
+                case "w:txbxContent":
+                    after += self.blocks(n)
+                    seen = True
+                    continue
+                case "mc:AlternateContent":
+                    todo += reversed(self.choice(n))
+                    continue
+                case "c:chart" if n.get("r:id"):
+                    after += self.chart(n.get("r:id"))
+                case "dgm:relIds":
+                    after += self.diagram(n.get("r:dm") or "")
+            todo += reversed(n.children)
+        shown = [(own, rel) for own, rel in pictures if rel]
+        for own, rel in shown:
             target = self.relations.get(rel, (None, "", False))[1]
-            place = next((i for i, m in enumerate(self.doc.media) if m.name == target), None)
-            if place is None:
+            at = next((i for i, m in enumerate(self.doc.media) if m.name == target), None)
+            if at is None:
                 self.doc.note("dropped", "drawing", f"image {target or rel} is missing")
             else:
-                add("image", alt, place)
-        for box in boxes:
-            text = "\n".join(plain_text(b) for b in self.blocks(box))
-            if text:
-                add("text", text)
+                add("image", (alt if len(shown) == 1 else own) or own or alt, at)
+        if seen or after:
+            self.after += after
+
+    def part_of(self, rel: str, kind: str) -> Node | None:
+        _, target, external = self.relations.get(rel, (None, "", True))
+        part = None if external else self.package.part(target)
+        if part is None:
+            self.doc.note("dropped", "drawing", f"{kind} {target or rel} is missing")
+        return part
+
+    def chart(self, rel: str) -> list:
+        part = self.part_of(rel, "chart")
+        blocks, cut = chart_blocks(read_chart(part)) if part is not None else ([], False)
+        if cut:
+            self.doc.note("approximated", "chart", "the table leaves out rows or series")
+        return blocks
+
+    def diagram(self, rel: str) -> list:
+        """The text of the drawing that was saved with the diagram, else of its data."""
+        saved = next((target for kind, target, external in self.relations.values() if kind == "diagramDrawing" and not external), None)
+        part = self.package.part(saved) if saved else None
+        return diagram_blocks(part) if part is not None else diagram_blocks(self.part_of(rel, "diagram") or Node("", {}))
 
 
 def number_of_hex(text: str | None) -> int | None:

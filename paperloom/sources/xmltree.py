@@ -16,6 +16,9 @@ NAMESPACES = {
     "drawingml/main": "a",
     "drawingml/2006/main": "a",
     "drawingml/2006/picture": "pic",
+    "drawingml/2006/chart": "c",
+    "drawingml/2006/diagram": "dgm",
+    "drawing/2008/diagram": "dsp",
     "wordprocessingml/2006/main": "w",
     "markup-compatibility/2006": "mc",
     "word/2010/wordprocessingShape": "wps",
