@@ -2,46 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_base: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` of the session; where it is unset, the warehouse on a cluster and a
-    temporary folder on a local master.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir") + "/_paperloom"
-    if not _local_base:
-        _local_base.append(tempfile.mkdtemp(prefix="paperloom-"))
-    return "file://" + _local_base[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..tables import new_path, written
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; a lost executor loses none of it."""
-    return _written(df, new_path(df.sparkSession, name), partition_by)
-
-
-def _written(df: DataFrame, path: str, partition_by: list[str] | None) -> DataFrame:
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, new_path(df.sparkSession, name), partition_by)
 
 
 def _in_store(spark: SparkSession, path: str):
@@ -70,7 +39,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = new_path(self.spark, name)
         self.paths.setdefault(name, []).append(path)
-        return _written(df, path, partition_by)
+        return written(df, path, partition_by)
 
     def drop(self, *names: str) -> None:
         for name in names:
