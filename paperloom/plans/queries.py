@@ -11,6 +11,7 @@ from ..functions import office
 from ..operators import islands as isl
 from ..operators import charts, lists, lookups, parts, ranks, styles
 from ..query import jq
+from ..tables import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows  # few rows with much text
 
 
 # Blocks of documents ------------------------------------------------------------------------

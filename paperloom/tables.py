@@ -34,3 +34,15 @@ def written(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input for each core below which a scan may leave cores idle: a file is read by at least such parts.
+LITTLE = 4 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that cost much each, dealt over all cores where the input is small, as a file of one row group is read by
+    one task; larger inputs stay where they are. Decided by the size that the plan knows; no job runs."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size < LITTLE * cores else rows
