@@ -5,51 +5,56 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from . import decontaminate, ngram_join, pii, quality, secrets, sharding, token_counts, token_store, unigram, urls
 from .common import table
 
 
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_candidate_boosting(spark, sf_dir):
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(documents(spark, sf_dir))
 
 
 def op2_content_addressed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     path = token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
     token_store.verify(spark, path)
     return token_store.digests(spark, path)
 
 
 def op3_seed_and_align(spark, sf_dir):
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op4_virtual_slots(spark, sf_dir):
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(documents(spark, sf_dir))
 
 
 def op5_distribution_divergence(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(documents(spark, sf_dir))
 
 
 def op6_entropy_secrets(spark, sf_dir):
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(documents(spark, sf_dir))
 
 
 def op7_overlap_resync(spark, sf_dir):
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_unigram_viterbi(spark, sf_dir):
-    return unigram.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_redirect_equivalence(spark, sf_dir):
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_ngram_jaccard(spark, sf_dir):
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(documents(spark, sf_dir))
 
 
 # What SQL can express of the operators' results, with the same operators behind it -----------
@@ -57,24 +62,24 @@ def op10_ngram_jaccard(spark, sf_dir):
 
 def quality_base_counts(spark, sf_dir):
     """op5's counts and base rules."""
-    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def shard_sizes(spark, sf_dir):
     """op4's sizes, and that every record has one place: how many records, shards and distinct places there are."""
-    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    placed = sharding.shard(documents(spark, sf_dir))
     counts = F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_distinct("shard").alias("shards"), F.count_distinct("shard", "slot").alias("places")
     return placed.agg(*counts)
 
 
 def text_bytes(spark, sf_dir):
     """op7's sizes."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes")
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes")
 
 
 def url_rules(spark, sf_dir):
     """op9's hosts, paths and rules, and the verdicts of rules."""
-    judged = urls.judge(table(spark, sf_dir, "pages"))
+    judged = urls.judge(spread(table(spark, sf_dir, "pages")))
     return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("own"))
 
 
