@@ -44,5 +44,5 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows that cost much each, dealt over all cores where the input is small, as a file of one row group is read by
     one task; larger inputs stay where they are. Decided by the size that the plan knows; no job runs."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < LITTLE * cores else rows
