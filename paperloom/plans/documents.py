@@ -37,7 +37,7 @@ def read_document(data: bytes, password: str | None = None):
     if kind == "docx":
         return read_docx(data)
     if kind == "doc":
-        return read_doc(data)
+        return read_doc(data, password)
     if kind == "encrypted_docx":
         raise Encrypted("the document is encrypted")
     raise NotAContainer(f"{kind} files are not read")

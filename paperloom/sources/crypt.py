@@ -1,4 +1,5 @@
-"""Encrypted packages: Agile (AES-CBC, any SHA) and Standard (AES-ECB, SHA-1), by password."""
+"""Encryption by password: packages (Agile with AES-CBC and any SHA, Standard with AES-ECB and SHA-1) and binary
+documents (RC4)."""
 
 from __future__ import annotations
 
@@ -200,3 +201,51 @@ def decrypt(data: bytes, password: str) -> bytes:
     except (TypeError, struct.error, KeyError) as e:
         raise Encrypted(f"damaged encryption data: {e}") from e
     raise Encrypted("unsupported encryption")
+
+
+# Binary documents: RC4 with a key for each block of 512 bytes ----------------------------------
+
+BLOCK = 512
+#: The version of the head of RC4 encryption, and the bytes of a document stream that stay plain.
+RC4_VERSION, PLAIN_HEAD = (1, 1), 68
+
+
+def rc4(key: bytes, data: bytes) -> bytes:
+    state, j = list(range(256)), 0
+    for i in range(256):
+        j = (j + state[i] + key[i % len(key)]) & 255
+        state[i], state[j] = state[j], state[i]
+    out, i, j = bytearray(len(data)), 0, 0
+    for at, byte in enumerate(data):
+        i = (i + 1) & 255
+        j = (j + state[i]) & 255
+        state[i], state[j] = state[j], state[i]
+        out[at] = byte ^ state[(state[i] + state[j]) & 255]
+    return bytes(out)
+
+
+def binary_key(password: str, salt: bytes) -> bytes:
+    """The five bytes that the keys of all blocks are made of."""
+    short = hashlib.md5(password.encode("utf-16-le")).digest()[:5]
+    return hashlib.md5((short + salt) * 16).digest()[:5]
+
+
+def in_blocks(data: bytes, key: bytes, plain: int = 0) -> bytes:
+    """A stream decrypted, or encrypted, block by block; its first bytes stay as they are."""
+    out = bytearray()
+    for number in range(-(-len(data) // BLOCK)):
+        own = hashlib.md5(key + number.to_bytes(4, "little")).digest()
+        out += rc4(own, data[number * BLOCK : (number + 1) * BLOCK])
+    out[:plain] = data[:plain]
+    return bytes(out)
+
+
+def unlock_binary(head: bytes, password: str) -> bytes:
+    """The key of a binary document from its table's head; raises where the password is wrong."""
+    if len(head) < 52 or tuple(int.from_bytes(head[k : k + 2], "little") for k in (0, 2)) != RC4_VERSION:
+        raise Encrypted("unsupported encryption")
+    key = binary_key(password, head[4:20])
+    both = rc4(hashlib.md5(key + bytes(4)).digest(), head[20:52])
+    if hashlib.md5(both[:16]).digest() != both[16:]:
+        raise WrongPassword("wrong password")
+    return key

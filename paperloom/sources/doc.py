@@ -11,11 +11,15 @@ import struct
 from ..model import Cell, Document, Note, Paragraph, Piece, Row, RunFormat, Table
 from ..outputs.walk import symbol_char
 from .containers import SIGNATURE, CompoundFile, NotAContainer, open_compound
+from .crypt import PLAIN_HEAD, in_blocks, unlock_binary
 from .doc_format import Formats, ParaFormat, place, run_format, style_id
+from .docx import Encrypted
 from .properties import metadata
 
 #: Places in the file information block.
 COUNTS, CLX, FOOTNOTES, COMMENTS, ENDNOTES, AUTHORS = 0x4C, 0x1A2, 0xAA, 0xBA, 0x20A, 0x1BA
+#: Flags of the block, and the place of the size of the encryption's head.
+ENCRYPTED, OBFUSCATED, KEY_SIZE = 0x100, 0x8000, 0x0E
 #: Bits of a table cell's flags.
 MERGED, DOWN, TOP = 0x2, 0x20, 0x40
 KINDS = {"\t": "tab", "\x0b": "line", "\x0c": "page", "\x0e": "column"}
@@ -233,7 +237,7 @@ def _positions(table: bytes, at: int, size: int, width: int) -> list[int]:
     return list(struct.unpack_from(f"<{n + 1}I", table, at)) if n and at + 4 * (n + 1) <= len(table) else []
 
 
-def read_doc(data: bytes) -> Document:
+def read_doc(data: bytes, password: str | None = None) -> Document:
     doc = Document("doc")
     if data[:8] != SIGNATURE:
         raise NotAContainer("only files in a compound container are read")
@@ -242,11 +246,16 @@ def read_doc(data: bytes) -> Document:
     if stream is None or len(stream) < CLX + 8:
         raise NotAContainer("no document stream")
     flags = struct.unpack_from("<H", stream, 10)[0]
-    if flags & 0x100:
-        raise NotAContainer("the document is encrypted")
     table = box.read("1Table" if flags & 0x200 else "0Table")
     if table is None:
         raise NotAContainer("no table stream")
+    if flags & ENCRYPTED:
+        if password is None:
+            raise Encrypted("the document is encrypted")
+        if flags & OBFUSCATED:
+            raise Encrypted("unsupported encryption")
+        key, head = unlock_binary(table, password), struct.unpack_from("<I", stream, KEY_SIZE)[0]
+        table, stream = in_blocks(table, key, min(head, len(table))), in_blocks(stream, key, PLAIN_HEAD)
     pieces = Pieces(stream, table, *struct.unpack_from("<II", stream, CLX))
     text = pieces.text()
     counts = [max(0, n) for n in struct.unpack_from("<6i", stream, COUNTS)]

@@ -77,3 +77,45 @@ def test_standard():
     assert to_text(read_document(data, "pw")).startswith("plain words")
     row = parse_one(data, ("text",), "wrong")
     assert row["text"] is None and "WrongPassword" in row["error"]
+
+
+def test_rc4_by_published_vectors():
+    assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    assert crypt.rc4(b"Wiki", b"pedia").hex() == "1021bf0420"
+    assert crypt.rc4(b"Secret", b"Attack at dawn").hex() == "45a01f645fc35b383552544b9bf5"
+
+
+def locked(password, text):
+    """A binary document as an encrypting writer leaves it."""
+    import hashlib
+    import struct
+
+    from paperloom.sources.containers import open_compound
+    from tests.doc_builder import compound, word_file
+
+    box = open_compound(word_file(text))
+    stream, table = bytearray(box.read("WordDocument")), box.read("1Table")
+    salt, verifier = bytes(range(16)), bytes(range(100, 116))
+    key = crypt.binary_key(password, salt)
+    head = struct.pack("<HH", 1, 1) + salt + crypt.rc4(hashlib.md5(key + bytes(4)).digest(), verifier + hashlib.md5(verifier).digest())
+    struct.pack_into("<H", stream, 10, struct.unpack_from("<H", stream, 10)[0] | 0x100)
+    struct.pack_into("<I", stream, 14, len(head))
+    clx = struct.unpack_from("<II", stream, 0x1A2)
+    struct.pack_into("<II", stream, 0x1A2, clx[0] + len(head), clx[1])
+    return compound({"WordDocument": crypt.in_blocks(bytes(stream), key, crypt.PLAIN_HEAD), "1Table": crypt.in_blocks(head + table, key, len(head))})
+
+
+def test_binary_documents_by_password():
+    from paperloom.outputs import to_text
+    from paperloom.plans.documents import parse_one
+    from paperloom.sources.doc import read_doc
+    from paperloom.sources.docx import Encrypted
+
+    text = "secret é words\r" + "line after line\r" * 90
+    data = locked("pässword", text)
+    assert to_text(read_doc(data, "pässword")) == text.replace("\r", "\n")
+    with pytest.raises(crypt.WrongPassword):
+        read_doc(data, "other")
+    with pytest.raises(Encrypted, match="encrypted"):
+        read_doc(data)
+    assert parse_one(data, ("text",), "pässword")["text"].startswith("secret é") and "encrypted" in parse_one(data, ("text",))["error"]
