@@ -139,3 +139,18 @@ def test_command_line(tmp_path, capsys, book):
     assert main(["text", str(tmp_path / "none.docx")]) == 1 and "none.docx" in capsys.readouterr().err
     assert main(["xml", str(file), "nothing.xml"]) == 1
     assert chosen("2-4,1", 3) == [1, 2, 0]
+
+
+def test_embedded_fonts():
+    from paperloom.sources.fonts import font_table, unhide
+
+    guid, font = "{1DBA2C3D-0001-4A5B-8C9D-0123456789AB}", bytes(range(200))
+    hidden = unhide(font, guid)
+    # the last pair of digits meets the first byte
+    assert hidden[0] == 0xAB and hidden[15] == 15 ^ 0x1D and hidden[16] == 16 ^ 0xAB and hidden[32:] == font[32:]
+    assert unhide(hidden, guid) == font and unhide(font, "none") == font and unhide(b"ab", guid) == bytes([0x61 ^ 0xAB, 0x62 ^ 0x89])
+    table = f'<w:fonts {W}><w:font w:name="Own"><w:embedRegular r:id="a" w:fontKey="{guid}"/><w:embedBold r:id="gone" w:fontKey="{guid}"/></w:font><w:font w:name="Other"/></w:fonts>'
+    data = package(paragraph("x"), **{"word/_rels/document.xml.rels": relations(f=("fontTable", "fontTable.xml")), "word/fontTable.xml": table, "word/_rels/fontTable.xml.rels": relations(a=("font", "fonts/a.odttf")), "word/fonts/a.odttf": hidden})
+    names, carried = font_table(data)
+    assert names == ["Own", "Other"] and [(f.name, f.face, f.data) for f in carried] == [("Own", "regular", font)]
+    assert font_table(package(paragraph("x"))) == ([], [])
