@@ -12,7 +12,8 @@ text travels once to each of its tiles. There hashed bitmaps bound the overlap f
 differ are in no overlap), and what passes is intersected exactly, as sorted arrays. Pairs of a known
 component are skipped, and a tile gives only links that connect, so what leaves is linear in its rows.
 Groups larger than a tile take two rounds: neighbouring parts first; then, between parts, only what lies in
-different components.
+different components. How a group's parts are paired is planned in one task from its classes' names, sizes and
+components, some 40 bytes each: at most 2 * RUN classes for each chosen shingle of its smallest class.
 
 ``links`` skips nothing: it gives every link between different texts, and ``link_counts`` their number
 for each document; both grow with the square of a group of near copies.
