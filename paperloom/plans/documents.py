@@ -46,19 +46,21 @@ def read_document(data: bytes, password: str | None = None):
 def parse_one(data: bytes | None, wanted: tuple[str, ...], password: str | None = None) -> dict:
     """A row of ``SCHEMA``; failures become ``error``."""
     from ..outputs import blocks_view, to_html, to_markdown, to_text
+    from ..outputs.walk import Resolver
 
     row: dict = {"format": detect(data or b""), "error": None, "text": None, "markdown": None, "html": None, "blocks": [], "styles": [], "media": [], "metadata": [], "diagnostics": [], "sections": []}
     try:
         doc = read_document(data or b"", password)
+        resolver = Resolver(doc)
         if "text" in wanted:
-            row["text"] = to_text(doc)
+            row["text"] = to_text(doc, resolver=resolver)
         if "markdown" in wanted:
-            row["markdown"] = to_markdown(doc)
+            row["markdown"] = to_markdown(doc, resolver=resolver)
         if "html" in wanted:
-            row["html"] = to_html(doc)
+            row["html"] = to_html(doc, resolver=resolver)
     except (ValueError, RecursionError, IndexError, KeyError) as e:
         return row | {"error": f"{type(e).__name__}: {e}"}
-    row["blocks"] = [{"ord": i} | b for i, b in enumerate(blocks_view(doc))]
+    row["blocks"] = [{"ord": i} | b for i, b in enumerate(blocks_view(doc, resolver))]
     row["styles"] = [{"style_id": s.id, "name": s.name, "kind": s.kind, "based_on": s.based_on, "is_default": s.default} for s in doc.styles.values()]
     row["media"] = [{"name": m.name, "content_type": m.content_type, "data": m.data} for m in doc.media]
     row["metadata"] = list(doc.metadata.items())

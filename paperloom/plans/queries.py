@@ -11,7 +11,7 @@ from ..functions import office
 from ..operators import islands as isl
 from ..operators import charts, lists, lookups, parts, ranks, styles
 from ..query import jq
-from ..tables import spread
+from ..tables import dealt, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -580,7 +580,8 @@ def report_formats(spark, sf_dir):
     DOCX file, and read back into every format."""
     from . import documents as d
 
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
+    orders = dealt(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_orderstatus"), "custkey")
+    orders = orders.groupBy("custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
     rows = orders.join(table(spark, sf_dir, "customer"), F.col("custkey") == F.col("c_custkey"))
     items = F.array_join(F.transform("orders", lambda o, i: F.concat((i + 1).cast("string"), F.lit(". order "), o["o_orderkey"].cast("string"))), "\n")
     cells = F.array_join(F.transform("orders", lambda o: F.concat(F.lit("| "), o["o_orderkey"].cast("string"), F.lit(" | "), o["o_orderstatus"], F.lit(" |"))), "\n")

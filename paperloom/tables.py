@@ -46,3 +46,16 @@ def spread(rows: DataFrame) -> DataFrame:
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < LITTLE * cores else rows
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that cost much each, by their keys in four parts a core at least, so that no core waits long for another.
+    Merged by size, as parts are without a number, few bytes are few parts, and one more than there are cores takes
+    twice the time. Decided by the size that the plan knows; no job runs."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(4 * cores, min(size // PART, MOST_PARTS)), *keys)
+
+
+#: Bytes of input of a part where there are more than four parts a core, and a bound on their number.
+PART, MOST_PARTS = 32 << 20, 10_000
