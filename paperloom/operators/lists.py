@@ -19,15 +19,15 @@ def list_counters(items: DataFrame, list_cols: list[str], order: list, level: st
     all deeper ones. Of levels deeper than the item's own the counter is null; a shallower level that
     has not counted yet shows its start."""
     start = F.lit(1) if start is None else start
-    out = items
-    for k in range(levels):
-        resets = F.sum((F.col(level) < k).cast("long")).over(W.partitionBy(*list_cols).orderBy(*order).rowsBetween(*_UP_TO))
-        out = out.withColumn(f"_reset_{k}", resets)
-        group = W.partitionBy(*list_cols, f"_reset_{k}").orderBy(*order).rowsBetween(*_UP_TO)
-        seen = F.sum((F.col(level) == k).cast("long")).over(group)
-        value = F.when(F.col(level) >= k, F.greatest(start + seen - 1, start)).cast("long")
-        out = out.withColumn(f"counter_{k}", value)
-    return out.drop(*(f"_reset_{k}" for k in range(levels)))
+    # one order for all counters, which is sorted once: an item's number is the count so far without that at the last reset
+    over = W.partitionBy(*list_cols).orderBy(*order).rowsBetween(*_UP_TO)
+    ks = range(levels)
+    out = items.withColumns({f"_seen_{k}": F.count(F.when(F.col(level) == k, True)).over(over) for k in ks})
+    out = out.withColumns({f"_reset_{k}": F.max(F.when(F.col(level) < k, F.col(f"_seen_{k}"))).over(over) for k in ks})
+    for k in ks:
+        seen = F.col(f"_seen_{k}") - F.coalesce(f"_reset_{k}", F.lit(0))
+        out = out.withColumn(f"counter_{k}", F.when(F.col(level) >= k, F.greatest(start + seen - 1, start)).cast("long"))
+    return out.drop(*(f"_{c}_{k}" for k in ks for c in ("seen", "reset")))
 
 
 def list_labels(items: DataFrame, level: str, formats: list[str], templates: list[str], levels: int = 3) -> DataFrame:

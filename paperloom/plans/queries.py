@@ -11,7 +11,7 @@ from ..functions import office
 from ..operators import islands as isl
 from ..operators import charts, lists, lookups, parts, ranks, styles
 from ..query import jq
-from ..tables import dealt, spread
+from ..tables import dealt, parted, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,7 +153,8 @@ ITEMS = """i AS (SELECT l_orderkey AS list_id, l_partkey * 1000000 + l_suppkey *
 
 def _items(spark, sf_dir):
     key = (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("ord")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list_id"), key, (F.col("l_linenumber") % 3).cast("long").alias("lvl"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list_id"), key, (F.col("l_linenumber") % 3).cast("long").alias("lvl"))
+    return parted(rows, "list_id")
 
 
 @query(

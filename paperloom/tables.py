@@ -57,5 +57,15 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(max(4 * cores, min(size // PART, MOST_PARTS)), *keys)
 
 
+def parted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table by their keys, in parts that grow in number with the input and not in size, whatever number of
+    shuffle partitions the session has: a part is sorted in the memory of one task. Decided as by ``dealt``."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(cores, min(size // SORTED, MOST_PARTS)), *keys)
+
+
+#: Bytes of input, packed and of the columns in use, of a part that is sorted: some ten times that in memory.
+SORTED = 2 << 20
 #: Bytes of input of a part where there are more than four parts a core, and a bound on their number.
 PART, MOST_PARTS = 32 << 20, 10_000
