@@ -33,7 +33,7 @@ def test_counters(spark):
     assert sorts(counted) == 1
 
 
-@pytest.mark.parametrize("name", ["list_labels"])
+@pytest.mark.parametrize("name", ["list_labels", "list_ordinals"])
 def test_parts_grow_in_number(spark, monkeypatch, name):
     cores = spark.sparkContext.defaultParallelism
     few = queries.QUERIES[name](spark, DATA)
