@@ -14,23 +14,39 @@ def islands(rows: DataFrame, keys: list[str], order: list, value: Column, name:
     return rows.withColumn("_change", change.cast("long")).withColumn(name, F.sum("_change").over(over.rowsBetween(W.unboundedPreceding, 0))).drop("_change")
 
 
+def _merged(ranges: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
+    """The last row of each merged range, with it as ``_from``, ``_to`` and ``_n``, and whether it is the key's ``_last``.
+
+    Everything is told in one order of the rows, which is sorted once: no range is gathered into a group of its own.
+    """
+    over = W.partitionBy(*keys).orderBy(start, end)
+    so_far, earlier = over.rowsBetween(W.unboundedPreceding, 0), over.rowsBetween(W.unboundedPreceding, -1)
+    rows = ranges.select(*keys, start, end).withColumns({"_reach": F.max(end).over(earlier), "_row": F.row_number().over(over), "_known": F.lag(start).over(over).isNotNull()})
+    rows = rows.withColumn("_new", F.coalesce((F.col(start) > F.col("_reach") + gap).cast("long"), F.lit(1)))
+    rows = rows.withColumns({"_group": F.sum("_new").over(so_far), "_next": F.lead("_new").over(over)})
+    first = F.col("_new") == 1
+    rows = rows.withColumns({
+        # starts ascend, unknown ones first: the range's first known one
+        "_from": F.last(F.when(first | ~F.col("_known"), F.col(start)), ignorenulls=True).over(so_far),
+        "_to": F.max(F.struct("_group", F.col(end).alias("e"))).over(so_far)["e"],  # groups ascend: of the last one
+        "_n": F.col("_row") - F.last(F.when(first, F.col("_row")), ignorenulls=True).over(so_far) + F.lit(1).cast("long"),
+    })
+    return rows.where(F.coalesce("_next", F.lit(1)) == 1).withColumn("_last", F.col("_next").isNull())
+
+
 def coalesce_ranges(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
     """Half-open ranges merged where the next starts at most ``gap`` after the furthest end so far."""
-    over = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(over.rowsBetween(W.unboundedPreceding, -1))
-    marked = ranges.withColumn("_new", F.coalesce((F.col(start) > reach + gap).cast("long"), F.lit(1)))
-    grouped = marked.withColumn("_group", F.sum("_new").over(over.rowsBetween(W.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_group").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("_group")
+    return _merged(ranges, keys, start, end, gap).select(*keys, F.col("_from").alias(start), F.col("_to").alias(end), F.coalesce("_n", F.lit(0)).alias("n_ranges"))
 
 
 def uncovered_ranges(held: DataFrame, keys: list[str], low: Column, high: Column, start: str = "start", end: str = "end") -> DataFrame:
     """What of [low, high) the held ranges leave out, for each key that has a range."""
-    merged = coalesce_ranges(held, keys, start, end)
-    over = W.partitionBy(*keys).orderBy(start)
-    before = merged.select(*keys, F.coalesce(F.lag(end).over(over), low).alias("from"), F.col(start).alias("to"))
-    after = merged.groupBy(*keys).agg(F.max(end).alias("from")).select(*keys, "from", high.alias("to"))
-    both = before.unionByName(after)
-    return both.select(*keys, F.greatest("from", low).alias(start), F.least("to", high).alias(end)).where(F.col(start) < F.col(end))
+    over = W.partitionBy(*keys).orderBy(start, end)  # the order in which the rows already are
+    merged = _merged(held, keys, start, end, 0).withColumns({"_before": F.lag("_to").over(over), "_reach": F.max("_to").over(over.rowsBetween(W.unboundedPreceding, 0))})
+    before = F.struct(F.coalesce("_before", low).alias("from"), F.col("_from").alias("to"))
+    after = F.when(F.col("_last"), F.struct(F.col("_reach").alias("from"), high.alias("to")))
+    both = merged.select(*keys, F.explode(F.array(before, after)).alias("_gap")).where("_gap IS NOT NULL")
+    return both.select(*keys, F.greatest("_gap.from", low).alias(start), F.least("_gap.to", high).alias(end)).where(F.col(start) < F.col(end))
 
 
 def start_columns(cells: DataFrame, row_keys: list[str], order: list, span: str) -> DataFrame:

@@ -328,7 +328,8 @@ RANGES = "r AS (SELECT l_suppkey AS k, l_partkey * 1000 + l_orderkey % 1000 AS s
 
 def _ranges(spark, sf_dir):
     start = F.col("l_partkey") * 1000 + F.col("l_orderkey") % 1000
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), start.alias("s"), (start + F.col("l_quantity").cast("long") * 100).alias("e"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), start.alias("s"), (start + F.col("l_quantity").cast("long") * 100).alias("e"))
+    return parted(rows, "k")
 
 
 MERGED = (

@@ -1,4 +1,4 @@
-"""List counters against plain Python; each sorts its rows once, in parts of bounded size."""
+"""List counters and merged ranges against plain Python; each sorts its rows once, in parts of bounded size."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import tables
-from paperloom.operators import lists
+from paperloom.operators import islands, lists
 from paperloom.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -33,7 +33,36 @@ def test_counters(spark):
     assert sorts(counted) == 1
 
 
-@pytest.mark.parametrize("name", ["list_labels", "list_ordinals"])
+@pytest.mark.parametrize("gap", [0, 4])
+def test_ranges(spark, gap):
+    rng = random.Random(gap)
+    ranges = [(rng.randint(0, 40), s, s + rng.randint(0, 12)) for s in (rng.randint(-10, 130) for _ in range(700))]
+    merged, left = [], []
+    for key in {k for k, _, _ in ranges}:
+        own = []
+        for s, e in sorted((s, e) for k, s, e in ranges if k == key):
+            if own and s <= own[-1][1] + gap:
+                own[-1] = [own[-1][0], max(own[-1][1], e), own[-1][2] + 1]
+            else:
+                own.append([s, e, 1])
+        merged += [(key, *x) for x in own]
+        edges = [0, *(x for s, e, _ in own for x in (s, e)), 100]
+        left += [(key, max(a, 0), min(b, 100)) for a, b in zip(edges[::2], edges[1::2], strict=True) if max(a, 0) < min(b, 100)]
+    df = spark.createDataFrame(ranges, "k long, s long, e long")
+    got = islands.coalesce_ranges(df, ["k"], "s", "e", gap)
+    assert sorted(map(tuple, got.collect())) == sorted(merged) and sorts(got) == 1
+    if not gap:
+        bare = islands.uncovered_ranges(df, ["k"], F.lit(0).cast("long"), F.lit(100).cast("long"), "s", "e")
+        assert sorted(map(tuple, bare.collect())) == sorted(left) and sorts(bare) == 1
+
+
+def test_unknown_starts_and_ends(spark):
+    rows = [("a", None, 4), ("a", 3, 5), ("a", 9, None), ("a", 9, 2), ("a", 20, 21), (None, 1, 2)]
+    got = islands.coalesce_ranges(spark.createDataFrame(rows, "k string, s long, e long"), ["k"], "s", "e")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 3, 5, 2), ("a", 9, None, 1), ("a", 9, 2, 1), ("a", 20, 21, 1), (None, 1, 2, 1)], key=str)
+
+
+@pytest.mark.parametrize("name", ["list_labels", "list_ordinals", "uncovered_ranges"])
 def test_parts_grow_in_number(spark, monkeypatch, name):
     cores = spark.sparkContext.defaultParallelism
     few = queries.QUERIES[name](spark, DATA)
