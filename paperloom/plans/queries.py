@@ -519,6 +519,11 @@ def value_functions(spark, sf_dir):
 # Documents ----------------------------------------------------------------------------------
 
 
+def _texts(spark, sf_dir):
+    """Every document's text, to be written and read as a file: much work a row."""
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+
+
 @query(
     "SELECT doc_id, md5(text || chr(10)) AS text_digest, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents"
 )
@@ -548,8 +553,7 @@ def markdown_to_html(spark, sf_dir):
     """Documents read as Markdown, written as DOCX, read back and given as Markdown and HTML digests."""
     from . import documents as d
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = d.parse(d.to_files(docs, markdown=True), "doc_id", outputs=("markdown", "html"))
+    back = d.parse(d.to_files(_texts(spark, sf_dir), markdown=True), "doc_id", outputs=("markdown", "html"))
     return back.select("doc_id", F.md5("markdown").alias("markdown_digest"), F.md5("html").alias("html_digest"), F.size("blocks").alias("n_blocks"), "error")
 
 

@@ -1,13 +1,14 @@
 """Documents as files and back: the same results with less work a row, and no core that waits for another."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom import tables
 from paperloom.outputs.walk import Resolver
-from paperloom.plans import documents
+from paperloom.plans import documents, queries
 from paperloom.sinks import docx as sink
 from paperloom.sources import docx as source
 from paperloom.sources import xmltree
@@ -71,3 +72,10 @@ def test_costly_rows_are_dealt_over_all_cores(spark, rows):
     assert sum(r["n"] for r in parts) == rows and len(parts) == min(rows, 700)
     if rows > 700:
         assert len({r["part"] for r in parts}) >= 4 * spark.sparkContext.defaultParallelism - 1  # few bytes, yet not merged
+
+
+@pytest.mark.parametrize("name", ["markdown_to_html"])
+def test_documents_are_dealt_over_all_cores(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.search(r"hashpartitioning\(doc_id[^,]*, text[^,]*, ([0-9]+)\), REPARTITION_BY_NUM", plan)
+    assert dealt and int(dealt[1]) == 4 * spark.sparkContext.defaultParallelism
