@@ -62,7 +62,7 @@ def test_unknown_starts_and_ends(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 3, 5, 2), ("a", 9, None, 1), ("a", 9, 2, 1), ("a", 20, 21, 1), (None, 1, 2, 1)], key=str)
 
 
-@pytest.mark.parametrize("name", ["list_labels", "list_ordinals", "uncovered_ranges"])
+@pytest.mark.parametrize("name", ["list_labels", "list_ordinals", "coalesce_ranges", "uncovered_ranges"])
 def test_parts_grow_in_number(spark, monkeypatch, name):
     cores = spark.sparkContext.defaultParallelism
     few = queries.QUERIES[name](spark, DATA)
