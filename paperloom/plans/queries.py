@@ -531,8 +531,7 @@ def docx_roundtrip(spark, sf_dir):
     """Every document written as a DOCX file, and its text read back."""
     from . import documents as d
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = d.parse(d.to_files(docs), "doc_id", outputs=("text",))
+    back = d.parse(d.to_files(_texts(spark, sf_dir)), "doc_id", outputs=("text",))
     return back.select("doc_id", F.md5("text").alias("text_digest"), (F.size(F.split("text", "\n", -1)) - 1).cast("long").alias("n_lines"))
 
 
@@ -543,8 +542,7 @@ def docx_blocks(spark, sf_dir):
     """The block view of every document after a round trip through DOCX."""
     from . import documents as d
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    blocks = d.block_view(d.parse(d.to_files(docs), "doc_id", outputs=()), "doc_id")
+    blocks = d.block_view(d.parse(d.to_files(_texts(spark, sf_dir)), "doc_id", outputs=()), "doc_id")
     return blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
 
 

@@ -74,7 +74,7 @@ def test_costly_rows_are_dealt_over_all_cores(spark, rows):
         assert len({r["part"] for r in parts}) >= 4 * spark.sparkContext.defaultParallelism - 1  # few bytes, yet not merged
 
 
-@pytest.mark.parametrize("name", ["markdown_to_html"])
+@pytest.mark.parametrize("name", ["markdown_to_html", "docx_blocks", "docx_roundtrip"])
 def test_documents_are_dealt_over_all_cores(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = re.search(r"hashpartitioning\(doc_id[^,]*, text[^,]*, ([0-9]+)\), REPARTITION_BY_NUM", plan)
