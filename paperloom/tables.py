@@ -59,13 +59,17 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 def parted(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of a table by their keys, in parts that grow in number with the input and not in size, whatever number of
-    shuffle partitions the session has: a part is sorted in the memory of one task. Decided as by ``dealt``."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shuffle partitions the session has: a part is sorted in the memory of one task. A task that writes for more parts than
+    Spark's ``bypassMergeThreshold`` holds all rows of its split, so up to four times larger parts are taken before that
+    number is passed. Decided as by ``dealt``."""
+    context = rows.sparkSession.sparkContext
+    streamed = int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(max(cores, min(size // SORTED, MOST_PARTS)), *keys)
+    parts = max(min(size // SORTED, streamed), min(size // (4 * SORTED), MOST_PARTS))
+    return rows.repartition(max(context.defaultParallelism, parts), *keys)
 
 
-#: Bytes of input, packed and of the columns in use, of a part that is sorted: some ten times that in memory.
+#: Bytes of input, packed and of the columns in use, of a part that is sorted: some thirty times that in memory.
 SORTED = 2 << 20
 #: Bytes of input of a part where there are more than four parts a core, and a bound on their number.
 PART, MOST_PARTS = 32 << 20, 10_000

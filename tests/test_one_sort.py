@@ -1,6 +1,7 @@
 """List counters and merged ranges against plain Python; each sorts its rows once, in parts of bounded size."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def test_parts_grow_in_number(spark, monkeypatch, name):
     many = queries.QUERIES[name](spark, DATA)
     parts = {k: df.select(F.spark_partition_id().alias("p")).distinct().count() for k, df in (("few", few), ("many", many))}
     assert sorts(many) == 1 and parts["few"] <= cores < parts["many"]  # the session has but four shuffle partitions
+
+
+@pytest.mark.parametrize("name", ["list_labels", "list_ordinals"])
+def test_tasks_write_for_few_parts(spark, monkeypatch, name):
+    def parts(size):
+        monkeypatch.setattr(tables, "SORTED", size)
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        return int(re.search(r", (\d+)\), REPARTITION_BY_NUM", plan)[1])
+
+    size = parts(1 << 10) << 10
+    # a task that writes for more than 200 parts holds all its rows: not before parts are four times larger
+    assert parts(size // 300) == parts(size // 700) == 200 and 390 < parts(size // 1600) < 450
