@@ -11,7 +11,7 @@ from ..functions import office
 from ..operators import islands as isl
 from ..operators import charts, lists, lookups, parts, ranks, styles
 from ..query import jq
-from ..tables import dealt, parted, spread
+from ..tables import dealt, parted, split, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -329,7 +329,7 @@ RANGES = "r AS (SELECT l_suppkey AS k, l_partkey * 1000 + l_orderkey % 1000 AS s
 def _ranges(spark, sf_dir):
     start = F.col("l_partkey") * 1000 + F.col("l_orderkey") % 1000
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), start.alias("s"), (start + F.col("l_quantity").cast("long") * 100).alias("e"))
-    return parted(rows, "k")
+    return split(rows, ["k"], ["s", "e"])
 
 
 MERGED = (
@@ -341,7 +341,8 @@ MERGED = (
 
 @query("WITH " + MERGED.format(gap=512) + " SELECT * FROM x")
 def coalesce_ranges(spark, sf_dir):
-    return isl.coalesce_ranges(_ranges(spark, sf_dir), ["k"], "s", "e", 512)
+    rows, pieces = _ranges(spark, sf_dir)
+    return isl.coalesce_ranges(rows, ["k"], "s", "e", 512, pieces)
 
 
 @query(
@@ -349,7 +350,8 @@ def coalesce_ranges(spark, sf_dir):
     "SELECT k, greatest(s, 0) AS s, least(e, 300000000) AS e FROM p WHERE greatest(s, 0) < least(e, 300000000)"
 )
 def uncovered_ranges(spark, sf_dir):
-    return isl.uncovered_ranges(_ranges(spark, sf_dir), ["k"], F.lit(0).cast("long"), F.lit(300000000).cast("long"), "s", "e")
+    rows, pieces = _ranges(spark, sf_dir)
+    return isl.uncovered_ranges(rows, ["k"], F.lit(0).cast("long"), F.lit(300000000).cast("long"), "s", "e", pieces)
 
 
 @query(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_base: list[str] = []
 
@@ -62,14 +64,47 @@ def parted(rows: DataFrame, *keys: str) -> DataFrame:
     shuffle partitions the session has: a part is sorted in the memory of one task. A task that writes for more parts than
     Spark's ``bypassMergeThreshold`` holds all rows of its split, so up to four times larger parts are taken before that
     number is passed. Decided as by ``dealt``."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(_parts(rows, size, SORTED), *keys)
+
+
+def _parts(rows: DataFrame, size: int, most: int) -> int:
+    """Parts of at most ``most``, four times that where more than a task streams would be needed."""
     context = rows.sparkSession.sparkContext
     streamed = int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(min(size // SORTED, streamed), min(size // (4 * SORTED), MOST_PARTS))
-    return rows.repartition(max(context.defaultParallelism, parts), *keys)
+    return max(context.defaultParallelism, min(size // most, streamed), min(size // (4 * most), MOST_PARTS))
+
+
+def same(keys: list[str], others: list[str]) -> Column:
+    """Whether the keys are equal, null to null."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, others, strict=True)])
+
+
+def split(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows as ``parted`` deals them, and apart from them those of keys too large for one task (None without such): cut
+    by ranges of keys and order into ``_piece``, which ascend with these, and written once. Inputs of some size are
+    counted for that: by buckets of keys, which are as few however many keys there are, then the keys of full ones."""
+    spark = rows.sparkSession
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 4 * SORTED:
+        return parted(rows, *keys), None
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    full = [r[0] for r in rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > LARGE).collect()]
+    if not full:
+        return parted(rows, *keys), None
+    named = [f"_k{i}" for i in range(len(keys))]
+    counted = rows.where(bucket.isin(full)).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True))).agg(F.count("*").alias("_rows"))
+    large = written(counted.where(F.col("_rows") > LARGE), new_path(spark, "large"))
+    total = large.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return parted(rows, *keys), None
+    large, on = F.broadcast(large.drop("_rows")), same(keys, named)
+    cut = rows.join(large, on, "left_semi").repartitionByRange(_parts(rows, total, LARGE // 4), *keys, *order)
+    return parted(rows.join(large, on, "left_anti"), *keys), written(cut.withColumn("_piece", F.spark_partition_id()), new_path(spark, "pieces"))
 
 
 #: Bytes of input, packed and of the columns in use, of a part that is sorted: some thirty times that in memory.
 SORTED = 2 << 20
 #: Bytes of input of a part where there are more than four parts a core, and a bound on their number.
 PART, MOST_PARTS = 32 << 20, 10_000
+#: Rows of a key beyond which it is cut, into pieces of a quarter of that as ``parted`` has it; buckets to find such keys.
+LARGE, BUCKETS = 1 << 20, 1 << 16
